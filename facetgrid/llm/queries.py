@@ -6,12 +6,29 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetgrid.llm import chat_format, sharding, token_count, url_filter
-from facetgrid.llm.common import table
+from facetgrid.llm import chat_format, decontaminate, packing, quality, sharding, token_count, url_filter
+from facetgrid.llm.common import materialize, table
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that stand in a benchmark item's 10-word window."""
+    hits = decontaminate.find_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return hits.select(
+        "doc_id", F.col("n_words").cast("long"), F.col("n_hit").cast("long"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures of each document and the verdict of the certified cutoffs."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    measured = materialize(quality.measure(docs, keep_text=False), "measured")
+    cutoffs = quality.calibrate(measured, table(spark, sf_dir, "labels"))
+    return quality.judge(measured, cutoffs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents -> shard, by a broadcast permutation-filled lookup table."""
     placed = sharding.place(table(spark, sf_dir, "documents").select("doc_id"), SHARDS)
@@ -34,6 +51,14 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents placed in sequences of at most 2048 tokens."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packing.tokenize_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    small = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(small, rows=docs.count())
+
+
 def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and byte-level BPE tokens of each document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -48,8 +73,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op3_quality": op3_quality,
     "op4_sharding": op4_sharding,
     "op6_chat_format": op6_chat_format,
+    "op8_packing": op8_packing,
     "op9_token_count": op9_token_count,
     "op10_url_filter": op10_url_filter,
 }
@@ -65,7 +93,19 @@ def _escaped_extra() -> str:
 
 
 _T = chat_format.Template()
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 ORACLE = {
+    "op1_decontaminate": f"""
+with d as (select doc_id, {_WORDS} as w from documents), i as (select item_id::varchar as item_id, {_WORDS} as w from benchmark),
+sized as (select *, least(len(w), 10) as l from i where len(w) > 0),
+win as (select item_id, l, w[k:k+l-1] as g from (select *, unnest(range(1, len(w) - l + 2)) as k from sized)),
+own as (select doc_id, l, k, w[k:k+l-1] as g from (select doc_id, w, l, unnest(range(1, len(w) - l + 2)) as k from d, (select distinct l from win))),
+hit as (select distinct doc_id, item_id, k, l from own join win using (l, g)),
+words as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(k, k + l)) as p from hit) group by 1),
+items as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as list from (select distinct doc_id, item_id from hit) group by 1)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(list, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join words using (doc_id) left join items using (doc_id)""",
     "op6_chat_format": f"""
 with turns as (
   select conv_id, turn, coalesce(role, '') r, coalesce(text, '') t from conversations
