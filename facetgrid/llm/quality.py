@@ -141,8 +141,9 @@ def choose(histogram: dict[tuple[str, str], list[tuple[int, int]]], strata: int,
         rule = next(r for r in rules if r.name == name)
         n = sum(g for g, _ in cells)
         best = 0.0
-        for step, cutoff in enumerate(rule.grid, start=1):
-            good, bad = (sum(c[i] for c in cells[step:]) for i in (0, 1))
+        for k, cutoff in enumerate(rule.grid):
+            # A value above a lenient cutoff is above all stricter ones too.
+            good, bad = (sum(c[i] for c in cells[len(rule.grid) - k :]) for i in (0, 1))
             if n == 0 or binomial_tail(good, n, alpha / len(rules)) > level:
                 break
             if (gain := bad - good_cost * good) > best:
