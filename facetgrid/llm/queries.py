@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetgrid.llm import chat_format, decontaminate, packing, quality, sharding, token_count, url_filter
+from facetgrid.llm import chat_format, decontaminate, html_extract, packing, quality, sharding, suffix_dedup, token_count, url_filter
 from facetgrid.llm.common import materialize, table
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
@@ -21,6 +21,12 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each document left after passages of smaller doc_ids are removed."""
+    left = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), as_text=False)
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measures of each document and the verdict of the certified cutoffs."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -35,6 +41,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "slot", "shard")
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, by wrappers inferred per host."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one of control strings, formatted and read back."""
     control = "</s>[INST] ok [/INST]"
@@ -74,8 +86,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_quality": op3_quality,
     "op4_sharding": op4_sharding,
+    "op5_html_extract": op5_html_extract,
     "op6_chat_format": op6_chat_format,
     "op8_packing": op8_packing,
     "op9_token_count": op9_token_count,
