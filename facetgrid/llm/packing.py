@@ -31,17 +31,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facetgrid.llm.token_count import byte_alphabet
+
 SIZE = 2048
 GROUP = 131_072
 CACHE_ENTRIES = 400_000
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
+#: Fixed value: ASCII punctuation but the apostrophe, which may begin a contraction.
+PUNCTUATION = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+
+
 class ChunkIds(dict):
     """Chunk between white space -> its ids (little-endian 32 bit), by the library.
 
     The tokenizer drops white space and no token reaches over it, so a text's
-    ids are its chunks' ids one after another.
+    ids are its chunks' ids one after another.  A chunk of Latin letters and then
+    ASCII punctuation is two pretokens, whose ids the library's model gives
+    without the normalizer's work; all else goes through the whole tokenizer.
     """
 
     def __init__(self, content: bytes, entries: int = CACHE_ENTRIES) -> None:
@@ -51,20 +59,63 @@ class ChunkIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_str(content.decode())
         self.entries = entries
+        self.words: dict[str, bytes] = {}
+        self.marks: dict[bytes, bytes] = {}
+        self.letters = byte_alphabet()
+
+    def word(self, word: str) -> bytes:
+        """Ids of lower-case letters."""
+        found = self.words.get(word)
+        if found is None:
+            shown = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+            ids = [t.id for t in self.tokenizer.model.tokenize(shown)]
+            if len(self.words) >= self.entries:
+                self.words.clear()
+            found = self.words[word] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
+
+    def mark(self, run: bytes) -> bytes:
+        found = self.marks.get(run)
+        if found is None:
+            ids = self.tokenizer.encode(run.decode(), add_special_tokens=False).ids
+            if len(self.marks) >= self.entries:
+                self.marks.clear()
+            found = self.marks[run] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
 
     def learn(self, chunks: set[bytes]) -> None:
-        new = list(chunks.difference(self))
+        new = chunks.difference(self)
         if len(self) + len(new) > self.entries:
             self.clear()
-            new = list(chunks)
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
+            new = chunks
+        other = []
+        for c in new:
+            base = c.rstrip(PUNCTUATION)
+            word = base.decode("utf-8", "replace")
+            if word.isalpha() and (word.isascii() or max(word) < "\u0180" and "\u0130" not in word):
+                ids = self.word(word.lower())
+                self[c] = ids + self.mark(c[len(base) :]) if len(base) < len(c) else ids
+            else:
+                other.append(c)
+        for k in range(0, len(other), 20_000):
+            part = other[k : k + 20_000]
             got = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in part], add_special_tokens=False)
             for c, e in zip(part, got, strict=True):
                 ids = e.ids
                 self[c] = struct.pack(f"<{len(ids)}I", *ids)
 
 
+#: Kept from task to task of a worker: what it has learnt, by tokenizer.
+_KNOWN: dict[bytes, ChunkIds] = {}
+
+
+def chunk_ids(content: bytes) -> ChunkIds:
+    if content not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[content] = ChunkIds(content)
+    return _KNOWN[content]
+
+
 def tokenize_pieces(docs: DataFrame, tokenizer: str | bytes, size: int = SIZE, end: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids) of all documents; ``ids`` as little-endian unsigned 32-bit numbers."""
     content = open(tokenizer, "rb").read() if isinstance(tokenizer, str) else tokenizer
@@ -72,7 +123,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str | bytes, size: int = SIZE, e
     tail, width = struct.pack("<I", end), 4 * size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = ChunkIds(shared.value)
+        known = chunk_ids(shared.value)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
