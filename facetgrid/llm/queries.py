@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetgrid.llm import chat_format, decontaminate, html_extract, packing, quality, sharding, suffix_dedup, token_count, url_filter
+from facetgrid.llm import chat_format, decontaminate, html_extract, ngram_join, packing, quality, sharding, suffix_dedup, token_count, url_filter
 from facetgrid.llm.common import materialize, table
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
@@ -63,6 +63,12 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles and near-duplicate component of each document."""
+    linked = ngram_join.link(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return linked.select("doc_id", "n_shingles", "component_id")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents placed in sequences of at most 2048 tokens."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -91,6 +97,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_html_extract": op5_html_extract,
     "op6_chat_format": op6_chat_format,
+    "op7_ngram_join": op7_ngram_join,
     "op8_packing": op8_packing,
     "op9_token_count": op9_token_count,
     "op10_url_filter": op10_url_filter,
