@@ -49,7 +49,9 @@ from facetgrid.llm.common import materialize
 WIDTH, KMER = 50, 16
 SPAN = WIDTH - KMER + 1
 KEY = WIDTH + SPAN - 1 + 2  # bytes onwards, bytes backwards, how many of each
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+#: A reader holds a file's row group at once, so chunk files are kept small.
+CHUNKS_PER_FILE = 4
 SLICE = 1 << 20
 BUCKET_BYTES = 32 << 20
 BROADCAST_MB = 48
@@ -337,7 +339,7 @@ def shared_flags(chunk: Chunk, bits: int) -> tuple[np.ndarray, ...]:
 
 def removed(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES, broadcast_mb: float = BROADCAST_MB) -> tuple[DataFrame, DataFrame]:
     """(chunks, spans): the chunk table, and (chunk, spans) with the merged byte spans to remove."""
-    chunks = materialize(make_chunks(docs, chunk_bytes), "chunks")
+    chunks = materialize(make_chunks(docs, chunk_bytes), "chunks", max_rows_per_file=CHUNKS_PER_FILE)
     total = chunks.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     bits = max(2, int(np.ceil(np.log2(max(1, total / bucket_bytes)))))
     parts = 1 << bits
