@@ -48,7 +48,8 @@ def positions(bits: Column) -> Column:
 
 def explode_positions(rows: DataFrame, *keep: str) -> DataFrame:
     """(keep..., position) of bitmap rows."""
-    return rows.select(*keep, ((F.col("bucket") - 1) * BUCKET + F.explode(positions(F.col("bits")))).alias("position"))
+    each = rows.select(*keep, "bucket", F.explode(positions(F.col("bits"))).alias("_at"))
+    return each.select(*keep, ((F.col("bucket") - 1) * BUCKET + F.col("_at")).alias("position"))
 
 
 def to_base64(bits: Column, n: int) -> Column:
