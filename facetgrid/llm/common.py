@@ -34,7 +34,7 @@ def materialize(df: DataFrame, name: str, max_rows_per_file: int = 0) -> DataFra
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/facetgrid/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.option("maxRecordsPerFile", max_rows_per_file).parquet(path)
+    df.write.option("maxRecordsPerFile", max_rows_per_file).option("compression", "zstd").parquet(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)

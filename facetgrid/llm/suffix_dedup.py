@@ -12,8 +12,8 @@ tell is bounded: the ``WIDTH`` bytes from it and the ``SPAN - 1`` before it.
 3. Anchor hashes are exchanged, 32 bits each, to see which occur in two
    documents; a bit for each comes back to its chunk.
 4. The suffixes of those anchors are sorted and made distinct within each chunk,
-   front-coded (length of the common prefix with the one before, and the rest)
-   and exchanged by their anchor's hash.
+   front-coded (length of the common prefix with the one before, and the rest,
+   packed) and exchanged by their anchor's hash.
 5. Each receiver merges its runs by a loser tree that compares keys only beyond
    the prefixes known to be common, and takes for each of the ``SPAN`` strings
    around an anchor the smallest doc_id, from the merged order and its prefixes.
@@ -53,7 +53,7 @@ CHUNK_BYTES = 2 << 20
 #: A reader holds a file's row group at once, so chunk files are kept small.
 CHUNKS_PER_FILE = 4
 SLICE = 1 << 20
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 8 << 20
 BROADCAST_MB = 48
 LAST = np.iinfo(np.int64).max
 
@@ -127,8 +127,17 @@ def front_code(keys: np.ndarray) -> tuple[np.ndarray, bytes]:
     return lcp, keys[np.arange(KEY) >= lcp[:, None]].tobytes()
 
 
-def decode(lcp: bytes, rest: bytes) -> list[bytes]:
-    out, last, at = [], b"", 0
+def pack_bytes(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unpack_bytes(packed: bytes) -> bytes:
+    size = int.from_bytes(packed[:8], "little")
+    return pa.decompress(packed[8:], decompressed_size=size, codec="zstd", asbytes=True)
+
+
+def decode(lcp: bytes, packed: bytes) -> list[bytes]:
+    out, last, at, rest = [], b"", 0, unpack_bytes(packed)
     for n in lcp:
         end = at + KEY - n
         last = last[:n] + rest[at:end]
@@ -410,7 +419,7 @@ def removed(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int =
                 np.minimum.at(lows, which, ids)
                 np.maximum.at(highs, which, ids)
                 lcp, rest = front_code(run)
-                values = (b, row["chunk"], lcp.tobytes(), rest, _ints(lows, "<i8"), _ints(highs, "<i8"), _ints(at[own_rows], "<i8"), _ints(which, "<u4"), _ints(ids, "<i8"))
+                values = (b, row["chunk"], lcp.tobytes(), pack_bytes(rest), _ints(lows, "<i8"), _ints(highs, "<i8"), _ints(at[own_rows], "<i8"), _ints(which, "<u4"), _ints(ids, "<i8"))
                 for f, v in zip(candidate_schema.fields, values, strict=True):
                     columns[f.name].append(v)
             yield table(columns, candidate_schema)
