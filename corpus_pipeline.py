@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages, each written as Parquet and read by the next.
 
 1. Quality rules: documents that fail the base rule or a certified cutoff go.
-2. N-gram Jaccard join: one document of each near-duplicate component stays.
+2. N-gram Jaccard join: one document of each component of documents whose sets
+   of five-word shingles have a similarity of 0.8 or more stays.
 3. Suffix-array dedup: passages that stand in a document with a smaller doc_id
    go, as whole characters; documents of which nothing is left go.
 4. Benchmark decontamination: documents with a benchmark passage go.
@@ -31,7 +32,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.keep_one(docs).select(*COLUMNS)
+    return ngram_join.keep_one(docs, k=5, percent=80).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -328,11 +328,11 @@ def near(rng):
     return out
 
 
-@pytest.mark.parametrize("how", [{}, {"max_block": 4}, {"broadcast_rows": 0, "bucket_bytes": 2000}])
+@pytest.mark.parametrize("how", [{}, {"max_block": 4}, {"broadcast_rows": 0, "bucket_bytes": 2000}, {"k": 5, "percent": 80}])
 def test_links_against_brute_force(spark, how):
     docs = near(random.Random(5))
     got = ngram_join.link(spark.createDataFrame(docs, DOC).repartition(3), **how)
-    assert rows(got, "doc_id", "n_shingles", "component_id") == brute.linked(docs)
+    assert rows(got, "doc_id", "n_shingles", "component_id") == brute.linked(docs, how.get("k", 4), how.get("percent", 85))
 
 
 def test_links_over_the_documents(spark):
@@ -532,7 +532,7 @@ def test_pipeline(spark):
         if name == "quality_rules":
             assert {d for d, t in before if brute.measures(t)[5]}.isdisjoint(now)
         elif name == "near_duplicates":
-            assert set(now) == {c for _, n, c in brute.linked(before) if n} | {d for d, n, _ in brute.linked(before) if not n}
+            assert set(now) == {c for _, n, c in brute.linked(before, 5, 80) if n} | {d for d, n, _ in brute.linked(before, 5, 80) if not n}
         elif name == "repeated_passages":
             removed = {d: n - r for d, n, r, _, _ in brute.repeats(before)}
             assert all(len(t.encode()) - removed[d] <= 3 * 40 for d, t in now.items())
