@@ -106,6 +106,25 @@ def course_codes(c: Column | str) -> Column:
     return F.regexp_extract_all(col(c), F.lit(CODE), F.lit(0))
 
 
+def related_parts(c: Column | str, known: Column) -> Column:
+    """array<struct<text, code>> that tiles the text; only numbers among ``known`` are codes."""
+    text = col(c)
+    found = F.regexp_extract_all(text, F.lit(CODE), F.lit(0))
+    gaps = F.split(text, CODE, -1)
+    kind = "array<struct<text:string,code:string>>"
+    start = F.struct(F.array().cast(kind).alias("out"), F.lit("").alias("buf"))
+    pairs = F.transform(gaps, lambda g, i: F.struct(g.alias("gap"), F.get(found, i).alias("code")))
+
+    def step(s: Column, p: Column) -> Column:
+        buf = F.concat(s["buf"], p["gap"])
+        hit = p["code"].isNotNull() & F.array_contains(known, p["code"])
+        plain = F.filter(F.array(F.struct(buf.alias("text"), F.lit(None).cast("string").alias("code"))), lambda x: x["text"] != "")
+        link = F.array(F.struct(p["code"].alias("text"), p["code"].alias("code")))
+        return F.when(hit, F.struct(F.concat(s["out"], plain, link).alias("out"), F.lit("").alias("buf"))).otherwise(F.struct(s["out"].alias("out"), F.concat(buf, F.coalesce(p["code"], F.lit(""))).alias("buf")))
+
+    return F.aggregate(pairs, start, step, lambda s: F.when(s["buf"] == "", s["out"]).otherwise(F.concat(s["out"], F.array(F.struct(s["buf"].alias("text"), F.lit(None).cast("string").alias("code"))))))
+
+
 def is_related_label(c: Column | str) -> Column:
     found = F.lit(False)
     for label in RELATED_LABELS:

@@ -49,6 +49,33 @@ def breaker(outcomes: DataFrame, group: str, order: str, blocking: Column, n: in
     return rows.where(F.col("_run") == n).groupBy(group).agg(F.min(order).alias("tripped_at"))
 
 
+def until_tripped(outcomes: DataFrame, group: str, order: str, blocking: Column, n: int = 3) -> DataFrame:
+    """Outcomes up to the one that trips the breaker; all where it does not trip."""
+    w = W.partitionBy(group).orderBy(order)
+    run = F.sum(blocking.cast("int")).over(w.rowsBetween(-(n - 1), 0))
+    rows = outcomes.withColumn("_run", run)
+    tripped = F.coalesce(F.max((F.col("_run") == n).cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("_over", tripped).where("_over = 0").drop("_run", "_over")
+
+
+def crawl_report(outcomes: DataFrame, group: str, order: str, n: int = 3, first: int = 8) -> DataFrame:
+    """(group, fetched, skipped, no_detail, aborted, diagnostics) of outcomes (status, reason, fatal).
+
+    A null status is a success; ``diagnostics`` has the first failures in full.
+    """
+    blocking = F.coalesce(is_blocking(F.col("status")), F.lit(False))
+    seen = until_tripped(outcomes, group, order, blocking, n)
+    failed = F.col("status").isNotNull() | F.col("fatal")
+    at = F.row_number().over(W.partitionBy(group, failed).orderBy(order))
+    rows = seen.select(group, order, failed.alias("failed"), "fatal", F.when(failed & (at <= first), F.struct(order, "reason")).alias("said"))
+    report = rows.groupBy(group).agg(
+        F.count(F.when(~F.col("failed"), 1)).alias("fetched"), F.count(F.when(F.col("failed"), 1)).alias("skipped"), F.count(F.when(F.col("fatal"), 1)).alias("no_detail"),
+        F.transform(F.array_sort(F.collect_list("said")), lambda x: x["reason"]).alias("diagnostics"),
+    )
+    aborted = breaker(outcomes, group, order, blocking, n)
+    return report.join(aborted, group, "left").withColumn("aborted", F.col("tripped_at").isNotNull()).drop("tripped_at")
+
+
 def backoff_seconds(base: Column, attempt: Column, cap: float = 60.0) -> Column:
     return F.least(base * F.pow(F.lit(2.0), attempt), F.lit(cap))
 
