@@ -286,21 +286,20 @@ def grid_ranked(spark, sf):
     return grid.cells(placed).select("day", "period", _joined(F.col("courses")).alias("ids"))
 
 
-@query(f"select day, period, string_agg(idx::varchar, ',' order by idx) as ids from (select distinct day, period, idx from {_EVENTS} where {_ON_GRID} and idx % 10 = 3) group by all having count(*) >= 2")
+@query(f"select day, period, string_agg(idx::varchar, ',' order by idx) as ids from (select distinct day, period, idx from {_EVENTS} where {_ON_GRID}) group by all having count(*) >= 2")
 def conflicts(spark, sf):
-    """Clashes of one plan: the users whose number ends in 3."""
-    cells = grid.build_grid(event_slots(spark, sf).where("idx % 10 = 3"))
+    cells = grid.build_grid(event_slots(spark, sf))
     return grid.conflicts(cells).select("day", "period", _joined(F.col("courses")).alias("ids"))
 
 
 @query(f"""
-with s as (select distinct idx, term, day, period from {_EVENTS} where {_ON_GRID} and idx % 10 = 3),
+with s as (select distinct idx, term, day, period from {_EVENTS} where {_ON_GRID}),
 t as (select distinct term from s where term <> '{YEAR_LONG}'),
 b as (select distinct t.term, s.day, s.period, s.idx from s join t on s.term = t.term or s.term = '{YEAR_LONG}'),
 c as (select term, day, period, string_agg(idx::varchar, ',' order by idx) as ids from b group by all having count(*) >= 2)
 select day, period, ids, min(term) as term from c group by all""")
 def plan_conflicts(spark, sf):
-    found = grid.plan_conflicts(event_slots(spark, sf).where("idx % 10 = 3"), year_long=YEAR_LONG)
+    found = grid.plan_conflicts(event_slots(spark, sf).drop("value"), year_long=YEAR_LONG)
     return found.select("day", "period", _joined(F.col("courses")).alias("ids"), "term")
 
 
@@ -483,29 +482,28 @@ def bad_record_split(spark, sf):
 
 
 @query("""
-with w as (select doc_id::varchar as cd, lang as last_update, doc_id as ord from documents where doc_id % 2 = 0),
-s as (select doc_id::varchar as cd, 'en' as last_update from labels), t as (select doc_id::varchar as cd, 'de' as last_update from documents where doc_id % 3 = 0)
-select cd, last_update, ord from w where not exists (select 1 from s where s.cd = w.cd and s.last_update = w.last_update) and not exists (select 1 from t where t.cd = w.cd and t.last_update = w.last_update)
-order by ord limit 100""")
+with w as (select doc_id::varchar as cd, lang as last_update, doc_id as ord from documents), o as (select doc_id::varchar as cd from labels),
+s as (select doc_id::varchar as cd, 'en' as last_update from documents where source = 'src1'), t as (select doc_id::varchar as cd, 'de' as last_update from documents where n_chars < 1000)
+select cd, last_update, ord from w where cd in (select cd from o) and not exists (select 1 from s where s.cd = w.cd and s.last_update = w.last_update) and not exists (select 1 from t where t.cd = w.cd and t.last_update = w.last_update)""")
 def incremental_select(spark, sf):
     docs = table(spark, sf, "documents")
     cd = F.col("doc_id").cast("string").alias("cd")
     wanted = docs.select(cd, F.col("lang").alias("last_update"), F.col("doc_id").alias("ord"))
-    saved = table(spark, sf, "labels").select(cd, F.lit("en").alias("last_update"))
-    dead = docs.where("doc_id % 3 = 0").select(cd, F.lit("de").alias("last_update"), F.lit(2).alias("fails"))
-    return incremental.select_stale(wanted, saved, dead, only=docs.where("doc_id % 2 = 0").select(cd), limit=100)
+    saved = docs.where("source = 'src1'").select(cd, F.lit("en").alias("last_update"))
+    dead = docs.where("n_chars < 1000").select(cd, F.lit("de").alias("last_update"), F.lit(2).alias("fails"))
+    return incremental.select_stale(wanted, saved, dead, only=table(spark, sf, "labels").select(cd))
 
 
 @query("""
-with s as (select doc_id::varchar as cd, 'a' as u, 1 as fails from labels), f as (select doc_id::varchar as cd, case when doc_id % 4 = 0 then 'b' else 'a' end as n from documents where doc_id % 2 = 0),
-d as (select doc_id::varchar as cd from documents where doc_id % 5 = 0)
+with s as (select doc_id::varchar as cd, 'a' as u, 1 as fails from labels), f as (select doc_id::varchar as cd, case when source = 'src0' then 'b' else 'a' end as n from documents where lang = 'en'),
+d as (select doc_id::varchar as cd from documents where source = 'src3')
 select coalesce(s.cd, f.cd) as cd, coalesce(n, u) as last_update, (case when n is null or n = u then coalesce(fails, 0) else 0 end + (n is not null)::int)::int as fails
 from s full outer join f on s.cd = f.cd where coalesce(s.cd, f.cd) not in (select cd from d)""")
 def tombstone_merge(spark, sf):
     docs, cd = table(spark, sf, "documents"), F.col("doc_id").cast("string").alias("cd")
     state = table(spark, sf, "labels").select(cd, F.lit("a").alias("last_update"), F.lit(1).alias("fails"))
-    failed = docs.where("doc_id % 2 = 0").select(cd, F.when(F.col("doc_id") % 4 == 0, "b").otherwise("a").alias("last_update"))
-    return incremental.merge_tombstones(state, failed, docs.where("doc_id % 5 = 0").select(cd))
+    failed = docs.where("lang = 'en'").select(cd, F.when(F.col("source") == "src0", "b").otherwise("a").alias("last_update"))
+    return incremental.merge_tombstones(state, failed, docs.where("source = 'src3'").select(cd))
 
 
 @query("""
