@@ -14,7 +14,7 @@ of both.  A node with more empty groups than the reserve has the keys of a
 prefix filter besides.  Nodes differ in size by the threshold at most, so each
 takes part in two size classes.  Keys are exchanged in packed form (32 bits and
 the node), nodes that share keys form blocks by connected components, and only
-nodes in blocks send their sets, once, to the task that has their block's tree.
+nodes in blocks send their texts, once, to the task that has their block's tree.
 A block above ``max_block`` nodes is cut into parts, each pair of which is a task
 of its own.  Links are spanning: a pair already connected in its task is not
 verified again, which leaves the components as they are.
@@ -284,44 +284,40 @@ def link(docs: DataFrame, k: int = 4, percent: int = PERCENT, bucket_bytes: int
     # Blocks too large for one task: each pair of parts is a task.
     size = blocks.groupBy("block").agg(F.count("*").alias("n"))
     large = size.where(F.col("n") > max_block).select("block", F.ceil(F.col("n") / (max_block // 2)).cast("int").alias("parts"))
-    oversize = large.limit(1).count() > 0
+    oversize = large.count()
     member = blocks.select(F.col("id").alias("node"), "block")
     if oversize:
-        # As many rows as blocks above max_block; AQE decides how to join.
-        cut = member.join(large, "block", "left").withColumn("part", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int"))
+        # Broadcast where small: a shuffle by block would gather each large block.
+        cut = member.join(F.broadcast(large) if oversize <= broadcast_rows else large, "block", "left").withColumn("part", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int"))
         with_all = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
         member = with_all.select("node", F.when(F.col("parts").isNull(), F.col("block")).otherwise(F.xxhash64("block", F.least("part", "other"), F.greatest("part", "other"))).alias("block"))
 
-    picked = rows.where("node is not null").groupBy("node").agg(F.min("text_key").alias("text_key"))
-    chosen = materialize(picked.join(member, "node"), "members")
-    (text_key,) = fresh(docs, "text_key")
-    side = chosen.select("text_key", "node", "block")
-    texts = docs.select(F.xxhash64("text").alias("text_key"), "text")
-    found = texts.join(F.broadcast(side) if side.count() <= broadcast_rows else side, "text_key").select("block", "node", "text")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[tuple[int, int]] = set()
-        for batch in batches:
-            out: list[tuple[int, int, bytes]] = []
-            for block, node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), pc.cast(batch.column(2), pa.binary()), strict=True):
-                if (block, node) not in sent:
-                    sent.add((block, node))
-                    out.append((block, node, shingle_set(text.as_py(), k).tobytes()))
-            blocks, nodes, content = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(nodes, pa.int64()), pa.array(content, pa.binary())], names=["block", "node", "content"])
+    # One row of each node sends its text; the set is made where the tree is.
+    picked = rows.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("r"))
+    chosen = materialize(picked.select("node", F.xxhash64("r.doc_id", "r.text_key").alias("row_key")).join(member, "node"), "members")
+    texts = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("row_key"), "text")
+    found = texts.join(F.broadcast(chosen) if chosen.count() <= broadcast_rows else chosen, "row_key").select("block", "node", "text")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((b.column(0)[i].as_py(), b.column(1)[i].as_py(), b.column(2)[i].as_py()) for b in batches for i in range(b.num_rows))
+        def each() -> Iterator[tuple[int, int, bytes]]:
+            for b in batches:
+                texts = pc.cast(b.column(2), pa.binary())
+                for i in range(b.num_rows):
+                    yield b.column(0)[i].as_py(), b.column(1)[i].as_py(), texts[i].as_py()
+
         a: list[int] = []
         to: list[int] = []
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(to, pa.int64())], names=["a", "b"])
 
-        for _, group in itertools.groupby(rows, key=lambda r: r[0]):
-            own = {node: content for _, node, content in group}
+        for _, group in itertools.groupby(each(), key=lambda r: r[0]):
+            own: dict[int, np.ndarray] = {}
+            for _, node, text in group:
+                if node not in own:  # repeated rows send a text again
+                    own[node] = shingle_set(text, k)
             nodes = sorted(own)
-            label = join_block([np.frombuffer(own[n], np.uint64) for n in nodes], percent)
+            label = join_block([own[n] for n in nodes], percent)
             for i, target in enumerate(label.tolist()):
                 if target != i:
                     a.append(nodes[i])
@@ -332,7 +328,7 @@ def link(docs: DataFrame, k: int = 4, percent: int = PERCENT, bucket_bytes: int
         if a:
             yield out()
 
-    spread = found.mapInArrow(sets, "block long, node long, content binary").repartition("block").sortWithinPartitions("block")
+    spread = found.repartition("block").sortWithinPartitions("block", "node")
     links = materialize(spread.mapInArrow(join, "a long, b long"), "links")
     if oversize:
         roots = materialize(components(links), "roots")
@@ -360,7 +356,7 @@ def keep_one(docs: DataFrame, broadcast_rows: int = 1_000_000, **how: int) -> Da
     judged = materialize(judged.where("not stays or rows > 1").select(F.xxhash64("doc_id", "text_key").alias(key), "stays"), "judged")
     small = judged.count() <= broadcast_rows
     side = lambda df: F.broadcast(df) if small else df
-    keyed = docs.withColumn(key, F.xxhash64("doc_id", F.xxhash64("text")))
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")))
     left = keyed.join(side(judged.where("not stays").select(key)), key, "left_anti")
     repeated = judged.where("stays").select(key)
     if repeated.limit(1).count():
