@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetgrid.functions import rules
-from facetgrid.functions.text import DIGITS, FULL_DIGITS
+from facetgrid.functions.text import DIGITS, FULL_DIGITS, normalize_lines
 
 # Labels of the page.
 REDUNDANT = ("年度", "授業コード", "授業科目", "開講責任部署", "講義区分", "時間割", "講義開講時期", "履修開始年次")
@@ -25,6 +25,8 @@ PLAN_CLASS, VALUE_CLASS, MOBILE_CLASS = "tbl_status_jugyo", "selectGroupTable",
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BREAKS = re.compile(r"<br\s*/?>|</(?:p|div|li|tr|h[1-6])>", re.I)
 ENDED_BY = {"tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "li": ("li",), "p": ("p",)}
+#: The ampersand last: what it forms is text.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"))
 ASCII = str.maketrans(FULL_DIGITS, DIGITS)
 
 RECORD = (
@@ -245,9 +247,6 @@ def block_text(pages: DataFrame, html: str = "html", *keep: str) -> DataFrame:
     bare = F.regexp_replace(F.col(html), r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
     lined = F.regexp_replace(bare, r"(?i)<br\s*/?>|</(?:p|div|li|tr|h[1-6])>", "\n")
     plain = F.regexp_replace(lined, r"(?s)<[^>]*>", "")
-    # The ampersand last: what it forms is text.
-    for sign, text in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
+    for sign, text in ENTITIES:
         plain = F.replace(plain, F.lit(sign), F.lit(text))
-    from facetgrid.functions.text import normalize_lines
-
     return pages.select(*keep, normalize_lines(plain).alias("text"))

@@ -446,7 +446,12 @@ def link_tokens(spark, sf):
     return parts.select("page_id", F.size(F.filter("parts", lambda p: p["kind"].isNotNull())).alias("links"), chars.alias("chars"))
 
 
-@query()
+_PLAIN = "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', '', 'g'), '(?i)<br\\s*/?>|</(?:p|div|li|tr|h[1-6])>', chr(10), 'g'), '(?s)<[^>]*>', '', 'g')"
+for _sign, _text in html_detail.ENTITIES:
+    _PLAIN = f"replace({_PLAIN}, '{_sign}', {_sql(_text)})"
+
+
+@query(f"select page_id, array_to_string([regexp_replace(regexp_replace(x, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g') for x in string_split({_PLAIN}, chr(10)) if regexp_matches(x, '\\S')], chr(10)) as text from pages")
 def html_text(spark, sf):
     return html_detail.block_text(table(spark, sf, "pages"), "html", "page_id")
 
