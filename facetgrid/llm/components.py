@@ -2,31 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetgrid.llm.common import materialize
 
 
-def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(member, smallest member) of each component of the edges within one task, roots left out."""
-    nodes, inverse = np.unique(np.concatenate((a, b)), return_inverse=True)
-    x, y = inverse[: len(a)], inverse[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        before = label.copy()
-        low = np.minimum(label[x], label[y])
-        np.minimum.at(label, label[x], low)
-        np.minimum.at(label, label[y], low)
-        while not np.array_equal(jump := label[label], label):
-            label = jump
-        if np.array_equal(label, before):
-            break
-    member = np.nonzero(label != np.arange(len(nodes)))[0]
-    return nodes[member], nodes[label[member]]
-
-
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(id, root) for all ids of ``edges`` (a, b): root is the smallest id reachable.
 

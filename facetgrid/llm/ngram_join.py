@@ -7,17 +7,20 @@ R-trees whose boxes bound that sum from above; a pair whose bound reaches the
 needed overlap is verified on the sets.
 
 A tree over all points at once would not be distributed, so nodes first meet in
-blocks that lose no pair: nodes are split into as many groups as their sets may
+runs that lose no pair: nodes are split into as many groups as their sets may
 differ in elements and one more (with a reserve for empty groups), so that two
 linked nodes agree in one whole group that is not empty, whose content is a key
 of both.  A node with more empty groups than the reserve has the keys of a
 prefix filter besides.  Nodes differ in size by the threshold at most, so each
 takes part in two size classes.  Keys are exchanged in packed form (32 bits and
-the node), nodes that share keys form blocks by connected components, and only
-nodes in blocks send their texts, once, to the task that has their block's tree.
-A block above ``max_block`` nodes is cut into parts, each pair of which is a task
-of its own.  Links are spanning: a pair already connected in its task is not
-verified again, which leaves the components as they are.
+the node).  The nodes of a key are a run; equal runs count once.  Each run has
+its R-tree, over points alone, and only pairs whose bound reaches the overlap
+that a link needs stay: what shares a key by chance ends here.  The connected
+components of these pairs are the blocks.  Nodes in blocks send their texts,
+once, to the task that has their block's tree, where pairs are verified.  Runs
+and blocks above ``max_block`` nodes are cut into parts, each pair of which is a
+task of its own.  Pairs and links are spanning: one already connected in its task
+is not looked at again, which leaves components as they are.
 
 Nulls and odd input: a null or empty text, or one of white space, has no
 shingles and is linked with nothing, its own component.  With fewer words than a
@@ -30,7 +33,7 @@ has no other.  An empty table gives an empty result; further columns are ignored
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -42,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetgrid.llm.common import fresh, materialize
-from facetgrid.llm.components import components, stars
+from facetgrid.llm.components import components
 
 PERCENT = 85
 BUCKET_BYTES = 16 << 20
@@ -182,34 +185,75 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def join_block(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
-    """Label (smallest position reachable) of each set by links among ``sets``."""
-    sizes = np.array([len(s) for s in sets])
-    label = np.arange(len(sets))
-    dims = 16
-    while dims < 256 and dims * 8 < sizes.max():
-        dims *= 2
-    shift = np.uint64(64 - dims.bit_length() + 1)
-    points = np.zeros((len(sets), dims), np.int32)
-    for k, s in enumerate(sets):
-        points[k] = np.bincount((s >> shift).astype(np.int64), minlength=dims)
-    tree = RTree(points, sizes)
-    for k, s in enumerate(sets):
-        found = tree.near(points[k], int(sizes[k]), percent)
+def point_of(s: np.ndarray) -> np.ndarray:
+    """Counts of hash ranges, about one element each, up to 3; what is beyond is the last coordinate.
+
+    The sum of minima over all coordinates bounds the overlap.  The ranges are a
+    power of two, so that a coarser point is a sum of neighbours.
+    """
+    ranges = 16
+    while ranges * 3 < len(s) * 2:
+        ranges *= 2
+    counts = np.bincount((s >> np.uint64(64 - ranges.bit_length() + 1)).astype(np.int64), minlength=ranges)
+    low = np.minimum(counts, 3)
+    return np.append(low, len(s) - low.sum()).astype(np.int32)
+
+
+def pack_point(p: np.ndarray) -> bytes:
+    four = p[:-1].astype(np.uint8).reshape(-1, 4)
+    return int(p[-1]).to_bytes(4, "little") + (four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6).tobytes()
+
+
+def unpack_point(data: bytes) -> np.ndarray:
+    packed = np.frombuffer(data, np.uint8, offset=4)
+    out = np.empty(4 * len(packed) + 1, np.int32)
+    for k in range(4):
+        out[k:-1:4] = packed >> np.uint8(2 * k) & np.uint8(3)
+    out[-1] = int.from_bytes(data[:4], "little")
+    return out
+
+
+def coarsened(p: np.ndarray, ranges: int) -> np.ndarray:
+    """The point of the same set with fewer ranges."""
+    if len(p) == ranges + 1:
+        return p
+    counts = p[:-1].reshape(ranges, -1).sum(axis=1)
+    low = np.minimum(counts, 3)
+    return np.append(low, p[-1] + (counts - low).sum()).astype(np.int32)
+
+
+def near_pairs(points: list[np.ndarray], percent: int = PERCENT, linked: Callable[[int, int], bool] = lambda a, b: True) -> np.ndarray:
+    """Label (smallest position reachable) of each point by pairs that reach their bound and are ``linked``."""
+    ranges = min(map(len, points)) - 1
+    whole = np.stack([coarsened(p, ranges) for p in points])
+    sizes = whole.sum(axis=1)
+    label = np.arange(len(points))
+    if len(points) == 2:
+        if np.minimum(whole[0], whole[1]).sum() >= needed(int(sizes.sum()), percent) and linked(1, 0):
+            label[1] = 0
+        return label
+    tree = RTree(whole, sizes)
+    for k in range(1, len(points)):
+        found = tree.near(whole[k], int(sizes[k]), percent)
         for p in found[found < k]:
-            if label[p] != label[k] and overlap(s, sets[p]) >= needed(int(sizes[k] + sizes[p]), percent):
+            if label[p] != label[k] and linked(k, int(p)):
                 low, high = sorted((label[p], label[k]))
                 label[label == high] = low
     return label
 
 
-PASS = "doc_id long, text_key long, n_shingles long, node long, bucket int, keys binary, nodes binary"
+def join_block(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
+    """Label (smallest position reachable) of each set by links among ``sets``."""
+    return near_pairs([point_of(s) for s in sets], percent, lambda a, b: overlap(sets[a], sets[b]) >= needed(len(sets[a]) + len(sets[b]), percent))
+
+
+PASS = "doc_id long, text_key long, n_shingles long, node long, point binary, bucket int, keys binary, nodes binary"
 
 
 def scan(docs: DataFrame, parts_bits: int, k: int, percent: int) -> DataFrame:
-    """One row for each document, and packed keys by bucket (other columns null)."""
-    names = ["doc_id", "text_key", "n_shingles", "node", "bucket", "keys", "nodes"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+    """One row for each document (with its point where its node is new to the task), and packed keys by bucket (other columns null)."""
+    names = ["doc_id", "text_key", "n_shingles", "node", "point", "bucket", "keys", "nodes"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
     parts = 1 << parts_bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,14 +271,15 @@ def scan(docs: DataFrame, parts_bits: int, k: int, percent: int) -> DataFrame:
             low = ((keys >> np.uint64(32 - parts_bits)) & np.uint64(0xFFFFFFFF)).astype("<u4")
             spans = [(p, cut[p], cut[p + 1]) for p in range(parts) if cut[p] < cut[p + 1]]
             none = [None] * len(spans)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([none, none, none, none, [p for p, _, _ in spans], [low[a:b].tobytes() for _, a, b in spans], [nodes[a:b].tobytes() for _, a, b in spans]], kinds, strict=True)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([none, none, none, none, none, [p for p, _, _ in spans], [low[a:b].tobytes() for _, a, b in spans], [nodes[a:b].tobytes() for _, a, b in spans]], kinds, strict=True)], names=names)
 
         for batch in batches:
             texts = pc.fill_null(pc.cast(batch.column(2), pa.binary()), b"")
-            sizes, nodes = [], []
+            sizes, nodes, points = [], [], []
             for text in texts:
                 s = shingle_set(text.as_py(), k)
                 sizes.append(len(s))
+                points.append(None)
                 if not len(s):
                     nodes.append(None)
                     continue
@@ -242,6 +287,7 @@ def scan(docs: DataFrame, parts_bits: int, k: int, percent: int) -> DataFrame:
                 nodes.append(node)
                 if node not in seen:
                     seen.add(node)
+                    points[-1] = pack_point(point_of(s))
                     keys = block_keys(s, percent)
                     held.append(keys)
                     owners.append((node, len(keys)))
@@ -250,22 +296,71 @@ def scan(docs: DataFrame, parts_bits: int, k: int, percent: int) -> DataFrame:
                         yield packed()
                         held, owners, count = [], [], 0
             none = [None] * len(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip([sizes, nodes, none, none, none], kinds[2:], strict=True)]], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip([sizes, nodes, points, none, none, none], kinds[2:], strict=True)]], names=names)
         if count:
             yield packed()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, PASS)
 
 
-def key_stars(group: pd.DataFrame) -> pd.DataFrame:
-    """Edges (a, b) from each node that shares a key in this bucket to the smallest one connected."""
+def key_runs(group: pd.DataFrame) -> pd.DataFrame:
+    """(run, node) of each key of this bucket that two nodes have; runs of the same nodes have one name."""
     keys = np.concatenate([np.frombuffer(b, "<u4") for b in group["keys"]])
     nodes = np.concatenate([np.frombuffer(b, "<i8") for b in group["nodes"]])
     order = np.lexsort((nodes, keys))
     keys, nodes = keys[order], nodes[order]
-    same = (keys[1:] == keys[:-1]) & (nodes[1:] != nodes[:-1])
-    a, b = stars(nodes[1:][same], nodes[:-1][same])
-    return pd.DataFrame({"a": a, "b": b})
+    fresh_row = np.concatenate(([True], (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])))
+    keys, nodes = keys[fresh_row], nodes[fresh_row]
+    heads = np.nonzero(np.concatenate(([True], keys[1:] != keys[:-1])))[0]
+    sizes = np.diff(np.append(heads, len(keys)))
+    names = mix(np.add.reduceat(mix(nodes.view(np.uint64) * _A + _B), heads) + sizes.astype(np.uint64) * _C).view(np.int64)
+    run, shared = np.repeat(names, sizes), np.repeat(sizes > 1, sizes)
+    pairs = np.unique(np.stack((run[shared], nodes[shared]), 1), axis=0)
+    return pd.DataFrame({"run": pairs[:, 0], "node": pairs[:, 1]})
+
+
+def cut_large(members: DataFrame, group: str, max_block: int, broadcast_rows: int) -> tuple[DataFrame, bool]:
+    """``members`` (group, node) with groups above ``max_block`` as pairs of their parts; whether there were any."""
+    size = members.groupBy(group).agg(F.count("*").alias("n"))
+    large = size.where(F.col("n") > max_block).select(group, F.ceil(F.col("n") / (max_block // 2)).cast("int").alias("parts"))
+    number = large.count()
+    if not number:
+        return members, False
+    # Broadcast where small: a shuffle by group would gather each large one.
+    cut = members.join(F.broadcast(large) if number <= broadcast_rows else large, group, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    cut = cut.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    name = F.when(F.col("parts") == 1, F.col(group)).otherwise(F.xxhash64(group, F.least("part", "other"), F.greatest("part", "other")))
+    return cut.select(name.alias(group), "node"), True
+
+
+def spanning(grouped: DataFrame, label: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
+    """(a, b) edges to the smallest node of each component of ``label`` over groups (group, node, content)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[tuple[int, int, bytes]]:
+            for b in batches:
+                content = pc.cast(b.column(2), pa.binary())
+                for i, (group, node) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                    yield group, node, content[i].as_py()
+
+        a: list[int] = []
+        to: list[int] = []
+        for _, rows in itertools.groupby(each(), key=lambda r: r[0]):
+            own = {node: content for _, node, content in rows}  # repeated rows send a text again
+            nodes = sorted(own)
+            if len(nodes) > 1:
+                for i, target in enumerate(label([own[n] for n in nodes]).tolist()):
+                    if target != i:
+                        a.append(nodes[i])
+                        to.append(nodes[target])
+            if len(a) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(to, pa.int64())], names=["a", "b"])
+                a, to = [], []
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(to, pa.int64())], names=["a", "b"])
+
+    group, node = grouped.columns[:2]
+    return grouped.repartition(group).sortWithinPartitions(group, node).mapInArrow(run, "a long, b long")
 
 
 def link(docs: DataFrame, k: int = 4, percent: int = PERCENT, bucket_bytes: int = BUCKET_BYTES, max_block: int = MAX_BLOCK, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -278,58 +373,19 @@ def link(docs: DataFrame, k: int = 4, percent: int = PERCENT, bucket_bytes: int
     passed = materialize(scan(docs, bits, k, percent), "shingles")
     rows = passed.where("bucket is null").select("doc_id", "text_key", "n_shingles", "node")
     packed = passed.where("bucket is not null").select("bucket", "keys", "nodes")
-    edges = packed.repartition(1 << bits, "bucket").groupBy("bucket").applyInPandas(key_stars, "a long, b long")
-    blocks = materialize(components(edges).withColumnRenamed("root", "block"), "blocks")
-
-    # Blocks too large for one task: each pair of parts is a task.
-    size = blocks.groupBy("block").agg(F.count("*").alias("n"))
-    large = size.where(F.col("n") > max_block).select("block", F.ceil(F.col("n") / (max_block // 2)).cast("int").alias("parts"))
-    oversize = large.count()
-    member = blocks.select(F.col("id").alias("node"), "block")
-    if oversize:
-        # Broadcast where small: a shuffle by block would gather each large block.
-        cut = member.join(F.broadcast(large) if oversize <= broadcast_rows else large, "block", "left").withColumn("part", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int"))
-        with_all = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
-        member = with_all.select("node", F.when(F.col("parts").isNull(), F.col("block")).otherwise(F.xxhash64("block", F.least("part", "other"), F.greatest("part", "other"))).alias("block"))
+    runs = materialize(packed.repartition(1 << bits, "bucket").groupBy("bucket").applyInPandas(key_runs, "run long, node long").distinct(), "runs")
+    points = passed.where("point is not null").groupBy("node").agg(F.min("point").alias("point"))
+    in_runs = cut_large(runs, "run", max_block, broadcast_rows)[0].join(points, "node").select("run", "node", "point")
+    edges = spanning(in_runs, lambda found: near_pairs([unpack_point(p) for p in found], percent))
+    blocks = materialize(components(edges).select(F.col("root").alias("block"), F.col("id").alias("node")), "blocks")
+    member, oversize = cut_large(blocks, "block", max_block, broadcast_rows)
 
     # One row of each node sends its text; the set is made where the tree is.
     picked = rows.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("r"))
     chosen = materialize(picked.select("node", F.xxhash64("r.doc_id", "r.text_key").alias("row_key")).join(member, "node"), "members")
     texts = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("row_key"), "text")
     found = texts.join(F.broadcast(chosen) if chosen.count() <= broadcast_rows else chosen, "row_key").select("block", "node", "text")
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def each() -> Iterator[tuple[int, int, bytes]]:
-            for b in batches:
-                texts = pc.cast(b.column(2), pa.binary())
-                for i in range(b.num_rows):
-                    yield b.column(0)[i].as_py(), b.column(1)[i].as_py(), texts[i].as_py()
-
-        a: list[int] = []
-        to: list[int] = []
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(to, pa.int64())], names=["a", "b"])
-
-        for _, group in itertools.groupby(each(), key=lambda r: r[0]):
-            own: dict[int, np.ndarray] = {}
-            for _, node, text in group:
-                if node not in own:  # repeated rows send a text again
-                    own[node] = shingle_set(text, k)
-            nodes = sorted(own)
-            label = join_block([own[n] for n in nodes], percent)
-            for i, target in enumerate(label.tolist()):
-                if target != i:
-                    a.append(nodes[i])
-                    to.append(nodes[target])
-            if len(a) > 50_000:
-                yield out()
-                a, to = [], []
-        if a:
-            yield out()
-
-    spread = found.repartition("block").sortWithinPartitions("block", "node")
-    links = materialize(spread.mapInArrow(join, "a long, b long"), "links")
+    links = materialize(spanning(found, lambda own: join_block([shingle_set(t, k) for t in own], percent)), "links")
     if oversize:
         roots = materialize(components(links), "roots")
     else:  # each node's one link is to its component's smallest node

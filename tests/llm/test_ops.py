@@ -363,6 +363,22 @@ def test_linked_sets_share_a_key():
                 assert np.intersect1d(ngram_join.block_keys(a), ngram_join.block_keys(b)).size
 
 
+def test_points_bound_the_overlap():
+    rng = np.random.default_rng(12)
+    for n in (5, 20, 96, 97, 400, 3000):
+        for share in (0.5, 0.9, 0.99):
+            base = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+            crowded = np.unique(base >> np.uint64(5))  # many elements in few ranges
+            for a in (base, crowded):
+                keep = a[rng.random(len(a)) < share]
+                b = np.unique(np.concatenate((keep, rng.integers(0, 1 << 63, max(1, n // 8)).astype(np.uint64))))
+                p, q = ngram_join.point_of(a), ngram_join.point_of(b)
+                assert np.array_equal(ngram_join.unpack_point(ngram_join.pack_point(p)), p) and p.sum() == len(a)
+                ranges = min(len(p), len(q)) - 1
+                p, q = ngram_join.coarsened(p, ranges), ngram_join.coarsened(q, ranges)
+                assert ngram_join.overlap(a, b) <= np.minimum(p, q).sum() and q.sum() == len(b)
+
+
 def test_tree_loses_nothing():
     rng = np.random.default_rng(8)
     points = rng.poisson(4, (500, 16)).astype(np.int32)
@@ -470,7 +486,7 @@ def test_token_counts(spark):
 
 def test_small_cache_counts_the_same():
     spec = json.loads(Path(public_tokenizers.path("byte_bpe_50k.json")).read_text())
-    tight, wide = token_count.Counter(spec, entries=2), token_count.Counter(spec)
+    tight, wide = token_count.Chunks(token_count.Words(spec, 1), entries=2), token_count.Chunks(token_count.Words(spec))
     for w in (b"one", b"two", b"three", b"one", b"lowest", b"two"):
         assert tight[w] == wide[w]
 
