@@ -8,10 +8,10 @@ needed overlap is verified on the sets.
 
 A tree over all points at once would not be distributed, so nodes first meet in
 runs that lose no pair: nodes are split into as many groups as their sets may
-differ in elements and one more (with a reserve for empty groups), so that two
-linked nodes agree in one whole group that is not empty, whose content is a key
-of both.  A node with more empty groups than the reserve has the keys of a
-prefix filter besides.  Nodes differ in size by the threshold at most, so each
+differ in elements and some more (groups too small do not count), so that two
+linked nodes agree in one whole group that is not small, whose content is a key
+of both.  A node with too many small groups for that has the keys of a prefix
+filter besides.  Nodes differ in size by the threshold at most, so each
 takes part in two size classes.  Keys are exchanged in packed form (32 bits and
 the node).  The nodes of a key are a run; equal runs count once.  Each run has
 its R-tree, over points alone, and only pairs whose bound reaches the overlap
@@ -33,6 +33,7 @@ has no other.  An empty table gives an empty result; further columns are ignored
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -53,6 +54,7 @@ BROADCAST_ROWS = 500_000
 MAX_BLOCK = 4096
 LEAF = 64
 FLUSH = 400_000
+FLUSH_NODES = 60_000  # a node's number in a packed row has 16 bits
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 _S29, _S32 = np.uint64(29), np.uint64(32)
@@ -107,74 +109,110 @@ def class_bounds(percent: int) -> np.ndarray:
     return np.array(out)
 
 
+def most_different(n: int, largest: int, percent: int) -> int:
+    """The most elements in which a set of ``n`` and a linked one of at most ``largest`` can differ."""
+    return (100 - percent) * (n + min(largest, n * 100 // percent)) // (100 + percent)
+
+
 @cache
 def class_groups(c: int, percent: int) -> tuple[int, int]:
-    """(groups, reserve of empty ones) of the pairs whose larger set is in class ``c``."""
-    largest = int(class_bounds(percent)[c + 1]) - 1
-    differ = (100 - percent) * 2 * largest // (100 + percent)
-    reserve = 0 if differ < 2 else 1 + differ // 24
-    return differ + 1 + reserve, reserve
+    """(groups, least size of a group that makes a key) for pairs whose larger set is in class ``c``.
+
+    A set's groups below the least size must be fewer than those in which linked
+    sets agree.  So many groups are taken that this holds for nearly all sets of
+    random hashes; keys of two elements and more meet less often by chance.
+    """
+    bounds = class_bounds(percent)
+    largest, smallest = int(bounds[c + 1]) - 1, int(bounds[max(0, c - 1)])
+    sizes = sorted({smallest + (largest - smallest) * k // 8 for k in range(9)})
+
+    def few(groups: int, n: int, least: int) -> int:
+        rate = n / groups
+        mean = groups * math.exp(-rate) * (1 + (rate if least > 1 else 0))
+        return int(mean + 3 * math.sqrt(mean)) if groups > 1 else 0
+
+    differ = most_different(largest, largest, percent)
+    for least in (2, 1) if largest >= 48 else (1,):
+        for groups in range(differ + 1, 2 * differ + 9, max(1, largest // 200)):
+            if all(few(groups, n, least) < groups - most_different(n, largest, percent) for n in sizes):
+                return groups, least
+    return differ + 1, 1
 
 
 def block_keys(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """64-bit keys of a sorted set; linked sets have one in common."""
     n = len(s)
-    own = int(np.searchsorted(class_bounds(percent), n, "right")) - 1
+    bounds = class_bounds(percent)
+    own = int(np.searchsorted(bounds, n, "right")) - 1
     content = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(s * _C + _A))))
     out, overflow = [], False
     high = s >> _S32
     for c in (own, own + 1):
-        groups, reserve = class_groups(c, percent)
+        groups, least = class_groups(c, percent)
         g = (high * np.uint64(groups)) >> _S32
         edges = np.concatenate(([0], np.nonzero(g[1:] != g[:-1])[0] + 1, [n]))
-        sums = content[edges[1:]] - content[edges[:-1]]
-        overflow |= groups - len(sums) > reserve
-        out.append(mix(sums + g[edges[:-1]] * _A + np.uint64((c + 1) * int(_B) % (1 << 64))))
+        full = np.nonzero(edges[1:] - edges[:-1] >= least)[0]
+        # Of the groups that linked sets agree in, one must be large enough.
+        overflow |= groups - len(full) >= groups - most_different(n, int(bounds[c + 1]) - 1, percent)
+        sums = content[edges[full + 1]] - content[edges[full]]
+        out.append(mix(sums + g[edges[full]] * _A + np.uint64((c + 1) * int(_B) % (1 << 64))))
     if overflow:
         out.append(mix(s[: n - -(-percent * n // 100) + 1] * _C))
     return np.concatenate(out)
 
 
+def planes(low: np.ndarray) -> np.ndarray:
+    """Counts up to 3 in unary: a bit for each of "at least 1, 2, 3".
+
+    The sum of minima of two rows is the number of bits they share, and the
+    largest counts of several rows are the bits that any of them has.
+    """
+    return np.concatenate([np.packbits(low >= k, axis=1) for k in (1, 2, 3)], axis=1).view(np.uint64)
+
+
 class RTree:
-    """Points packed by sorting along the widest coordinates; boxes keep the largest counts and the smallest set."""
+    """Points packed by sorting along size and the widest coordinates; boxes keep the largest counts and the range of sizes.
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, leaf: int = LEAF) -> None:
-        self.points, self.sizes = points, sizes
+    ``points``: a row for each set, as ``point_of`` gives them.
+    """
+
+    def __init__(self, points: np.ndarray, leaf: int = LEAF) -> None:
+        self.bits, self.over, self.sizes = planes(points[:, :-1]), points[:, -1].astype(np.int64), points.sum(axis=1, dtype=np.int64)
         wide = np.argsort(-points.var(axis=0), kind="stable") if len(points) > leaf else np.zeros(1, np.int64)
 
         def pack(rows: np.ndarray, depth: int) -> list[np.ndarray]:
             if len(rows) <= leaf:
                 return [rows]
-            axis = points[rows, wide[depth % len(wide)]] if depth else sizes[rows]
+            axis = points[rows, wide[depth % len(wide)]] if depth else self.sizes[rows]
             rows = rows[np.argsort(axis, kind="stable")]
             half = len(rows) // 2
             return pack(rows[:half], depth + 1) + pack(rows[half:], depth + 1)
 
         self.leaves = pack(np.arange(len(points)), 0)
-        level = [(points[r].max(axis=0), int(sizes[r].min()), int(sizes[r].max()), k) for k, r in enumerate(self.leaves)]
+        level = [(np.bitwise_or.reduce(self.bits[r]), self.over[r].max(), self.sizes[r].min(), self.sizes[r].max()) for r in self.leaves]
         self.levels = []
         while True:
-            high, low, top, child = zip(*level, strict=True)
-            self.levels.append((np.array(high), np.array(low), np.array(top)))
+            self.levels.append([np.array(column) for column in zip(*level, strict=True)])
             if len(level) <= 16:
                 break
-            level = [(self.levels[-1][0][k : k + 16].max(axis=0), int(self.levels[-1][1][k : k + 16].min()), int(self.levels[-1][2][k : k + 16].max()), k) for k in range(0, len(level), 16)]
+            bits, over, low, top = self.levels[-1]
+            level = [(np.bitwise_or.reduce(bits[k : k + 16]), over[k : k + 16].max(), low[k : k + 16].min(), top[k : k + 16].max()) for k in range(0, len(level), 16)]
 
-    def near(self, point: np.ndarray, size: int, percent: int = PERCENT) -> np.ndarray:
-        """Points whose bound on the overlap reaches what a link needs."""
+    def near(self, k: int, percent: int = PERCENT) -> np.ndarray:
+        """Points whose bound on the overlap with point ``k`` reaches what a link needs."""
+        own, over, size = self.bits[k], self.over[k], int(self.sizes[k])
+        bound = lambda bits, more: np.bitwise_count(bits & own).sum(axis=1, dtype=np.int64) + np.minimum(more, over)
         boxes = np.arange(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
-            high, low, top = self.levels[depth]
-            fits = (np.minimum(high[boxes], point).sum(axis=1) >= needed(size + low[boxes], percent)) & (100 * top[boxes] >= percent * size) & (percent * low[boxes] <= 100 * size)
-            boxes = boxes[fits]
+            bits, more, low, top = (column[boxes] for column in self.levels[depth])
+            boxes = boxes[(bound(bits, more) >= needed(size + low, percent)) & (100 * top >= percent * size) & (percent * low <= 100 * size)]
             if depth:
-                below = len(self.levels[depth - 1][0])
                 boxes = (boxes[:, None] * 16 + np.arange(16)).ravel()
-                boxes = boxes[boxes < below]
+                boxes = boxes[boxes < len(self.levels[depth - 1][0])]
         if not len(boxes):
             return boxes
         rows = np.concatenate([self.leaves[b] for b in boxes])
-        return rows[np.minimum(self.points[rows], point).sum(axis=1) >= needed(size + self.sizes[rows], percent)]
+        return rows[bound(self.bits[rows], self.over[rows]) >= needed(size + self.sizes[rows], percent)]
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -191,7 +229,7 @@ def point_of(s: np.ndarray) -> np.ndarray:
     The sum of minima over all coordinates bounds the overlap.  The ranges are a
     power of two, so that a coarser point is a sum of neighbours.
     """
-    ranges = 16
+    ranges = 64
     while ranges * 3 < len(s) * 2:
         ranges *= 2
     counts = np.bincount((s >> np.uint64(64 - ranges.bit_length() + 1)).astype(np.int64), minlength=ranges)
@@ -226,17 +264,22 @@ def near_pairs(points: list[np.ndarray], percent: int = PERCENT, linked: Callabl
     """Label (smallest position reachable) of each point by pairs that reach their bound and are ``linked``."""
     ranges = min(map(len, points)) - 1
     whole = np.stack([coarsened(p, ranges) for p in points])
-    sizes = whole.sum(axis=1)
     label = np.arange(len(points))
     if len(points) == 2:
-        if np.minimum(whole[0], whole[1]).sum() >= needed(int(sizes.sum()), percent) and linked(1, 0):
+        if np.minimum(whole[0], whole[1]).sum() >= needed(int(whole.sum()), percent) and linked(1, 0):
             label[1] = 0
         return label
-    tree = RTree(whole, sizes)
+    tree = RTree(whole)
+
+    def reaches(a: int, b: int) -> bool:
+        """The bound at the finest ranges that both have."""
+        both = min(len(points[a]), len(points[b])) - 1
+        return both == ranges or np.minimum(coarsened(points[a], both), coarsened(points[b], both)).sum() >= needed(int(tree.sizes[a] + tree.sizes[b]), percent)
+
     for k in range(1, len(points)):
-        found = tree.near(whole[k], int(sizes[k]), percent)
+        found = tree.near(k, percent)
         for p in found[found < k]:
-            if label[p] != label[k] and linked(k, int(p)):
+            if label[p] != label[k] and reaches(k, int(p)) and linked(k, int(p)):
                 low, high = sorted((label[p], label[k]))
                 label[label == high] = low
     return label
@@ -247,13 +290,13 @@ def join_block(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     return near_pairs([point_of(s) for s in sets], percent, lambda a, b: overlap(sets[a], sets[b]) >= needed(len(sets[a]) + len(sets[b]), percent))
 
 
-PASS = "doc_id long, text_key long, n_shingles long, node long, point binary, bucket int, keys binary, nodes binary"
+PASS = "doc_id long, text_key long, n_shingles long, node long, point binary, bucket int, keys binary, which binary, nodes binary"
 
 
 def scan(docs: DataFrame, parts_bits: int, k: int, percent: int) -> DataFrame:
     """One row for each document (with its point where its node is new to the task), and packed keys by bucket (other columns null)."""
-    names = ["doc_id", "text_key", "n_shingles", "node", "point", "bucket", "keys", "nodes"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+    names = ["doc_id", "text_key", "n_shingles", "node", "point", "bucket", "keys", "which", "nodes"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
     parts = 1 << parts_bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,14 +307,21 @@ def scan(docs: DataFrame, parts_bits: int, k: int, percent: int) -> DataFrame:
 
         def packed() -> pa.RecordBatch:
             keys = np.concatenate(held)
-            nodes = np.repeat(np.array([o for o, _ in owners], np.int64), [n for _, n in owners])
+            ids = np.array([o for o, _ in owners], np.int64)
+            owner = np.repeat(np.arange(len(owners)), [n for _, n in owners])
             order = np.argsort(keys)
-            keys, nodes = keys[order], nodes[order]
+            keys, owner = keys[order], owner[order]
             cut = np.searchsorted(keys >> np.uint64(64 - parts_bits), np.arange(parts + 1))
             low = ((keys >> np.uint64(32 - parts_bits)) & np.uint64(0xFFFFFFFF)).astype("<u4")
-            spans = [(p, cut[p], cut[p + 1]) for p in range(parts) if cut[p] < cut[p + 1]]
-            none = [None] * len(spans)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([none, none, none, none, none, [p for p, _, _ in spans], [low[a:b].tobytes() for _, a, b in spans], [nodes[a:b].tobytes() for _, a, b in spans]], kinds, strict=True)], names=names)
+            rows: list[list] = [[], [], [], []]
+            for p in range(parts):
+                a, b = cut[p], cut[p + 1]
+                if a < b:
+                    own, which = np.unique(owner[a:b], return_inverse=True)
+                    for column, value in zip(rows, (p, low[a:b].tobytes(), which.astype("<u2").tobytes(), ids[own].tobytes()), strict=True):
+                        column.append(value)
+            none = [None] * len(rows[0])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([none] * 5 + rows, kinds, strict=True)], names=names)
 
         for batch in batches:
             texts = pc.fill_null(pc.cast(batch.column(2), pa.binary()), b"")
@@ -292,11 +342,11 @@ def scan(docs: DataFrame, parts_bits: int, k: int, percent: int) -> DataFrame:
                     held.append(keys)
                     owners.append((node, len(keys)))
                     count += len(keys)
-                    if count >= FLUSH:
+                    if count >= FLUSH or len(owners) >= FLUSH_NODES:
                         yield packed()
                         held, owners, count = [], [], 0
             none = [None] * len(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip([sizes, nodes, points, none, none, none], kinds[2:], strict=True)]], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip([sizes, nodes, points, none, none, none, none], kinds[2:], strict=True)]], names=names)
         if count:
             yield packed()
 
@@ -306,7 +356,7 @@ def scan(docs: DataFrame, parts_bits: int, k: int, percent: int) -> DataFrame:
 def key_runs(group: pd.DataFrame) -> pd.DataFrame:
     """(run, node) of each key of this bucket that two nodes have; runs of the same nodes have one name."""
     keys = np.concatenate([np.frombuffer(b, "<u4") for b in group["keys"]])
-    nodes = np.concatenate([np.frombuffer(b, "<i8") for b in group["nodes"]])
+    nodes = np.concatenate([np.frombuffer(n, "<i8")[np.frombuffer(w, "<u2")] for n, w in zip(group["nodes"], group["which"], strict=True)])
     order = np.lexsort((nodes, keys))
     keys, nodes = keys[order], nodes[order]
     fresh_row = np.concatenate(([True], (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])))
@@ -372,7 +422,7 @@ def link(docs: DataFrame, k: int = 4, percent: int = PERCENT, bucket_bytes: int
     bits = max(3, int(np.ceil(np.log2(max(1, total / bucket_bytes)))))
     passed = materialize(scan(docs, bits, k, percent), "shingles")
     rows = passed.where("bucket is null").select("doc_id", "text_key", "n_shingles", "node")
-    packed = passed.where("bucket is not null").select("bucket", "keys", "nodes")
+    packed = passed.where("bucket is not null").select("bucket", "keys", "which", "nodes")
     runs = materialize(packed.repartition(1 << bits, "bucket").groupBy("bucket").applyInPandas(key_runs, "run long, node long").distinct(), "runs")
     points = passed.where("point is not null").groupBy("node").agg(F.min("point").alias("point"))
     in_runs = cut_large(runs, "run", max_block, broadcast_rows)[0].join(points, "node").select("run", "node", "point")

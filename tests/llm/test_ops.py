@@ -349,18 +349,20 @@ def test_one_of_each_component_stays(spark):
     assert ngram_join.keep_one(left.limit(0)).count() == 0 and ngram_join.link(left.limit(0)).count() == 0
 
 
-def test_linked_sets_share_a_key():
+@pytest.mark.parametrize("percent", [80, 85])
+def test_linked_sets_share_a_key(percent):
     rng = np.random.default_rng(7)
-    for n in (*range(1, 40), 90, 300, 1000):
+    for n in (*range(1, 60), 90, 300, 1000, 3000):
         for _ in range(20):
             a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
-            most = 15 * 2 * n // 185
+            if rng.random() < 0.2:
+                a = np.unique(a >> np.uint64(rng.integers(1, 9)))  # crowded into few groups
+            most = (100 - percent) * 2 * n // (100 + percent)
             drop = rng.integers(0, most + 1)
-            b = np.delete(a, rng.permutation(n)[: min(drop, n - 1)])
+            b = np.delete(a, rng.permutation(len(a))[: min(drop, len(a) - 1)])
             b = np.unique(np.concatenate((b, rng.integers(0, 1 << 63, most - drop).astype(np.uint64))))
-            linked = ngram_join.overlap(a, b) * 100 >= 85 * len(np.union1d(a, b))
-            if linked:
-                assert np.intersect1d(ngram_join.block_keys(a), ngram_join.block_keys(b)).size
+            if ngram_join.overlap(a, b) * 100 >= percent * len(np.union1d(a, b)):
+                assert np.intersect1d(ngram_join.block_keys(a, percent), ngram_join.block_keys(b, percent)).size
 
 
 def test_points_bound_the_overlap():
@@ -381,12 +383,15 @@ def test_points_bound_the_overlap():
 
 def test_tree_loses_nothing():
     rng = np.random.default_rng(8)
-    points = rng.poisson(4, (500, 16)).astype(np.int32)
+    counts = rng.poisson(1.2, (700, 64))
+    points = np.concatenate((np.minimum(counts, 3), (counts - np.minimum(counts, 3)).sum(axis=1, keepdims=True)), axis=1).astype(np.int32)
     sizes = points.sum(axis=1)
-    tree = ngram_join.RTree(points, sizes, leaf=8)
-    for k in range(0, 500, 25):
-        bound = np.minimum(points, points[k]).sum(axis=1)
-        assert sorted(tree.near(points[k], int(sizes[k]), 70)) == np.nonzero(bound >= ngram_join.needed(sizes + sizes[k], 70))[0].tolist()
+    tree = ngram_join.RTree(points, leaf=8)
+    for percent in (50, 70):
+        for k in range(0, 700, 25):
+            bound = np.minimum(points, points[k]).sum(axis=1)
+            fits = (bound >= ngram_join.needed(sizes + sizes[k], percent)).nonzero()[0]
+            assert sorted(tree.near(k, percent)) == fits.tolist()
 
 
 def test_components(spark):
