@@ -4,7 +4,8 @@ A text is cut into pretokens as the byte-level tokenizer cuts it.  A pretoken
 starts as a linked list of its bytes; a heap gives the adjacent pair of lowest
 rank (leftmost first), which is merged, until no pair has a rank.  The count is
 the number of bytes less the number of merges; no token ids are made.  Equal
-chunks of text are counted once per worker, in a cache of bounded size.
+pretokens, and equal chunks of text, are counted once per worker, in caches of
+bounded size.
 
 A chunk is what runs from a space that is followed by a non-space up to the next
 such space.  The tokenizer's pattern always starts a pretoken there, so the sum
@@ -91,28 +92,62 @@ class Merger:
         return left
 
 
-class Counter(dict):
-    """Chunk -> tokens; a missing chunk is counted and kept."""
+class Kept(dict):
+    """Key -> number; a missing one is worked out and, if short, kept; full, it starts anew."""
 
-    def __init__(self, spec: dict, lead: bytes = b"", entries: int = CACHE_ENTRIES, merger: Merger | None = None) -> None:
+    def __init__(self, entries: int = CACHE_ENTRIES) -> None:
         super().__init__()
-        self.merger = merger or Merger(spec)
-        self.pretokens = regex.compile(PATTERN).findall
-        self.lead, self.entries = lead, entries
+        self.entries = entries
+
+    def find(self, key: bytes | str) -> int:
+        raise NotImplementedError
 
-    def __missing__(self, chunk: bytes) -> int:
-        text = (self.lead + chunk).decode("utf-8", "replace")
-        n = sum(self.merger.count(p.encode()) for p in self.pretokens(text))
-        if len(chunk) <= 64:
+    def __missing__(self, key: bytes | str) -> int:
+        n = self.find(key)
+        if len(key) <= 64:
             if len(self) >= self.entries:
                 self.clear()
-            self[chunk] = n
+            self[key] = n
         return n
 
 
+class Words(Kept):
+    """Pretoken -> tokens."""
+
+    def __init__(self, spec: dict, entries: int = CACHE_ENTRIES) -> None:
+        super().__init__(entries)
+        self.merger = Merger(spec)
+
+    def find(self, word: str) -> int:
+        return self.merger.count(word.encode())
+
+
+class Chunks(Kept):
+    """Chunk, without the space that led it -> tokens."""
+
+    def __init__(self, words: Words, lead: bytes = b"", entries: int = CACHE_ENTRIES) -> None:
+        super().__init__(entries)
+        self.words, self.lead = words, lead
+        self.pretokens = regex.compile(PATTERN).findall
+
+    def find(self, chunk: bytes) -> int:
+        return sum(map(self.words.__getitem__, self.pretokens((self.lead + chunk).decode("utf-8", "replace"))))
+
+
+#: Kept from task to task of a worker: the counter with what it has met, by tokenizer.
+_KNOWN: dict[bytes, Callable[[bytes], int]] = {}
+
+
+def worker_counter(content: bytes) -> Callable[[bytes], int]:
+    if content not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[content] = counter(json.loads(content))
+    return _KNOWN[content]
+
+
 def counter(spec: dict) -> Callable[[bytes], int]:
-    head = Counter(spec)
-    tail = Counter(spec, b" ", merger=head.merger)
+    words = Words(spec)
+    head, tail = Chunks(words), Chunks(words, b" ")
     odd, cut = regex.compile(NO_CUT).search, regex.compile(CUT).split
     specials = [t["content"].encode() for t in spec.get("added_tokens", [])]
     split_special = regex.compile(b"|".join(map(regex.escape, specials))).split if specials else None
@@ -144,7 +179,7 @@ def count_tokens(docs: DataFrame, tokenizer: str | bytes, text: str = "text", li
     out = T.StructType([*kept, T.StructField("n_tokens", T.LongType()), T.StructField("n_bytes", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(json.loads(shared.value))
+        count = worker_counter(shared.value)
         for batch in batches:
             texts = pc.fill_null(pc.cast(batch.column(batch.num_columns - 1), pa.large_binary()), b"")
             tokens = pa.array([count(t) for t in texts.to_pylist()], pa.int64())
