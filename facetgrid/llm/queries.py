@@ -116,6 +116,27 @@ def _escaped_extra() -> str:
 _T = chat_format.Template()
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 ORACLE = {
+    "op2_suffix_dedup": """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+starts as (select doc_id, p, substr(h, 2 * p + 1, 100) as g from (select doc_id, h, unnest(range(0, len(h) // 2 - 49)) as p from d)),
+gone as (select doc_id, p from (select doc_id, p, min(doc_id) over (partition by g) as first from starts) where first < doc_id),
+marked as (select doc_id, p, (p - lag(p, 1, -100) over (partition by doc_id order by p) > 50)::int as opens from gone),
+runs as (select doc_id, min(p) as a, max(p) + 50 as b from (select doc_id, p, sum(opens) over (partition by doc_id order by p) as run from marked) group by doc_id, run),
+cut as (select r.doc_id, a, b, substr(h, 2 * before + 1, 2 * (a - before)) as part from (select *, lag(b, 1, 0) over (partition by doc_id order by a) as before from runs) r join d using (doc_id)),
+left_over as (select doc_id, sum(b - a) as removed, count(*) as spans, max(b) as last, string_agg(part, '' order by a) as kept from cut group by doc_id)
+select doc_id, (len(h) // 2)::bigint as n_bytes, coalesce(removed, 0)::bigint as n_removed, coalesce(spans, 0)::bigint as n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) as kept_sha256
+from d left join left_over using (doc_id)""",
+    "op7_ngram_join": r"""
+with recursive d as (select doc_id, [x for x in string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') if x <> ''] as w from documents),
+s as (select distinct doc_id, array_to_string(w[k:k + least(len(w), 4) - 1], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - least(len(w), 4) + 2)) as k from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as i from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 85 * (x.n + y.n - i)),
+e as (select a, b from l union all select b, a from l),
+r as (select doc_id as doc, doc_id as root from documents union select e.b, r.root from r join e on e.a = r.doc)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, c.root as component_id
+from d left join n using (doc_id) join (select doc, min(root) as root from r group by doc) c on c.doc = d.doc_id""",
     "op1_decontaminate": f"""
 with d as (select doc_id, {_WORDS} as w from documents), i as (select item_id::varchar as item_id, {_WORDS} as w from benchmark),
 sized as (select *, least(len(w), 10) as l from i where len(w) > 0),
