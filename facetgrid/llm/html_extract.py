@@ -9,12 +9,16 @@ always the same stay constant.  Wrappers of parts of a host are aligned like
 pages, so each task folds the pages it has and only partial wrappers move; a hot
 host's parts are merged in two steps.  All pages take part.
 
-Extraction aligns a page with its host's wrapper.  Main regions are the
-wrapper's article or main elements outside boilerplate (menus, headers, footers,
-sidebars, notices, adverts, forms, comments, by element or class).  Where host
-and page have none, the main text is what lies outside boilerplate and is no
-constant of the host (a constant is a text that all of at least three pages
-have).  Inside a main region nothing but boilerplate is left out.
+Extraction aligns a page with its host's wrapper.  Main regions are the page's
+article or main elements outside boilerplate (menus, headers, footers, sidebars,
+notices, adverts, forms, comments, by element or class) in which the wrapper has
+texts that differ, or which it does not know.  Of a main region boilerplate is
+left out and what is a constant of all pages that have the region, at least three.
+Where the page has no such region, the main text is what lies outside boilerplate
+and is no constant of three pages or more.  A host of fewer than three pages, or
+whose texts outside boilerplate are all constant (copies of one page), says
+nothing; its pages are read by elements and classes alone, nothing but boilerplate
+left out.
 
 Nulls and odd input: a null or empty page gives an empty text; a null URL is the
 host ""; broken markup (unclosed, stray or cut tags) is read as browsers do in
@@ -161,11 +165,11 @@ def fold(children: list) -> list:
             following = children[k + width : k + 2 * width]
             if len(group) == width and [c[0] for c in following] == sigs and any(s != "#" for s in sigs):
                 while [c[0] for c in following] == sigs:
-                    group = [merge(a, b) for a, b in zip(group, following, strict=True)]
+                    group = [merge(a, b, one_page=True) for a, b in zip(group, following, strict=True)]
                     k += width
                     following = children[k + width : k + 2 * width]
                 for c in group:
-                    c[2], c[3] = True, 1
+                    c[2] = True
                 out += group
                 k += width
             else:
@@ -203,8 +207,11 @@ def align(a: list, b: list) -> list[tuple[int, int]]:
     return head + middle + [(n - tail + t, m - tail + t) for t in range(tail)]
 
 
-def merge(a: list, b: list) -> list:
-    """Align two wrappers of one signature; what only one has becomes optional."""
+def merge(a: list, b: list, one_page: bool = False) -> list:
+    """Align two wrappers of one signature; what only one has becomes optional.
+
+    ``one_page``: both are of the same pages, which count once.
+    """
     constant = a[4] if a[4] == b[4] else None
     children = []
     i = j = 0
@@ -213,21 +220,38 @@ def merge(a: list, b: list) -> list:
             c[1] = True
             children.append(c)
         if x < len(a[5]):
-            children.append(merge(a[5][x], b[5][y]))
+            children.append(merge(a[5][x], b[5][y], one_page))
         i, j = x + 1, y + 1
     if len(children) > MOST_CHILDREN:  # generalise: element names without classes, once each
         by_name: dict[str, list] = {}
         for c in children:
             c[0] = c[0].split(".", 1)[0]
-            by_name[c[0]] = merge(by_name[c[0]], c) if c[0] in by_name else c
+            by_name[c[0]] = merge(by_name[c[0]], c, one_page=True) if c[0] in by_name else c
         children = list(by_name.values())
         for c in children:
             c[1] = c[2] = True
-    return [a[0], a[1] or b[1], a[2] or b[2], a[3] + b[3], constant, children]
+    return [a[0], a[1] or b[1], a[2] or b[2], max(a[3], b[3]) if one_page else a[3] + b[3], constant, children]
+
+
+def shared(text: str, known: list | None, pages: int) -> bool:
+    """Whether the text is a constant of at least so many pages (and of SURE)."""
+    return known is not None and known[4] == text and known[3] >= max(pages, SURE)
+
 
+def varies(node: list) -> bool:
+    """Whether texts outside boilerplate differ, or too few pages have them to tell."""
+    if node[0] == "#":
+        return node[4] is None or node[3] < SURE
+    return not is_boiler(node[0]) and any(varies(c) for c in node[5])
 
-def has_main(node: list) -> bool:
-    return not is_boiler(node[0]) and (is_main(node[0]) or any(has_main(c) for c in node[5]))
+
+def opens_main(sig: str, known: list | None) -> bool:
+    return is_main(sig) and (known is None or varies(known))
+
+
+def has_main(page: list, wrapper: list | None) -> bool:
+    pairs = [(c, k) for c, k in zip(page[1], matched(page, wrapper), strict=True) if not isinstance(c, str) and not is_boiler(c[0])]
+    return any(opens_main(c[0], k) or has_main(c, k) for c, k in pairs)
 
 
 def matched(page: list, wrapper: list | None) -> list:
@@ -249,15 +273,19 @@ def matched(page: list, wrapper: list | None) -> list:
     return out
 
 
-def texts(page: list, wrapper: list | None, inside: bool, constants: bool) -> Iterator[str]:
-    """Texts of main regions in page order; with ``constants`` False, of all but constants."""
+def texts(page: list, wrapper: list | None, inside: bool, region: int = 0) -> Iterator[str]:
+    """Texts in page order, without the host's constants, from main regions or, with ``inside``, from all.
+
+    ``region``: in a main region, the pages that have it (1 if unknown).
+    """
     for child, known in zip(page[1], matched(page, wrapper), strict=True):
         if isinstance(child, str):
-            if inside and (constants or known is None or known[4] is None or known[3] < SURE):
+            if inside and not shared(child, known, region):
                 yield child
         elif not is_boiler(child[0]):
-            yield from texts(child, known, inside or is_main(child[0]), constants)
-        elif inside and constants and child[0].split(".")[0] == "header":
+            opens = not inside and opens_main(child[0], known)
+            yield from texts(child, known, inside or opens, (known[3] if known else 1) if opens else region)
+        elif region and child[0].split(".")[0] == "header":
             yield from headings(child)
 
 
@@ -266,16 +294,15 @@ def headings(node: list) -> Iterator[str]:
     for child in node[1]:
         if not isinstance(child, str):
             if re.match(r"h[1-6](\.|$)", child[0]):
-                yield from texts(child, None, True, True)
+                yield from texts(child, None, True, 1)
             elif not is_boiler(child[0]):
                 yield from headings(child)
 
 
 def main_text(page: str, wrapper: list | None) -> str:
     root = parse(page)
-    if has_main(lift(root)):
-        return " ".join(texts(root, wrapper, False, True))
-    return " ".join(texts(root, wrapper, True, False))
+    host = wrapper if wrapper is not None and wrapper[3] >= SURE and varies(wrapper) else None
+    return " ".join(texts(root, host, not has_main(root, host)))
 
 
 def learn_wrappers(pages: DataFrame, flush_at: int = 20_000, salts: int = 256) -> DataFrame:

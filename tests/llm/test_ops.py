@@ -272,6 +272,21 @@ def test_wrappers_drop_what_all_pages_share():
     assert (items[0], items[5][0][0], items[5][0][2]) == ("ul", "li", True) and extra[:2] == ["p", True]
 
 
+def test_wrapper_chooses_the_main_region():
+    read = lambda pages: [html_extract.main_text(p, learnt(*pages)) for p in pages]
+    words = ("one", "two", "three", "four")
+    # A text that all pages have is left out of the article, too; one that some have stays.
+    notes = [page(f"<article><h1>{w}</h1><p>{w} text</p><div>Read our terms</div>{'<div><p>some</p></div>' if len(w) > 3 else ''}</article>") for w in words]
+    assert read(notes) == ["one one text", "two two text", "three three text some", "four four text some"]
+    assert read(notes[:2]) == ["one one text Read our terms", "two two text Read our terms"]
+    # An article that never differs is no main region where other texts do.
+    cards = [page(f"<article><p>Our book</p></article><div><p>{w}</p></div>") for w in words]
+    assert read(cards) == list(words)
+    # Copies of one page have nothing that differs; repetitions on one page are one page.
+    assert read([notes[0]] * 4) == ["one one text Read our terms"] * 4
+    assert read([page("<ul><li>x</li><li>x</li><li>x</li></ul>")]) == ["x x x"]
+
+
 def test_extraction_odd_rows(spark):
     odd = spark.createDataFrame([(1, None, None, "a"), (2, "no host", "<article><p>x", "b"), (2, "no host", "<article><p>x", "b"), (3, "http://h/", "<p>" + "y " * 200_000, "c")], "page_id long, url string, html string, text string")
     got = html_extract.extract(odd)
