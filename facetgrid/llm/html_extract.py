@@ -11,9 +11,12 @@ host's parts are merged in two steps.  All pages take part.
 
 Extraction aligns a page with its host's wrapper.  Main regions are the page's
 article or main elements outside boilerplate (menus, headers, footers, sidebars,
-notices, adverts, forms, comments, by element or class) in which the wrapper has
-texts that differ, or which it does not know.  Of a main region boilerplate is
-left out and what is a constant of all pages that have the region, at least three.
+notices, adverts, forms, comments, by element or by whole words of class, role or
+id) in which the wrapper has texts that differ, or which it does not know.  Of a main region boilerplate is
+left out and what is a constant of all pages that have the region, at least three.  In it an id, or a word that may
+as well name a part of the text, tells of boilerplate only where at least three of
+the host's pages share all texts of the element.  Names of html, body, article,
+main and headings never do.
 Where the page has no such region, the main text is what lies outside boilerplate
 and is no constant of three pages or more.  A host of fewer than three pages, or
 whose texts outside boilerplate are all constant (copies of one page), says
@@ -51,29 +54,47 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = "script|style|noscript|template|iframe|object|svg|title|textarea|canvas|math|noframes|xmp"
 BOILER_TAGS = frozenset("head nav header footer aside form menu button select option label fieldset dialog textarea".split())
 BOILER_WORDS = frozenset("ad ads advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion cookie cookies consent notice notices gdpr popup modal comment comments reply replies discussion disqus sidebar menu nav navbar navigation breadcrumb breadcrumbs header masthead footer share sharing social related newsletter subscribe subscription login signup pagination pager widget".split())
+#: Words that name parts of texts as well: within a main region they need the host's support.
+UNSURE_WORDS = frozenset("banner consent discussion header menu modal notice notices promotion related replies reply social sponsor widget".split())
 MAIN_TAGS = frozenset(("article", "main"))
+#: Their classes tell of the page's theme.
+WHOLE = frozenset(("html", "body", *MAIN_TAGS))
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 MAIN_WORDS = frozenset(("articlebody", "article-body", "entry-content", "post-content", "main-content"))
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 STOPS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",)}
 
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^>\"'])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S | re.I)
-CLASS = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+CLASS = re.compile(r"(?<![-\w])(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 KEPT_CONSTANT, MOST_CHILDREN, SURE = 200, 200, 3
 
 
 def signature(name: str, attributes: str) -> str:
-    words = sorted({w for m in CLASS.finditer(attributes) for w in (m[1] or m[2] or m[3] or "").lower().split() if not any(c.isdigit() for c in w)}) if attributes else []
-    return ".".join([name, *words])
+    """Element name and the words of its class, role, itemprop and (after #) id."""
+    if name in WHOLE or not attributes:
+        return name
+    found = ((m[1].lower() == "id", w) for m in CLASS.finditer(attributes) for w in (m[2] or m[3] or m[4] or "").lower().split())
+    return ".".join([name, *sorted({f"#{w}" if by_id else w for by_id, w in found if not any(c.isdigit() for c in w)})])
 
 
-def is_boiler(sig: str) -> bool:
+def is_named(word: str) -> bool:
+    """A boilerplate word, or a compound of nothing else."""
+    return word in BOILER_WORDS or word not in MAIN_WORDS and BOILER_WORDS.issuperset(re.split(r"[-_]", word))
+
+
+def is_boiler(sig: str, inside: bool = False) -> bool:
+    """``inside``: whether the name alone is enough within a main region."""
     name, *words = sig.split(".")
-    return name in BOILER_TAGS or any(w in BOILER_WORDS or not BOILER_WORDS.isdisjoint(re.split(r"[-_]", w)) and w not in MAIN_WORDS for w in words)
+    if name in BOILER_TAGS or name in WHOLE or name in HEADINGS:
+        return name in BOILER_TAGS
+    if inside:
+        return any(w not in UNSURE_WORDS and is_named(w) for w in words)
+    return any(is_named(w.removeprefix("#")) for w in words)
 
 
 def is_main(sig: str) -> bool:
     name, *words = sig.split(".")
-    return name in MAIN_TAGS or not MAIN_WORDS.isdisjoint(words)
+    return name in MAIN_TAGS or not MAIN_WORDS.isdisjoint(w.removeprefix("#") for w in words)
 
 
 def parse(page: str) -> list:
@@ -118,7 +139,7 @@ def parse(page: str) -> list:
             elif name in ("br", "img"):
                 buffer.append(" ")
             continue
-        if name not in BLOCKS and not is_boiler(sig):
+        if name not in BLOCKS and not is_boiler(sig, inside=True):
             continue
         if name in BLOCKS:
             at = next((k for k in range(len(stack) - 1, 0, -1) if names(stack[k]) in ("p", "table", "td", "th", "button")), 0)
@@ -238,11 +259,21 @@ def shared(text: str, known: list | None, pages: int) -> bool:
     return known is not None and known[4] == text and known[3] >= max(pages, SURE)
 
 
-def varies(node: list) -> bool:
+def all_shared(page: list, wrapper: list | None) -> bool:
+    pairs = zip(page[1], matched(page, wrapper), strict=True)
+    return all(shared(c, k, SURE) if isinstance(c, str) else all_shared(c, k) for c, k in pairs)
+
+
+def varies(node: list, inside: bool = False) -> bool:
     """Whether texts outside boilerplate differ, or too few pages have them to tell."""
     if node[0] == "#":
         return node[4] is None or node[3] < SURE
-    return not is_boiler(node[0]) and any(varies(c) for c in node[5])
+    return not is_boiler(node[0], inside) and any(varies(c, inside or is_main(node[0])) for c in node[5])
+
+
+def left_out(node: list, known: list | None, region: int) -> bool:
+    """Whether an element is boilerplate: within a main region by a sure name, or by any name if the host's pages share its texts."""
+    return is_boiler(node[0], inside=region > 0) or region > 0 and is_boiler(node[0]) and all_shared(node, known)
 
 
 def opens_main(sig: str, known: list | None) -> bool:
@@ -282,7 +313,7 @@ def texts(page: list, wrapper: list | None, inside: bool, region: int = 0) -> It
         if isinstance(child, str):
             if inside and not shared(child, known, region):
                 yield child
-        elif not is_boiler(child[0]):
+        elif not left_out(child, known, region):
             opens = not inside and opens_main(child[0], known)
             yield from texts(child, known, inside or opens, (known[3] if known else 1) if opens else region)
         elif region and child[0].split(".")[0] == "header":
@@ -295,7 +326,7 @@ def headings(node: list) -> Iterator[str]:
         if not isinstance(child, str):
             if re.match(r"h[1-6](\.|$)", child[0]):
                 yield from texts(child, None, True, 1)
-            elif not is_boiler(child[0]):
+            elif not is_boiler(child[0], inside=True):
                 yield from headings(child)
 
 

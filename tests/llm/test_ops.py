@@ -287,6 +287,23 @@ def test_wrapper_chooses_the_main_region():
     assert read([page("<ul><li>x</li><li>x</li><li>x</li></ul>")]) == ["x x x"]
 
 
+def test_names_drop_no_part_of_the_text():
+    for name in ("has-sidebar", "single no-sidebar", "comments-open", "fixed-header", "menu"):
+        for tag in ("article", "main"):
+            whole = f'<html class="{name}"><body class="{name}"><div class="{name}-page"><{tag} class="{name}"><p>text</p></{tag}></div></body></html>'
+            assert html_extract.main_text(whole, None) == "text"
+        assert html_extract.main_text(f'<body class="{name}"><p>text</p></body>', None) == "text"
+    named = '<article><section id="discussion"><h2 id="social-effects">a</h2><p>b</p></section><p class="related-work">c</p><div class="post-header">d</div><div class="notice">e {}</div><h2 class="related">f</h2><div data-id="ads">g</div></article>'
+    assert html_extract.main_text(page(named), None) == "a b c d e {} f g"
+    assert html_extract.main_text(page('<article><p>a</p><div class="cookie-notice">x</div><div class="ads">x</div><section class="comments"><p>x</p></section></article>'), None) == "a"
+    # What only some pages of a host have and share goes by an unsure name, and only by it.
+    some = [page(f'<article><h1>t{k}</h1>' + ('<div class="notice">Members only</div><div class="fact">Same fact</div>' if k < 3 else "") + "</article>") for k in range(5)]
+    wrapper = learnt(*some)
+    assert [html_extract.main_text(p, wrapper) for p in some] == [f"t{k} Same fact" if k < 3 else f"t{k}" for k in range(5)]
+    assert html_extract.main_text(page(named.format(1)), learnt(*[page(named.format(k)) for k in range(2)])) == "a b c d e 1 f g"
+    assert html_extract.main_text(page('<div id="sidebar">x</div><p>a</p>'), None) == "a"
+
+
 def test_extraction_odd_rows(spark):
     odd = spark.createDataFrame([(1, None, None, "a"), (2, "no host", "<article><p>x", "b"), (2, "no host", "<article><p>x", "b"), (3, "http://h/", "<p>" + "y " * 200_000, "c")], "page_id long, url string, html string, text string")
     got = html_extract.extract(odd)
