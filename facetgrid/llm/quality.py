@@ -1,16 +1,20 @@
 """Quality rules with risk-controlled cutoffs.
 
 ``measure`` counts, in one pass over each whole text, what the rules look at.
-``calibrate`` picks the cutoffs: for each stratum and rule it walks a grid that
-is fixed beforehand from lenient to strict and tests "the false rejection rate
-on good documents is above ``alpha / rules``" with the exact binomial tail over
-the labelled holdout.  A chain stops at its first test that fails (fixed
-sequence), and chains share the error ``delta`` equally (Bonferroni over strata
-and rules).  So with probability ``1 - delta`` no stratum loses more than
-``alpha`` of its good documents.  Among certified cutoffs the one that rejects
-most bad documents less ``good_cost`` times the good ones is used, lenient first
-on ties.  All labelled rows are counted; a (stratum, rule, grid) histogram is
-all that reaches the driver.
+``calibrate`` picks the cutoffs of each stratum on the labelled holdout, by exact
+binomial tails.  Cutoffs are added one by one in an order fixed beforehand, all
+rules in turn from lenient to strict, and "the union of the rules so far rejects
+more than ``alpha`` of good documents" is tested at each step; the first test that
+fails ends the walk (fixed sequence).  What rejects no more than a certified union
+is certified, so each rule may use any of its cutoffs up to there.  Lest one rule
+that rejects many good documents ends the walk for all, each rule's grid is walked
+alone, too, at ``alpha / rules``.  Half of a stratum's ``delta / strata`` goes to
+the union, half to the rules in equal parts (Bonferroni); so with probability
+``1 - delta`` no stratum loses more than ``alpha`` of its good documents.  Among
+certified cutoffs a rule uses the one that rejects most bad documents less
+``good_cost`` times the good ones, lenient first on ties; of the two walks the one
+that gains more is used, the union first on ties.  All labelled rows are counted;
+a histogram of (stratum, rule or union, cutoff) is all that reaches the driver.
 
 Nulls and odd input: a null or empty text has no words and fails the base rule;
 a null stratum is a stratum of its own; null labels are left out; documents
@@ -59,6 +63,9 @@ RULES = (
     Rule("word_length", "word_chars / n_words", (40.0, 30.0, 20.0, 15.0, 12.0, 10.0)),
 )
 
+#: In histograms, the name of the union of the rules.
+UNION = "\0union"
+
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -133,21 +140,59 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * sum(math.exp(t - top) for t in terms))
 
 
+def steps(rules: tuple[Rule, ...]) -> dict[str, list[int]]:
+    """For each rule, at which step of the union's walk (from 1) each of its cutoffs is added."""
+    order = sorted(((k + 1) / len(r.grid), i, k) for i, r in enumerate(rules) for k in range(len(r.grid)))
+    at = {(i, k): step for step, (_, i, k) in enumerate(order, 1)}
+    return {r.name: [at[i, k] for k in range(len(r.grid))] for i, r in enumerate(rules)}
+
+
+def above(cells: list[tuple[int, int]], k: int) -> tuple[int, int]:
+    """(good, bad) rows rejected at the first ``k`` cutoffs: a value above a lenient cutoff is above all stricter ones too."""
+    return tuple(sum(c[i] for c in cells[len(cells) - k :]) for i in (0, 1))
+
+
+def certified(rejected: list[int], n: int, alpha: float, level: float) -> int:
+    """How many tests in a row, with so many of ``n`` good rows rejected, hold before the first that fails."""
+    for k, good in enumerate(rejected):
+        if n == 0 or binomial_tail(good, n, alpha) > level:
+            return k
+    return len(rejected)
+
+
 def choose(histogram: dict[tuple[str, str], list[tuple[int, int]]], strata: int, rules: tuple[Rule, ...] = RULES, alpha: float = 0.03, delta: float = 0.05, good_cost: float = 20.0) -> dict[tuple[str, str], float]:
-    """(stratum, rule) -> cutoff.  ``histogram``: (good, bad) rows by how many cutoffs of the grid their value exceeds."""
+    """(stratum, rule) -> cutoff.  ``histogram``: (good, bad) rows by how many cutoffs of the grid their value exceeds.
+
+    Under ``UNION``, by how many steps of the walk reject them; without it the
+    union's rejections are bounded by the sum of the rules'.
+    """
     chosen = {}
-    level = delta / max(1, strata * len(rules))
-    for (stratum, name), cells in histogram.items():
-        rule = next(r for r in rules if r.name == name)
-        n = sum(g for g, _ in cells)
-        best = 0.0
-        for k, cutoff in enumerate(rule.grid):
-            # A value above a lenient cutoff is above all stricter ones too.
-            good, bad = (sum(c[i] for c in cells[len(rule.grid) - k :]) for i in (0, 1))
-            if n == 0 or binomial_tail(good, n, alpha / len(rules)) > level:
-                break
-            if (gain := bad - good_cost * good) > best:
-                best, chosen[stratum, name] = gain, cutoff
+    level, at = delta / max(1, strata) / 2, steps(rules)
+    last = sum(len(r.grid) for r in rules)
+    for stratum in dict.fromkeys(s for s, _ in histogram):
+        own = {r: histogram[stratum, r.name] for r in rules if (stratum, r.name) in histogram}
+        n = max((sum(g for g, _ in cells) for cells in own.values()), default=0)
+        if (stratum, UNION) in histogram:
+            union = [above(histogram[stratum, UNION], k)[0] for k in range(1, last + 1)]
+        else:
+            union = [sum(above(cells, sum(s <= k for s in at[r.name]))[0] for r, cells in own.items()) for k in range(1, last + 1)]
+        whole = certified(union, n, alpha, level)
+        deepest = [
+            {r: sum(s <= whole for s in at[r.name]) for r in own},
+            {r: certified([above(cells, k)[0] for k in range(1, len(r.grid) + 1)], n, alpha / len(rules), level / len(rules)) for r, cells in own.items()},
+        ]
+        found = []
+        for depth in deepest:
+            total, cutoffs = 0.0, {}
+            for r, cells in own.items():
+                best = 0.0
+                for k in range(depth[r]):
+                    good, bad = above(cells, k + 1)
+                    if (gain := bad - good_cost * good) > best:
+                        best, cutoffs[stratum, r.name] = gain, r.grid[k]
+                total += best
+            found.append((total, cutoffs))
+        chosen |= max(found, key=lambda f: f[0])[1]
     return chosen
 
 
@@ -157,17 +202,21 @@ def calibrate(measured: DataFrame, labels: DataFrame, stratum: str = "lang", rul
     ``max_strata``: more strata than this are an error (the histogram is collected).
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("good"))
+    at, last = steps(rules), sum(len(r.grid) for r in rules)
+    # By the first step that rejects a row: of a rule, that of the most lenient cutoff its value exceeds.
+    first = F.least(F.lit(last + 1), F.lit(last + 1), *[F.when(value(r) > c, s) for r in rules for c, s in zip(r.grid, at[r.name], strict=True)])
     rows = measured.where(~base_failed()).select("doc_id", F.coalesce(F.col(stratum).cast("string"), F.lit("\0")).alias("stratum"), *[
         sum(((value(r) > c).cast("int") for c in r.grid), F.lit(0)).alias(r.name) for r in rules
-    ]).join(known, "doc_id")
-    pairs = F.explode(F.array(*[F.struct(F.lit(r.name).alias("rule"), F.col(r.name).alias("cell")) for r in rules]))
+    ], (last + 1 - first).alias(UNION)).join(known, "doc_id")
+    pairs = F.explode(F.array(*[F.struct(F.lit(r.name).alias("rule"), F.col(r.name).alias("cell")) for r in rules], F.struct(F.lit(UNION).alias("rule"), F.col(UNION).alias("cell"))))
     cells = rows.select("stratum", "good", pairs.alias("r")).groupBy("stratum", "r.rule", "r.cell").agg(F.sum(F.when(F.col("good") > 0, 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("good") > 0, 0).otherwise(1)).alias("bad"))
-    most = max_strata * sum(len(r.grid) + 1 for r in rules)
+    most = max_strata * (last + 1 + sum(len(r.grid) + 1 for r in rules))
     found = cells.limit(most + 1).collect()
     strata = {r["stratum"] for r in found}
     if len(found) > most or len(strata) > max_strata:
         raise ValueError(f"more than {max_strata} strata")
     histogram = {(s, r.name): [(0, 0)] * (len(r.grid) + 1) for s in strata for r in rules}
+    histogram |= {(s, UNION): [(0, 0)] * (last + 1) for s in strata}
     for r in found:
         histogram[r["stratum"], r["rule"]][r["cell"]] = (r["good"], r["bad"])
     return choose(histogram, len(strata), rules, alpha, delta, good_cost)

@@ -176,6 +176,27 @@ def test_false_rejections_stay_within_the_bound(spark):
     measured.unpersist()
 
 
+def test_small_strata_are_certified(spark):
+    symbols, capitals = quality.RULES[:2]
+    far = lambda good, bad: [(good, 0), *[(0, 0)] * 7, (0, bad)]
+    # 312 good rows, the fewest of a language on sf0.1, four languages and all rules.
+    histogram = {("es", r.name): [(312, 0)] + [(0, 0)] * len(r.grid) for r in quality.RULES} | {("es", symbols.name): far(312, 20)}
+    assert quality.choose(histogram, 4) == {("es", symbols.name): 2.0}
+    assert quality.choose({k: [(140, c[1]), *c[1:]] if c[0][0] == 312 else c for k, c in histogram.items()} | {("es", symbols.name): far(140, 20)}, 4) == {}
+    # A rule that rejects many good rows from the start leaves the others their own walk.
+    spoilt = {("s", symbols.name): [(2700, 0), *[(0, 0)] * 7, (300, 9)], ("s", capitals.name): [(3000, 0), *[(0, 0)] * 6, (0, 9)]}
+    assert quality.choose(spoilt, 1) == {("s", capitals.name): capitals.grid[0]}
+    # The union counts a row that two rules reject once.
+    junk = " ".join("#" * k for k in range(1, 13))
+    docs = [(k, f"these are ten words or some more of text {k}", "en") for k in range(396)] + [(k, junk, "en") for k in range(396, 490)]
+    measured = quality.measure(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    cutoffs = quality.calibrate(measured, spark.createDataFrame([(k, int(k < 400)) for k in range(490)], "doc_id long, quality int"))
+    assert cutoffs == {("en", symbols.name): 2.0, ("en", "punctuation"): 0.5}
+    sf = "/root/testdata/sf0.1"
+    found = quality.calibrate(quality.measure(table(spark, sf, "documents").select("doc_id", "text", "lang"), keep_text=False), table(spark, sf, "labels"))
+    assert {lang for lang, name in found if name == symbols.name} == {"en", "de", "fr", "es"}
+
+
 def test_quality_odd_rows(spark):
     docs = spark.createDataFrame([(None, None, None, "x"), (1, "", "en", "y"), (1, "a b", "en", "z")], "doc_id long, text string, lang string, n_words string")
     labels = spark.createDataFrame([(1, None), (1, 1), (None, 0)], "doc_id long, quality int")
