@@ -32,6 +32,7 @@ names clash with an output column are replaced.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -164,15 +165,20 @@ def parse(page: str) -> list:
     return root
 
 
-# A wrapper node is [signature, optional, repeated, pages, constant, children]:
-# a text has signature "#" and its constant, or None if it is a slot.
+# A wrapper node is [signature, optional, repeated, pages, constant, children, grouped]:
+# a text has signature "#" and its constant (see ``key``), or None if it is a slot.
+
+
+def key(text: str) -> str:
+    """A text as constants hold it: a long one by length and digest."""
+    return text if len(text) <= KEPT_CONSTANT else f"{len(text)}\n{hashlib.sha256(text.encode('utf-8', 'surrogatepass')).hexdigest()}"
 
 
 def lift(node: list | str) -> list:
     """A page's tree as the wrapper of that page alone, repetitions folded."""
     if isinstance(node, str):
-        return ["#", False, False, 1, node if len(node) <= KEPT_CONSTANT else None, []]
-    return [node[0], False, False, 1, None, fold([lift(c) for c in node[1]])]
+        return ["#", False, False, 1, key(node), [], False]
+    return [node[0], False, False, 1, None, fold([lift(c) for c in node[1]]), False]
 
 
 def fold(children: list) -> list:
@@ -228,11 +234,19 @@ def align(a: list, b: list) -> list[tuple[int, int]]:
     return head + middle + [(n - tail + t, m - tail + t) for t in range(tail)]
 
 
-def merge(a: list, b: list, one_page: bool = False) -> list:
+def merge(a: list, b: list, one_page: bool = False, group: bool = False) -> list:
     """Align two wrappers of one signature; what only one has becomes optional.
 
-    ``one_page``: both are of the same pages, which count once.
+    ``one_page``: both are of the same pages, which count once.  ``group``: put children in groups whatever their number.
     """
+    pages = max(a[3], b[3]) if one_page else a[3] + b[3]
+    flags = [a[0], a[1] or b[1], a[2] or b[2], pages]
+    if group or a[6] or b[6] or max(len(a[5]), len(b[5])) > MOST_CHILDREN:
+        both: dict[tuple, list] = {}
+        for node in (a, b):
+            for at, c in grouped(node[5], node[3]).items():
+                both[at] = merge(both[at], c, one_page) if at in both else c
+        return [*flags, a[4] if a[4] == b[4] else None, list(grouped(list(both.values()), pages).values()), a[0] != "#"]
     constant = a[4] if a[4] == b[4] else None
     children = []
     i = j = 0
@@ -243,20 +257,37 @@ def merge(a: list, b: list, one_page: bool = False) -> list:
         if x < len(a[5]):
             children.append(merge(a[5][x], b[5][y], one_page))
         i, j = x + 1, y + 1
-    if len(children) > MOST_CHILDREN:  # generalise: element names without classes, once each
-        by_name: dict[str, list] = {}
-        for c in children:
+    many = len(children) > MOST_CHILDREN
+    return [*flags, constant, list(grouped(children, pages).values()) if many else children, many]
+
+
+def grouped(children: list, pages: int) -> dict[tuple, list]:
+    """Generalise many children: one repeated group for each full signature, and each text that all pages have.
+
+    Texts that some pages lack share a slot, so there are no more constants than
+    the shortest page has texts.  If there are more than MOST_CHILDREN groups,
+    those that some pages lack are merged by element name.
+    """
+    groups: dict[tuple, list] = {}
+
+    def add(at: tuple, c: list) -> None:
+        groups[at] = merge(groups[at], c, one_page=True, group=c[0] != "#") if at in groups else c
+
+    for c in children:
+        add((c[0], c[4] if c[0] == "#" and c[3] >= pages else None), c)
+    if len(groups) > MOST_CHILDREN:
+        for at in [at for at, c in groups.items() if c[0] != "#" and c[3] < pages]:
+            c = groups.pop(at)
             c[0] = c[0].split(".", 1)[0]
-            by_name[c[0]] = merge(by_name[c[0]], c, one_page=True) if c[0] in by_name else c
-        children = list(by_name.values())
-        for c in children:
-            c[1] = c[2] = True
-    return [a[0], a[1] or b[1], a[2] or b[2], max(a[3], b[3]) if one_page else a[3] + b[3], constant, children]
+            add((c[0], None), c)
+    for c in groups.values():
+        c[1], c[2] = c[1] or c[3] < pages, True
+    return groups
 
 
 def shared(text: str, known: list | None, pages: int) -> bool:
     """Whether the text is a constant of at least so many pages (and of SURE)."""
-    return known is not None and known[4] == text and known[3] >= max(pages, SURE)
+    return known is not None and known[4] == key(text) and known[3] >= max(pages, SURE)
 
 
 def all_shared(page: list, wrapper: list | None) -> bool:
@@ -289,6 +320,10 @@ def matched(page: list, wrapper: list | None) -> list:
     """The wrapper's child for each of the page's children (None if it has none)."""
     if wrapper is None:
         return [None] * len(page[1])
+    if wrapper[6]:
+        groups = {(c[0], c[4] if c[3] >= wrapper[3] else None): c for c in wrapper[5]}
+        ats = [(("#", key(c)), ("#", None)) if isinstance(c, str) else ((c[0], None), (c[0].split(".", 1)[0], None)) for c in page[1]]
+        return [groups.get(exact, groups.get(wide)) for exact, wide in ats]
     sigs = [c if isinstance(c, str) else c[0] for c in page[1]]
     sigs = ["#" if isinstance(c, str) else s for c, s in zip(page[1], sigs, strict=True)]
     own = [c[0] for c in wrapper[5]]

@@ -325,6 +325,22 @@ def test_names_drop_no_part_of_the_text():
     assert html_extract.main_text(page('<div id="sidebar">x</div><p>a</p>'), None) == "a"
 
 
+def test_shared_texts_are_known_at_every_size():
+    notice = "All rights reserved. " * 20
+    pages = [page(f"<div><p>{w}</p></div><div class=x>{notice}</div>") for w in ("one", "two", "three")]
+    assert [html_extract.main_text(p, learnt(*pages)) for p in pages] == ["one", "two", "three"]
+    kinds = ("p", "dl", "pre", "table")
+    many = []
+    for k in range(8):  # over 200 children, which differ in order and class
+        rows = [f"<{kinds[(j * (k + 1)) % 4]} class=k{'abcdefgh'[(j + k) % 8]}>t{k}-{j}</{kinds[(j * (k + 1)) % 4]}>between{k}-{j}" for j in range(150)]
+        many.append(page(f"<p class=top>Welcome</p>{''.join(rows)}<hr>Shared words<hr><p class=low>{notice}</p>"))
+    whole = learnt(*many)
+    halves = html_extract.merge(learnt(*many[:4]), learnt(*many[4:]))
+    for wrapper in (whole, halves):
+        for k, p in enumerate(many):
+            assert html_extract.main_text(p, wrapper) == " ".join(x for j in range(150) for x in (f"t{k}-{j}", f"between{k}-{j}"))
+
+
 def test_extraction_odd_rows(spark):
     odd = spark.createDataFrame([(1, None, None, "a"), (2, "no host", "<article><p>x", "b"), (2, "no host", "<article><p>x", "b"), (3, "http://h/", "<p>" + "y " * 200_000, "c")], "page_id long, url string, html string, text string")
     got = html_extract.extract(odd)
