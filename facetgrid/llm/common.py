@@ -14,12 +14,16 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    A folder of our own is made only where the setting is absent (local tests).
+    A folder of our own is made only where the setting is absent and the session
+    is a local one (tests); on a cluster an absent setting is an error, as each
+    executor would write to its own disk.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="facetgrid-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -29,16 +33,31 @@ def materialize(df: DataFrame, name: str, max_rows_per_file: int = 0) -> DataFra
     """Write ``df`` to the shared folder as Parquet and read it back.
 
     Cuts the lineage: what follows survives lost executors without computing
-    this again.  The files go when the session's JVM ends.
+    this again.  The files go by ``release``, or when the session's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/facetgrid/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("maxRecordsPerFile", max_rows_per_file).option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(schema).parquet(path)
+    where, system = _located(spark, path)
+    system.deleteOnExit(where)
+    made = spark.read.schema(schema).parquet(path)
+    made._facetgrid_path = path
+    return made
+
+
+def _located(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and nothing will read again."""
+    for df in tables:
+        path = getattr(df, "_facetgrid_path", None)
+        if path:
+            where, system = _located(df.sparkSession, path)
+            system.delete(where, True)
 
 
 def ascii_lower(c: Column) -> Column:

@@ -5,8 +5,9 @@ Native: DataFrame and SQL functions only.  Items become windows of ``n`` words
 of their items, keyed by a 64-bit hash.  Documents are scanned once: each word
 position is turned into its window's hash, which is looked up in the broadcast
 set, and a found window is verified word by word.  Only hits, and one row for
-each document, are shuffled.  The windows are counted first; above
-``max_broadcast`` the same join runs as a shuffle join instead.
+each document, are shuffled.  The windows are written and counted first; above
+``max_broadcast`` (or MAX_BROADCAST_BYTES of words) the look-up is a shuffle join
+of hashes and positions, and what it finds is verified on the documents' words.
 
 Nulls and odd input: a null text has no words; a null item text has no windows;
 a null item_id marks words but is not listed.  Repeated rows give one row each,
@@ -26,6 +27,7 @@ from facetgrid.llm.common import ascii_lower, fresh, materialize
 LOWERED = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 AS_IS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 MAX_BROADCAST_WINDOWS = 1_000_000
+MAX_BROADCAST_BYTES = 128 << 20
 MAX_BROADCAST_KEYS = 1_000_000
 
 
@@ -48,10 +50,10 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_broadcast:
     ``spans``: maximal runs of hit words, ``array<struct<start, end>>`` (word
     positions, end exclusive).  ``doc_key``: hash of doc_id and text.
     """
-    windows = item_windows(benchmark, n)
-    known = windows.agg(F.count("*").alias("rows"), F.array_sort(F.collect_set("len")).alias("lens")).first()
+    windows = materialize(item_windows(benchmark, n), "windows")
+    known = windows.agg(F.count("*").alias("rows"), F.sum(F.octet_length(F.array_join("gram", " "))).alias("bytes"), F.array_sort(F.collect_set("len")).alias("lens")).first()
     lens = list(known["lens"]) or [n]
-    small = known["rows"] <= max_broadcast
+    small = known["rows"] <= max_broadcast and (known["bytes"] or 0) <= MAX_BROADCAST_BYTES
 
     base = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("doc_key"), words_of(F.col("text")).alias("w"))
     each = base.select("doc_id", "doc_key", "w", F.size("w").alias("n_words"), F.posexplode_outer("w").alias("pos", "_"))
@@ -68,9 +70,15 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_broadcast:
         joined = each.withColumn("h", h).alias("q").join(F.broadcast(found.alias("found")), on, "left")
         rows = joined.where(F.col("items").isNotNull() | first).select(*key, "items", first.alias("first"))
     else:
-        probes = each.select(*key, h.alias("h"), gram.alias("gram")).where(F.col("h").isNotNull())
-        on = (F.col("q.h") == F.col("found.h")) & (F.col("len") == F.col("wlen")) & (F.col("gram") == F.col("wgram"))
-        hits = probes.alias("q").join(found.alias("found"), on).select(*key, "items", F.lit(False).alias("first"))
+        # Only hashes and positions are shuffled; what they find is verified on the texts of documents with finds.
+        probes = each.select("doc_id", "doc_key", "pos", "len", h.alias("h")).where(F.col("h").isNotNull())
+        on = (F.col("q.h") == F.col("found.h")) & (F.col("len") == F.col("wlen"))
+        finds = probes.alias("q").join(found.alias("found"), on).select("doc_id", "doc_key", F.struct("pos", "len", "wgram", "items").alias("find"))
+        finds = finds.groupBy("doc_id", "doc_key").agg(F.collect_set("find").alias("finds")).alias("f")
+        same = F.col("b.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("b.doc_key") == F.col("f.doc_key"))
+        seen = base.alias("b").join(finds, same).select("b.doc_id", "b.doc_key", "w", F.explode("finds").alias("find"))
+        true = seen.where(F.slice(F.col("w"), F.col("find.pos") + 1, F.col("find.len")) == F.col("find.wgram"))
+        hits = true.select("doc_id", "doc_key", F.size("w").alias("n_words"), "find.pos", "find.len", "find.items", F.lit(False).alias("first"))
         none = F.lit(None).cast("array<string>").alias("items")
         heads = base.select("doc_id", "doc_key", F.size("w").alias("n_words"), F.lit(0).alias("pos"), F.lit(lens[0]).alias("len"), none, F.lit(True).alias("first"))
         rows = hits.unionByName(heads)
@@ -116,14 +124,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "document
     """
     if action not in ("documents", "spans"):
         raise ValueError(action)
-    (key, spans) = fresh(docs, "doc_key", "spans")
+    (key, doc, spans) = fresh(docs, "doc_key", "doc", "spans")
     hits = find_hits(docs.select("doc_id", "text"), benchmark, n).where(F.col("n_hit") > 0)
-    hits = materialize(hits.select(F.col("doc_key").alias(key), F.col("spans").alias(spans)).dropDuplicates([key]), "hits")
+    hits = materialize(hits.select(F.col("doc_key").alias(key), F.col("doc_id").alias(doc), F.col("spans").alias(spans)).dropDuplicates([key, doc]), "hits")
     if hits.count() <= max_broadcast:
         hits = F.broadcast(hits)
-    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    # Both the hash of the row and its doc_id must agree.
+    same = (F.xxhash64("doc_id", "text") == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(doc))
     if action == "documents":
-        return keyed.join(hits, key, "left_anti").select(*docs.columns)
-    joined = keyed.join(hits, key, "left")
+        return docs.join(hits, same, "left_anti").select(*docs.columns)
+    joined = docs.join(hits, same, "left")
     text = F.when(F.col(spans).isNotNull(), without_spans(F.col("text"), F.col(spans))).otherwise(F.col("text"))
     return joined.withColumn("text", text).select(*docs.columns)

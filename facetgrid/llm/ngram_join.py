@@ -7,20 +7,22 @@ R-trees whose boxes bound that sum from above; a pair whose bound reaches the
 needed overlap is verified on the sets.
 
 A tree over all points at once would not be distributed, so nodes first meet in
-runs that lose no pair: nodes are split into as many groups as their sets may
-differ in elements and some more (groups too small do not count), so that two
-linked nodes agree in one whole group that is not small, whose content is a key
-of both.  A node with too many small groups for that has the keys of a prefix
-filter besides.  Nodes differ in size by the threshold at most, so each
-takes part in two size classes.  Keys are exchanged in packed form (32 bits and
-the node).  The nodes of a key are a run; equal runs count once.  Each run has
+runs that lose no pair.  Elements have one order for all nodes, from rare to
+frequent by a count sketch of all texts (any order is exact; this one keeps
+boilerplate out of the keys).  A node's keys are the elements of its prefix in
+that order, one more than a linked set may lack, so two linked nodes have a key
+in common.  The nodes of a key are a run; equal runs count once.  Each run has
 its R-tree, over points alone, and only pairs whose bound reaches the overlap
 that a link needs stay: what shares a key by chance ends here.  The connected
 components of these pairs are the blocks.  Nodes in blocks send their texts,
-once, to the task that has their block's tree, where pairs are verified.  Runs
-and blocks above ``max_block`` nodes are cut into parts, each pair of which is a
-task of its own.  Pairs and links are spanning: one already connected in its task
-is not looked at again, which leaves components as they are.
+once, to the task that has their block's tree, where pairs are verified.
+
+No key gathers in one task: keys that the sketch does not rule out are counted
+(combined before the shuffle), and those of more than ``max_block`` nodes are cut
+into parts, each pair of which is a run of its own.  Runs and blocks are cut
+likewise, by nodes and by bytes, and joins on nodes and components split hot ones.
+Pairs and links are spanning: one already connected in its task is not looked at
+again, which leaves components as they are.
 
 Nulls and odd input: a null or empty text, or one of white space, has no
 shingles and is linked with nothing, its own component.  With fewer words than a
@@ -33,28 +35,27 @@ has no other.  An empty table gives an empty result; further columns are ignored
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Callable, Iterator
-from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from facetgrid.llm.common import fresh, materialize
-from facetgrid.llm.components import components
+from facetgrid.llm.common import fresh, materialize, release
+from facetgrid.llm.components import components, split_join
 
 PERCENT = 85
-BUCKET_BYTES = 16 << 20
 BROADCAST_ROWS = 500_000
 MAX_BLOCK = 4096
+#: Bytes of points or texts in a task's tree.
+MAX_BLOCK_BYTES = 32 << 20
 LEAF = 64
-FLUSH = 400_000
-FLUSH_NODES = 60_000  # a node's number in a packed row has 16 bits
+#: A counter of the sketch for each so many bytes of text, within these bounds in bits.
+SKETCH_BYTES, SKETCH_BITS = 1024, (12, 22)
+SKETCH_SLICES = 64
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 _S29, _S32 = np.uint64(29), np.uint64(32)
@@ -76,8 +77,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S29)
 
 
-def shingle_set(text: bytes, k: int = 4) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the ``k``-word shingles."""
+def shingle_hashes(text: bytes, k: int = 4) -> np.ndarray:
+    """64-bit hashes of the ``k``-word shingles in their order, repeated ones too."""
     words = text.lower().split()
     n = len(words)
     if not n:
@@ -87,12 +88,18 @@ def shingle_set(text: bytes, k: int = 4) -> np.ndarray:
     out = h[: n - width + 1] * _A + np.uint64(width)
     for i in range(1, width):
         out = mix(out) + h[i : n - width + 1 + i]
-    return np.unique(mix(out * _C))
+    return mix(out * _C)
+
+
+def shingle_set(text: bytes, k: int = 4) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the ``k``-word shingles."""
+    return np.unique(shingle_hashes(text, k))
 
 
-def set_id(shingles: np.ndarray) -> int:
-    total = int(mix(shingles * _A + _C).sum(dtype=np.uint64)) + len(shingles) * int(_B)
-    return int(mix(np.array([total % (1 << 64)], np.uint64)).view(np.int64)[0])
+def set_id(shingles: np.ndarray) -> bytes:
+    """128 bits of a set: two independent sums of its elements' hashes, and its size."""
+    sums = [int(mix(shingles * m + a).sum(dtype=np.uint64)) + len(shingles) * int(_B) for m, a in ((_A, _C), (_C, _B))]
+    return mix(np.array([t % (1 << 64) for t in sums], np.uint64)).astype(">u8").tobytes()
 
 
 def needed(total: int | np.ndarray, percent: int = PERCENT) -> int | np.ndarray:
@@ -100,65 +107,16 @@ def needed(total: int | np.ndarray, percent: int = PERCENT) -> int | np.ndarray:
     return -(-percent * total // (100 + percent))
 
 
-@cache
-def class_bounds(percent: int) -> np.ndarray:
-    """Smallest size of each class: a linked set is in the same class or the next."""
-    out = [1]
-    while out[-1] < 1 << 40:
-        out.append(out[-1] * 100 // percent + 1)
-    return np.array(out)
+def prefix_keys(s: np.ndarray, counts: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, sketch counts) of a sorted set: its rarest elements; linked sets have one in common.
 
-
-def most_different(n: int, largest: int, percent: int) -> int:
-    """The most elements in which a set of ``n`` and a linked one of at most ``largest`` can differ."""
-    return (100 - percent) * (n + min(largest, n * 100 // percent)) // (100 + percent)
-
-
-@cache
-def class_groups(c: int, percent: int) -> tuple[int, int]:
-    """(groups, least size of a group that makes a key) for pairs whose larger set is in class ``c``.
-
-    A set's groups below the least size must be fewer than those in which linked
-    sets agree.  So many groups are taken that this holds for nearly all sets of
-    random hashes; keys of two elements and more meet less often by chance.
+    A linked set has at least ``percent`` of the elements, so of one more than may
+    be lacking at least one is shared, and the first shared one in the common
+    order is in both prefixes.
     """
-    bounds = class_bounds(percent)
-    largest, smallest = int(bounds[c + 1]) - 1, int(bounds[max(0, c - 1)])
-    sizes = sorted({smallest + (largest - smallest) * k // 8 for k in range(9)})
-
-    def few(groups: int, n: int, least: int) -> int:
-        rate = n / groups
-        mean = groups * math.exp(-rate) * (1 + (rate if least > 1 else 0))
-        return int(mean + 3 * math.sqrt(mean)) if groups > 1 else 0
-
-    differ = most_different(largest, largest, percent)
-    for least in (2, 1) if largest >= 48 else (1,):
-        for groups in range(differ + 1, 2 * differ + 9, max(1, largest // 200)):
-            if all(few(groups, n, least) < groups - most_different(n, largest, percent) for n in sizes):
-                return groups, least
-    return differ + 1, 1
-
-
-def block_keys(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """64-bit keys of a sorted set; linked sets have one in common."""
-    n = len(s)
-    bounds = class_bounds(percent)
-    own = int(np.searchsorted(bounds, n, "right")) - 1
-    content = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(s * _C + _A))))
-    out, overflow = [], False
-    high = s >> _S32
-    for c in (own, own + 1):
-        groups, least = class_groups(c, percent)
-        g = (high * np.uint64(groups)) >> _S32
-        edges = np.concatenate(([0], np.nonzero(g[1:] != g[:-1])[0] + 1, [n]))
-        full = np.nonzero(edges[1:] - edges[:-1] >= least)[0]
-        # Of the groups that linked sets agree in, one must be large enough.
-        overflow |= groups - len(full) >= groups - most_different(n, int(bounds[c + 1]) - 1, percent)
-        sums = content[edges[full + 1]] - content[edges[full]]
-        out.append(mix(sums + g[edges[full]] * _A + np.uint64((c + 1) * int(_B) % (1 << 64))))
-    if overflow:
-        out.append(mix(s[: n - -(-percent * n // 100) + 1] * _C))
-    return np.concatenate(out)
+    own = counts[s >> np.uint64(64 - len(counts).bit_length() + 1)]
+    first = np.argsort(own, kind="stable")[: len(s) - -(-percent * len(s) // 100) + 1]
+    return s[first], own[first]
 
 
 def planes(low: np.ndarray) -> np.ndarray:
@@ -290,111 +248,123 @@ def join_block(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     return near_pairs([point_of(s) for s in sets], percent, lambda a, b: overlap(sets[a], sets[b]) >= needed(len(sets[a]) + len(sets[b]), percent))
 
 
-PASS = "doc_id long, text_key long, n_shingles long, node long, point binary, bucket int, keys binary, which binary, nodes binary"
+def sketch(docs: DataFrame, bits: int, k: int) -> np.ndarray:
+    """How many shingles of all texts fall on each of ``1 << bits`` counters by their upper hash bits.
 
+    Each task adds up its texts and hands on packed slices, which are added in
+    the tasks they are dealt to; only the sums, bounded in size, are collected.
+    """
+    step = (1 << bits) // SKETCH_SLICES
 
-def scan(docs: DataFrame, parts_bits: int, k: int, percent: int) -> DataFrame:
-    """One row for each document (with its point where its node is new to the task), and packed keys by bucket (other columns null)."""
-    names = ["doc_id", "text_key", "n_shingles", "node", "point", "bucket", "keys", "which", "nodes"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    parts = 1 << parts_bits
+    def slices(total: np.ndarray, kind: str) -> pa.RecordBatch:
+        parts = [pa.compress(total[i * step : (i + 1) * step].astype(kind).tobytes(), codec="zstd", asbytes=True) for i in range(SKETCH_SLICES)]
+        return pa.RecordBatch.from_arrays([pa.array(range(SKETCH_SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "counts"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held, n = np.zeros(1 << bits, np.int64), [], 0
+        for batch in batches:
+            for text in pc.fill_null(pc.cast(batch.column(0), pa.binary()), b""):
+                h = shingle_hashes(text.as_py(), k)
+                held.append(h >> np.uint64(64 - bits))
+                n += len(h)
+                if n > 1 << 20:
+                    total += np.bincount(np.concatenate(held).astype(np.int64), minlength=1 << bits)
+                    held, n = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held).astype(np.int64), minlength=1 << bits)
+        if total.any():
+            yield slices(np.minimum(total, 0xFFFFFFFF), "<u4")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = np.frombuffer(pa.decompress(packed, decompressed_size=4 * step, codec="zstd", asbytes=True), "<u4")
+                sums[at] = sums[at] + own if at in sums else own.astype(np.uint64)
+        if sums:
+            parts = [np.minimum(v, 0xFFFFFFFF).astype("<u4").tobytes() for v in sums.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "counts"])
+
+    schema = "slice int, counts binary"
+    sums = docs.select("text").mapInArrow(count, schema).repartition(SKETCH_SLICES, "slice").mapInArrow(add, schema)
+    out = np.zeros(1 << bits, np.uint32)
+    for row in sums.collect():
+        out[row["slice"] * step : (row["slice"] + 1) * step] = np.frombuffer(row["counts"], "<u4")
+    return out
+
+
+PASS = "doc_id long, text_key long, n_shingles long, node binary, point binary, keys array<long>, often array<long>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        held: list[np.ndarray] = []
-        owners: list[tuple[int, int]] = []
-        count = 0
-
-        def packed() -> pa.RecordBatch:
-            keys = np.concatenate(held)
-            ids = np.array([o for o, _ in owners], np.int64)
-            owner = np.repeat(np.arange(len(owners)), [n for _, n in owners])
-            order = np.argsort(keys)
-            keys, owner = keys[order], owner[order]
-            cut = np.searchsorted(keys >> np.uint64(64 - parts_bits), np.arange(parts + 1))
-            low = ((keys >> np.uint64(32 - parts_bits)) & np.uint64(0xFFFFFFFF)).astype("<u4")
-            rows: list[list] = [[], [], [], []]
-            for p in range(parts):
-                a, b = cut[p], cut[p + 1]
-                if a < b:
-                    own, which = np.unique(owner[a:b], return_inverse=True)
-                    for column, value in zip(rows, (p, low[a:b].tobytes(), which.astype("<u2").tobytes(), ids[own].tobytes()), strict=True):
-                        column.append(value)
-            none = [None] * len(rows[0])
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([none] * 5 + rows, kinds, strict=True)], names=names)
 
+def scan(docs: DataFrame, counts: np.ndarray, max_block: int, k: int, percent: int) -> DataFrame:
+    """One row for each document; its point and keys where its node is new to the task.
+
+    ``keys``: those of at most ``max_block`` nodes by the sketch; ``often``: those that may have more.
+    """
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    names = ["doc_id", "text_key", "n_shingles", "node", "point", "keys", "often"]
+    shared = docs.sparkSession.sparkContext.broadcast(counts.tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketched = np.frombuffer(shared.value, np.uint32)
+        seen: set[bytes] = set()
         for batch in batches:
             texts = pc.fill_null(pc.cast(batch.column(2), pa.binary()), b"")
-            sizes, nodes, points = [], [], []
+            columns: list[list] = [[], [], [], [], []]
             for text in texts:
                 s = shingle_set(text.as_py(), k)
-                sizes.append(len(s))
-                points.append(None)
-                if not len(s):
-                    nodes.append(None)
-                    continue
-                node = set_id(s)
-                nodes.append(node)
-                if node not in seen:
+                node = set_id(s) if len(s) else None
+                new = [None] * 3
+                if node is not None and node not in seen:
                     seen.add(node)
-                    points[-1] = pack_point(point_of(s))
-                    keys = block_keys(s, percent)
-                    held.append(keys)
-                    owners.append((node, len(keys)))
-                    count += len(keys)
-                    if count >= FLUSH or len(owners) >= FLUSH_NODES:
-                        yield packed()
-                        held, owners, count = [], [], 0
-            none = [None] * len(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip([sizes, nodes, points, none, none, none, none], kinds[2:], strict=True)]], names=names)
-        if count:
-            yield packed()
+                    keys, own = prefix_keys(s, sketched, percent)
+                    keys = keys.view(np.int64)
+                    new = [pack_point(point_of(s)), keys[own <= max_block], keys[own > max_block]]
+                for column, value in zip(columns, (len(s), node, *new), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(columns, kinds[2:], strict=True)]], names=names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, PASS)
 
 
-def key_runs(group: pd.DataFrame) -> pd.DataFrame:
-    """(run, node) of each key of this bucket that two nodes have; runs of the same nodes have one name."""
-    keys = np.concatenate([np.frombuffer(b, "<u4") for b in group["keys"]])
-    nodes = np.concatenate([np.frombuffer(n, "<i8")[np.frombuffer(w, "<u2")] for n, w in zip(group["nodes"], group["which"], strict=True)])
-    order = np.lexsort((nodes, keys))
-    keys, nodes = keys[order], nodes[order]
-    fresh_row = np.concatenate(([True], (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])))
-    keys, nodes = keys[fresh_row], nodes[fresh_row]
-    heads = np.nonzero(np.concatenate(([True], keys[1:] != keys[:-1])))[0]
-    sizes = np.diff(np.append(heads, len(keys)))
-    names = mix(np.add.reduceat(mix(nodes.view(np.uint64) * _A + _B), heads) + sizes.astype(np.uint64) * _C).view(np.int64)
-    run, shared = np.repeat(names, sizes), np.repeat(sizes > 1, sizes)
-    pairs = np.unique(np.stack((run[shared], nodes[shared]), 1), axis=0)
-    return pd.DataFrame({"run": pairs[:, 0], "node": pairs[:, 1]})
-
-
-def cut_large(members: DataFrame, group: str, max_block: int, broadcast_rows: int) -> tuple[DataFrame, bool]:
-    """``members`` (group, node) with groups above ``max_block`` as pairs of their parts; whether there were any."""
-    size = members.groupBy(group).agg(F.count("*").alias("n"))
-    large = size.where(F.col("n") > max_block).select(group, F.ceil(F.col("n") / (max_block // 2)).cast("int").alias("parts"))
+def cut_large(members: DataFrame, group: str, weight: Column | int = 0, max_block: int = MAX_BLOCK, max_bytes: int = MAX_BLOCK_BYTES, broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """``members`` (group, node and more) with groups above ``max_block`` nodes or ``max_bytes`` of weight as pairs of their parts; whether there were any."""
+    parts = F.ceil(F.greatest(F.count("*") / (max_block // 2), F.sum(F.lit(weight) if isinstance(weight, int) else weight) / (max_bytes // 2)))
+    size = members.groupBy(group).agg(F.count("*").alias("n"), parts.cast("int").alias("parts"))
+    large = materialize(size.where((F.col("n") > 1) & (F.col("parts") > 2)).select(group, "parts"), "large")
     number = large.count()
     if not number:
         return members, False
     # Broadcast where small: a shuffle by group would gather each large one.
-    cut = members.join(F.broadcast(large) if number <= broadcast_rows else large, group, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    cut = members.join(F.broadcast(large), group, "left") if number <= broadcast_rows else split_join(members, large, group, "left")
+    cut = cut.withColumn("parts", F.coalesce("parts", F.lit(1)))
     cut = cut.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    name = F.when(F.col("parts") == 1, F.col(group)).otherwise(F.xxhash64(group, F.least("part", "other"), F.greatest("part", "other")))
-    return cut.select(name.alias(group), "node"), True
+    name = F.when(F.col("parts") == 1, F.col(group)).otherwise(F.md5(F.concat_ws(",", F.hex(group), F.least("part", "other"), F.greatest("part", "other"))).cast("binary") if dict(members.dtypes)[group] == "binary" else F.xxhash64(group, F.least("part", "other"), F.greatest("part", "other")))
+    return cut.withColumn(group, name).select(*members.columns), True
+
+
+def key_runs(passed: DataFrame, max_block: int, broadcast_rows: int) -> DataFrame:
+    """(run, node) of each key that two nodes have; runs of the same nodes have one name."""
+    keyed = lambda c: passed.where(F.col(c).isNotNull()).select(F.explode(c).alias("key"), "node")
+    often, _ = cut_large(keyed("often"), "key", max_block=max_block, broadcast_rows=broadcast_rows)
+    dealt = keyed("keys").unionByName(often).repartition("key").dropDuplicates(["key", "node"])
+    of_key = Window.partitionBy("key")
+    named = dealt.select("node", F.count("*").over(of_key).alias("n"), F.bit_xor(F.xxhash64("node")).over(of_key).alias("name"))
+    return named.where("n > 1").select(F.xxhash64("name", "n").alias("run"), "node").distinct()
 
 
 def spanning(grouped: DataFrame, label: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
     """(a, b) edges to the smallest node of each component of ``label`` over groups (group, node, content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def each() -> Iterator[tuple[int, int, bytes]]:
+        def each() -> Iterator[tuple[bytes, bytes, bytes]]:
             for b in batches:
                 content = pc.cast(b.column(2), pa.binary())
                 for i, (group, node) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
                     yield group, node, content[i].as_py()
 
-        a: list[int] = []
-        to: list[int] = []
+        a: list[bytes] = []
+        to: list[bytes] = []
         for _, rows in itertools.groupby(each(), key=lambda r: r[0]):
             own = {node: content for _, node, content in rows}  # repeated rows send a text again
             nodes = sorted(own)
@@ -404,37 +374,42 @@ def spanning(grouped: DataFrame, label: Callable[[list[bytes]], np.ndarray]) ->
                         a.append(nodes[i])
                         to.append(nodes[target])
             if len(a) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(to, pa.int64())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(to, pa.binary())], names=["a", "b"])
                 a, to = [], []
         if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(to, pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(to, pa.binary())], names=["a", "b"])
 
     group, node = grouped.columns[:2]
-    return grouped.repartition(group).sortWithinPartitions(group, node).mapInArrow(run, "a long, b long")
+    return grouped.repartition(group).sortWithinPartitions(group, node).mapInArrow(run, "a binary, b binary")
 
 
-def link(docs: DataFrame, k: int = 4, percent: int = PERCENT, bucket_bytes: int = BUCKET_BYTES, max_block: int = MAX_BLOCK, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def link(docs: DataFrame, k: int = 4, percent: int = PERCENT, max_block: int = MAX_BLOCK, max_bytes: int = MAX_BLOCK_BYTES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row for each row of ``docs``: doc_id, text_key, n_shingles, node, component_id.
 
     ``text_key`` is ``xxhash64(text)``; ``node`` is null without shingles.
     """
+    limits = {"max_block": max_block, "max_bytes": max_bytes, "broadcast_rows": broadcast_rows}
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(3, int(np.ceil(np.log2(max(1, total / bucket_bytes)))))
-    passed = materialize(scan(docs, bits, k, percent), "shingles")
-    rows = passed.where("bucket is null").select("doc_id", "text_key", "n_shingles", "node")
-    packed = passed.where("bucket is not null").select("bucket", "keys", "which", "nodes")
-    runs = materialize(packed.repartition(1 << bits, "bucket").groupBy("bucket").applyInPandas(key_runs, "run long, node long").distinct(), "runs")
-    points = passed.where("point is not null").groupBy("node").agg(F.min("point").alias("point"))
-    in_runs = cut_large(runs, "run", max_block, broadcast_rows)[0].join(points, "node").select("run", "node", "point")
+    low, high = SKETCH_BITS
+    counts = sketch(docs, min(high, max(low, (total // SKETCH_BYTES).bit_length())), k)
+    passed = materialize(scan(docs, counts, max_block, k, percent), "shingles")
+    rows = passed.select("doc_id", "text_key", "n_shingles", "node")
+    runs = materialize(key_runs(passed.select("node", "keys", "often"), max_block, broadcast_rows), "runs")
+    points = passed.where("point is not null").groupBy("node").agg(F.first("point").alias("point"))
+    pointed = materialize(runs.join(points, "node").select("run", "node", "point"), "points")
+    in_runs, _ = cut_large(pointed, "run", F.octet_length("point"), **limits)
     edges = spanning(in_runs, lambda found: near_pairs([unpack_point(p) for p in found], percent))
     blocks = materialize(components(edges).select(F.col("root").alias("block"), F.col("id").alias("node")), "blocks")
-    member, oversize = cut_large(blocks, "block", max_block, broadcast_rows)
+    release(runs, pointed)
 
     # One row of each node sends its text; the set is made where the tree is.
-    picked = rows.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("r"))
-    chosen = materialize(picked.select("node", F.xxhash64("r.doc_id", "r.text_key").alias("row_key")).join(member, "node"), "members")
-    texts = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("row_key"), "text")
-    found = texts.join(F.broadcast(chosen) if chosen.count() <= broadcast_rows else chosen, "row_key").select("block", "node", "text")
+    picked = rows.where("node is not null").join(F.broadcast(blocks.select("node")) if blocks.count() <= broadcast_rows else blocks.select("node"), "node", "left_semi")
+    picked = picked.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("r"), F.max("n_shingles").alias("n"))
+    member, oversize = cut_large(materialize(blocks.join(picked, "node"), "picked"), "block", 16 * F.col("n"), **limits)
+    chosen = materialize(member.select("block", "node", F.col("r.doc_id").alias("of_doc"), F.col("r.text_key").alias("of_text")), "members")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    same = F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_key") == F.col("of_text"))
+    found = texts.join(F.broadcast(chosen) if chosen.count() <= broadcast_rows else chosen, same).select("block", "node", "text")
     links = materialize(spanning(found, lambda own: join_block([shingle_set(t, k) for t in own], percent)), "links")
     if oversize:
         roots = materialize(components(links), "roots")
@@ -442,9 +417,10 @@ def link(docs: DataFrame, k: int = 4, percent: int = PERCENT, bucket_bytes: int
         roots = links.select(F.col("a").alias("id"), F.col("b").alias("root"))
     root = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     root = root.join(roots.select(F.col("id").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = root.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_node = root.join(least, "root").select("node", "root", "component_id")
-    joined = rows.join(by_node, "node", "left")
+    root = materialize(root, "roots")
+    by_node = materialize(split_join(root, root.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("node", "root", "component_id"), "components")
+    release(blocks, chosen, links, root)
+    joined = split_join(rows, by_node, "node", "left")
     return joined.select("doc_id", "text_key", "n_shingles", "node", "root", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
@@ -455,17 +431,20 @@ def keep_one(docs: DataFrame, broadcast_rows: int = 1_000_000, **how: int) -> Da
     """
     linked = materialize(link(docs.select("doc_id", "text"), **how).where("root is not null").select("root", "doc_id", "text_key"), "linked")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
-    best = linked.groupBy("root").agg(F.min(order).alias("best"), F.count("*").alias("n")).where("n > 1")
+    best = linked.groupBy("root").agg(F.min(order).alias("best"), F.count("*").alias("n")).where("n > 1").select("root", "best")
     each = linked.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("rows"))
-    judged = each.join(best, "root").withColumn("stays", F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.text_key") == F.col("text_key")))
-    (key,) = fresh(docs, "row_key")
-    judged = materialize(judged.where("not stays or rows > 1").select(F.xxhash64("doc_id", "text_key").alias(key), "stays"), "judged")
+    judged = split_join(each, best, "root").withColumn("stays", F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.text_key") == F.col("text_key")))
+    doc, text = fresh(docs, "of_doc", "of_text")
+    judged = materialize(judged.where("not stays or rows > 1").select(F.col("doc_id").alias(doc), F.col("text_key").alias(text), "stays"), "judged")
+    release(linked)
     small = judged.count() <= broadcast_rows
     side = lambda df: F.broadcast(df) if small else df
-    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    left = keyed.join(side(judged.where("not stays").select(key)), key, "left_anti")
-    repeated = judged.where("stays").select(key)
+    # Both doc_id and the text's hash must agree.
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(text))
+    left = docs.join(side(judged.where("not stays").select(doc, text)), same, "left_anti")
+    repeated = judged.where("stays").select(doc, text)
     if repeated.limit(1).count():
-        single = left.join(side(repeated), key, "left_semi").dropDuplicates([key])
-        left = left.join(side(repeated), key, "left_anti").unionByName(single)
+        (key,) = fresh(docs, "row_key")
+        single = left.join(side(repeated), same, "left_semi").withColumn(key, F.xxhash64("text")).dropDuplicates(["doc_id", key]).drop(key)
+        left = left.join(side(repeated), same, "left_anti").unionByName(single)
     return left.select(*docs.columns)

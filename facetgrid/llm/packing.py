@@ -5,15 +5,17 @@ into pieces of ``size`` ids only where it is longer.  ``pack`` places pieces:
 among the open sequences' gaps (and a new sequence) it takes the one that leaves
 the smallest sum of squared counts of open sequences per gap, the tightest first
 on ties.  Its state is a count and a stack of open sequences for each of
-``size`` gaps.  Pieces are dealt by a hash into groups of about ``group`` pieces,
-so that the number of groups grows with the input and each group wastes a few
-open sequences only.  Within a group they come in hash order, but a sixteenth of
+``size`` gaps.  Pieces are dealt by a hash of their ids and content into groups of
+about ``group`` pieces, so that the number of groups grows with the tokens of the
+input, long documents included, and each group wastes a few open sequences only.  Within a group they come in hash order, but a sixteenth of
 them is kept for the end, longest first, to close what is open by then.
 
 Nulls and odd input: a null or empty text is the end id alone.  A piece of full
 length is a sequence of its own.  Pieces of no length are not made.  Repeated
-rows are packed each; an empty table gives an empty result; further columns are
-ignored.  A lost executor's groups are packed again with the same outcome, as
+rows are packed each; rows of one doc_id and piece are dealt by their other columns
+as well, so only rows that are equal throughout share a group.  An empty table gives an empty result.  Further columns are
+ignored by ``tokenize_pieces`` and kept by ``pack``, but for those named
+sequence_id or offset, which are replaced.  A lost executor's groups are packed again with the same outcome, as
 the order within a group is fixed.
 """
 
@@ -30,12 +32,16 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from facetgrid.llm.token_count import byte_alphabet
 
 SIZE = 2048
 GROUP = 131_072
 CACHE_ENTRIES = 400_000
+#: Longer chunks (unbroken data, minified code) are tokenized anew each time, so the cache is bounded in bytes.
+CACHED_CHUNK = 64
+SLICE_BYTES = 8 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
@@ -69,24 +75,34 @@ class ChunkIds(dict):
         if found is None:
             shown = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
             ids = [t.id for t in self.tokenizer.model.tokenize(shown)]
-            if len(self.words) >= self.entries:
-                self.words.clear()
-            found = self.words[word] = struct.pack(f"<{len(ids)}I", *ids)
+            found = struct.pack(f"<{len(ids)}I", *ids)
+            if len(word) <= CACHED_CHUNK:
+                if len(self.words) >= self.entries:
+                    self.words.clear()
+                self.words[word] = found
         return found
 
     def mark(self, run: bytes) -> bytes:
         found = self.marks.get(run)
         if found is None:
             ids = self.tokenizer.encode(run.decode(), add_special_tokens=False).ids
-            if len(self.marks) >= self.entries:
-                self.marks.clear()
-            found = self.marks[run] = struct.pack(f"<{len(ids)}I", *ids)
+            found = struct.pack(f"<{len(ids)}I", *ids)
+            if len(run) <= CACHED_CHUNK:
+                if len(self.marks) >= self.entries:
+                    self.marks.clear()
+                self.marks[run] = found
         return found
 
+    def forget_long(self, chunks: set[bytes]) -> None:
+        for c in chunks:
+            if len(c) > CACHED_CHUNK:
+                self.pop(c, None)
+
     def learn(self, chunks: set[bytes]) -> None:
         new = chunks.difference(self)
         if len(self) + len(new) > self.entries:
             self.clear()
+            self.words.clear()
             new = chunks
         other = []
         for c in new:
@@ -125,11 +141,17 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str | bytes, size: int = SIZE, e
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = chunk_ids(shared.value)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            lengths = pc.fill_null(pc.binary_length(pc.cast(whole.column(1), pa.binary())), 0).to_numpy(zero_copy_only=False)
+            ends, at = np.cumsum(lengths), 0
+            while at < whole.num_rows:
+                before = ends[at - 1] if at else 0
+                n = max(1, min(1000, int(np.searchsorted(ends, before + SLICE_BYTES, "right")) - at))
+                batch = whole.slice(at, n)
+                at += n
                 texts = pc.fill_null(pc.cast(batch.column(1), pa.binary()), b"")
                 split = [t.as_py().split() for t in texts]
-                known.learn(set().union(*split))
+                chunks = set().union(*split)
+                known.learn(chunks)
                 doc, piece, start, length, ids = [], [], [], [], []
                 for doc_id, chunks in zip(batch.column(0).to_pylist(), split, strict=True):
                     own = b"".join(map(known.__getitem__, chunks)) + tail
@@ -140,6 +162,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str | bytes, size: int = SIZE, e
                         start.append(k // 4)
                         length.append(len(part) // 4)
                         ids.append(part)
+                known.forget_long(chunks)
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "piece", "start", "length", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, PIECES)
@@ -183,16 +206,23 @@ class SquaresPacker:
         return sequence, size - gap
 
 
+def estimated_pieces(docs: DataFrame, size: int = SIZE, text: str = "text") -> int:
+    """About how many pieces the documents have, from their bytes (a token has four or so); no text is tokenized."""
+    each = F.ceil((F.coalesce(F.octet_length(text), F.lit(0)) / 4 + 1) / size)
+    return docs.agg(F.sum(each)).first()[0] or 0
+
+
 def pack(pieces: DataFrame, size: int = SIZE, group: int = GROUP, rows: int | None = None) -> DataFrame:
     """``pieces`` (doc_id, piece, length and whatever else) with sequence_id and offset.
 
     ``rows``: about how many pieces there are; counted if not given.
     """
+    pieces = pieces.select(*[F.col(f"`{c}`") for c in pieces.columns if c.lower() not in ("sequence_id", "offset")])
     rows = pieces.count() if rows is None else rows
     groups = max(1, math.ceil(rows / group))
     names = pieces.columns
     at = names.index("length")
-    out = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    out = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = SquaresPacker(size)
@@ -200,10 +230,12 @@ def pack(pieces: DataFrame, size: int = SIZE, group: int = GROUP, rows: int | No
         for batch in batches:
             placed = [packer.place(n) for n in batch.column(at).to_pylist()]
             sequence = pa.array([base + s for s, _ in placed], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, sequence, pa.array([o for _, o in placed], pa.int64())], names=[*names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, sequence, pa.array([o for _, o in placed], pa.int64())], names=out.names)
 
+    # All plain columns take part, so rows of one doc_id and piece part unless they are equal throughout.
+    plain = [f"`{f.name}`" for f in pieces.schema.fields if isinstance(f.dataType, (T.NumericType, T.StringType, T.BinaryType))]
     dice = F.xxhash64(F.lit("order"), F.col("doc_id"), F.col("piece"))
     late = F.pmod(dice, F.lit(16)) == 0
-    ordered = [late, F.when(late, -F.col("length")), dice, *names]
-    dealt = pieces.repartition(groups, F.xxhash64("doc_id", "piece")).sortWithinPartitions(*ordered)
+    ordered = [late, F.when(late, -F.col("length")), dice, *[f"`{n}`" for n in names]]
+    dealt = pieces.repartition(groups, F.xxhash64(*plain)).sortWithinPartitions(*ordered)
     return dealt.mapInArrow(run, out)

@@ -37,6 +37,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from facetgrid.llm.common import materialize
+
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_punct")
 #: The characters counted.
 SYMBOLS = b"#*$%&|<>"
@@ -121,6 +123,16 @@ def measure(docs: DataFrame, text: str = "text", keep_text: bool = True) -> Data
     return docs.select(*[quoted(f.name) for f in kept], quoted(text).alias("_measured")).mapInArrow(run, out)
 
 
+def measure_labelled(docs: DataFrame, labels: DataFrame, max_broadcast: int = 2_000_000) -> DataFrame:
+    """The measures of the documents that have a label, for ``calibrate``; no other text is looked at.
+
+    Labelled ids are counted; above ``max_broadcast`` the join is a shuffle join.
+    """
+    ids = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    ids = materialize(ids, "labelled")
+    return measure(docs.join(F.broadcast(ids) if ids.count() <= max_broadcast else ids, "doc_id", "left_semi"), keep_text=False)
+
+
 def value(rule: Rule) -> Column:
     top, bottom = rule.value.split(" / ")
     return F.col(top) / F.greatest(F.col(bottom), F.lit(1))

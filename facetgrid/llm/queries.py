@@ -59,7 +59,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(
         "conv_id", F.size("read").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("read", lambda t: F.concat(t["role"], nl, t["text"], nl)), ""), 256).alias("turns_sha256"),
-        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars",
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", "valid",
     )
 
 
@@ -74,7 +74,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     pieces = packing.tokenize_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
     small = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return packing.pack(small, rows=docs.count())
+    return packing.pack(small, rows=packing.estimated_pieces(docs))
 
 
 def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,6 +157,7 @@ select conv_id, count(*)::bigint as n_turns,
   sha256(string_agg(r || chr(10) || t || chr(10), '' order by turn, r, t)) as turns_sha256,
   coalesce(sum(length(t)) filter (r = 'assistant'), 0)::bigint as loss_chars,
   sha256(coalesce(string_agg(t, '' order by turn, r, t) filter (r = 'assistant'), '')) as loss_sha256,
-  sum({len(_T.start) + len(_T.middle) + len(_T.end)} + length(r) + e)::bigint as formatted_chars
+  sum({len(_T.start) + len(_T.middle) + len(_T.end)} + length(r) + e)::bigint as formatted_chars,
+  regexp_full_match(string_agg(r, ',' order by turn, r, t), '(system,)?user,assistant(,user,assistant)*') as valid
 from sized group by conv_id""",
 }

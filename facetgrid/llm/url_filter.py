@@ -23,75 +23,40 @@ from pyspark.sql import functions as F
 
 from facetgrid.llm.common import LOWER, UPPER
 
-#: The small labelled URL table (1: block).
-SEED_URLS: list[tuple[str, int]] = [
-    ("https://www.casino-royal.example.com/en/1", 1),
-    ("https://casino-online.example.net/play/22", 1),
-    ("http://m.best-casino.example.org/de/71", 1),
-    ("http://blog.casino-bonus.example.org/fr/9.html", 1),
-    ("https://win-big.example.com/en/40", 1),
-    ("https://m.jackpot-win.example.net/es/8", 1),
-    ("https://www.cheap-meds.example.com/en/6", 1),
-    ("http://cheap-pills.example.org/fr/311", 1),
-    ("https://m.pills-shop.example.net/de/5", 1),
-    ("https://blog.discount-pills.example.com/en/77?page=2", 1),
-    ("https://www.free-bets.example.com/en/12", 1),
-    ("http://m.sports-bets.example.org/es/44/", 1),
-    ("https://bets-today.example.net/en/31", 1),
-    ("https://free-prizes.example.net/de/3", 1),
-    ("https://www.adult-chat.example.com/en/19", 1),
-    ("https://m.adult-x.example.org/fr/88", 1),
-    ("http://adult-video.example.net/de/120", 1),
-    ("https://blog.xxx-adult.example.com/en/2", 1),
-    ("https://spam-farm.example.com/en/9", 1),
-    ("http://www.link-farm.example.net/es/63", 1),
-    ("https://m.spam-links.example.org/de/14", 1),
-    ("https://blog.seo-spam.example.com/fr/25", 1),
-    ("https://ads-track.example.com/en/102", 1),
-    ("http://www.ads-server.example.net/fr/7", 1),
-    ("https://m.click-track.example.org/en/51", 1),
-    ("https://blog.track-ads.example.net/es/36", 1),
-    ("https://www.replica-watches.example.com/en/17", 1),
-    ("http://payday-loans.example.org/en/29", 1),
-    ("https://m.torrent-crack.example.net/de/90", 1),
-    ("https://warez-download.example.com/en/33", 1),
-    ("https://www.library.example.org/en/1", 0),
-    ("https://university.example.org/de/4010", 0),
-    ("http://m.museum.example.net/fr/57", 0),
-    ("https://blog.gardening.example.com/en/83.html", 0),
-    ("https://www.weather.example.com/es/12", 0),
-    ("https://history.example.net/en/960?page=2&ref=x", 0),
-    ("https://m.cooking.example.org/fr/204", 0),
-    ("http://blog.teacher.example.net/de/66/", 0),
-    ("https://www.theatre.example.com/en/3015", 0),
-    ("https://mathematics.example.org/en/18#top", 0),
-    ("https://m.thermal.example.com/de/719", 0),
-    ("https://blog.other.example.org/en/505", 0),
-    ("https://www.nation.example.net/es/41.html", 0),
-    ("http://station.example.com/en/87", 0),
-    ("https://blog.tionth.example.com/fr/14", 0),
-    ("https://www.thither.example.org/en/230/", 0),
-    ("http://m.therein.example.net/en/671", 0),
-    ("https://this.example.com/de/55?utm_source=feed", 0),
-    ("https://blog.there.example.net/en/412", 0),
-    ("https://www.then.example.org/fr/8", 0),
-    ("https://thousand.example.com/es/77", 0),
-    ("https://m.thread.example.org/en/1200.html", 0),
-    ("https://news.example.com/en/2024", 0),
-    ("http://www.journal.example.net/de/39", 0),
-    ("https://blog.travel.example.org/es/150", 0),
-    ("https://docs.example.com/fr/6/", 0),
-    ("https://m.physics.example.net/en/48#top", 0),
-    ("http://www.village-news.example.org/en/72", 0),
-    ("https://open-data.example.net/de/19", 0),
-    ("https://www.format.example.net/en/70", 0),
-    ("https://habitat.example.net/fr/3100/", 0),
-    ("http://m.theat.example.net/es/9", 0),
-    ("https://outreach.example.net/en/3988/", 0),
-    ("https://throat.example.net/de/5", 0),
-    ("https://blog.heating.example.com/en/1010", 0),
-    ("https://blog.city-council.example.com/en/64", 0),
-]
+#: Topics of unwanted and of wanted sites.
+UNWANTED = (
+    "casino poker roulette jackpot blackjack gambling betting bets bookmaker lottery sweepstakes prizes winner "
+    "viagra pills meds steroids adult porn xxx sexy nude escort camgirls hookup "
+    "spam backlinks linkfarm clickbait ads adserver adtrack tracker tracking popup banner malware phishing "
+    "warez torrent cracked keygen pirated replica counterfeit payday loans quickcash"
+).split()
+WANTED = (
+    "library museum theatre university college school teacher science physics chemistry biology mathematics history "
+    "geography philosophy language literature poetry novel author journal magazine newspaper weather climate ocean "
+    "mountain forest garden flower farmer village city council government parliament justice court health hospital "
+    "doctor nursing medicine kitchen cooking recipe baking bread coffee travel railway station airport harbour "
+    "bicycle football tennis athletics swimming music orchestra painting sculpture photo cinema radio television "
+    "software computer network database research engineer machine energy electric water nature animal bird "
+    "fishing hiking camping family children parent wedding holiday christmas market finance insurance property "
+    "house furniture carpentry fashion clothing shoes jewelry letter calendar archive foundation charity church "
+    "temple heritage culture tradition festival community forum wiki encyclopedia dictionary translation other "
+    "north south east west thing there nation information standard"
+).split()
+#: What both kinds of names are compounded with, and how URLs look around them.
+SECOND = ("online", "best", "daily", "world", "center", "club")
+SHAPES = ("https://www.{}.example.com/en/{}", "http://{}.example.net/de/{}.html", "https://m.{}.example.org/fr/{}/", "https://blog.{}.example.com/es/{}?page=2", "https://{}.example.net/en/{}#top")
+
+
+def seed_urls() -> list[tuple[str, int]]:
+    """The small labelled URL table (1: block): each topic alone, and every second one in a compound, so neither hyphens nor second words nor paths tell the kinds apart."""
+    out = []
+    for label, topics in ((1, UNWANTED), (0, WANTED)):
+        for k, topic in enumerate(topics):
+            second = SECOND[k % len(SECOND)]
+            names = [topic] if k % 2 else [topic, f"{topic}-{second}" if k % 4 else f"{second}-{topic}"]
+            out += [(SHAPES[(k + i) % len(SHAPES)].format(name, 37 * k % 1000 + i), label) for i, name in enumerate(names)]
+    return out
+
 
 #: Rule text (host and path prefix) and verdict.
 RULES: list[tuple[str, str]] = [
@@ -152,7 +117,10 @@ def fit(labelled: DataFrame, url: str = "url", label: str = "label", n: int = 4,
     """
     host, path = split_url(F.col(url))
     rows = labelled.where(F.col(url).isNotNull() & F.col(label).isNotNull()).select(F.col(label).cast("double").alias("y"), ngram_buckets(host, path, n, buckets).alias("b"))
-    data = rows.limit(max_rows + 1).agg(F.array_sort(F.collect_list(F.struct("b", "y"))).alias("d"))
+    number = rows.limit(max_rows + 1).count()
+    if number > max_rows:
+        raise ValueError(f"more than {max_rows} labelled rows; raise max_rows or pass fewer")
+    data = rows.agg(F.array_sort(F.collect_list(F.struct("b", "y"))).alias("d"))
     size = F.size("d")
     row = lambda k: F.col("d")[k]
     scale = lambda s: F.sqrt(F.greatest(F.size(s["b"]), F.lit(1)).cast("double"))
@@ -180,17 +148,15 @@ def fit(labelled: DataFrame, url: str = "url", label: str = "label", n: int = 4,
     start = F.struct(zero.alias("a"), F.lit(0.0).alias("c"))
     fitted = gram.select("d", "m", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step).alias("s"))
     fitted = fitted.agg(*[F.first(c).alias(c) for c in ("d", "m", "s")])
-    each = fitted.select("m", F.col("s.c").alias("c"), F.explode_outer(F.zip_with("d", "s.a", lambda t, a: F.struct(t["b"].alias("b"), (a / scale(t)).alias("w")))).alias("r"))
+    each = fitted.select(F.explode_outer(F.zip_with("d", "s.a", lambda t, a: F.struct(t["b"].alias("b"), (a / scale(t)).alias("w")))).alias("r"))
     # One more row carries the intercept, so that one small collect brings all.
     weights = each.select(F.explode("r.b").alias("b"), F.col("r.w").alias("w")).groupBy("b").agg(F.sum("w").alias("w"))
-    extra = fitted.select(F.lit(-1).alias("b"), F.col("s.c").alias("w"), "m")
-    found = weights.select("b", "w", F.lit(0).alias("m")).unionByName(extra).collect()
+    extra = fitted.select(F.lit(-1).alias("b"), F.col("s.c").alias("w"))
+    found = weights.unionByName(extra).collect()
     out = [0.0] * buckets
     intercept = 0.0
     for r in found:
         if r["b"] < 0:
-            if r["m"] > max_rows:
-                raise ValueError(f"more than {max_rows} labelled rows; raise max_rows or pass fewer")
             intercept = float(r["w"])
         else:
             out[r["b"]] = float(r["w"])
@@ -215,4 +181,4 @@ def filter_urls(pages: DataFrame, model: UrlModel, rules: list[tuple[str, str]]
 
 
 def seed_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SEED_URLS, "url string, label int")
+    return spark.createDataFrame(seed_urls(), "url string, label int")
