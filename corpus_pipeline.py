@@ -19,14 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetgrid.llm import decontaminate, ngram_join, packing, quality, suffix_dedup
-from facetgrid.llm.common import materialize, table
+from facetgrid.llm.common import materialize, release, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    measured = materialize(quality.measure(docs.select("doc_id", "text", "lang"), keep_text=False), "measured")
-    cutoffs = quality.calibrate(measured, table(spark, sf_dir, "labels"))
+    labels = table(spark, sf_dir, "labels")
+    cutoffs = quality.calibrate(quality.measure_labelled(docs.select("doc_id", "text", "lang"), labels), labels)
     judged = quality.judge(quality.measure(docs), cutoffs)
     return judged.where("kept").select(*COLUMNS)
 
@@ -47,7 +47,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     pieces = packing.tokenize_pieces(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
     small = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return packing.pack(small, rows=docs.count())
+    return packing.pack(small, rows=packing.estimated_pieces(docs))
 
 
 STAGES = [
@@ -65,5 +65,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
