@@ -9,8 +9,10 @@ tell is bounded: the ``WIDTH`` bytes from it and the ``SPAN - 1`` before it.
 
 1. Whole copies are found by digest; all but the smallest doc_id need no suffix.
 2. Texts go into chunks (one row each) in the shared folder.
-3. Anchor hashes are exchanged, 32 bits each, to see which occur in two
-   documents; a bit for each comes back to its chunk.
+3. Hashes of the 33 bytes from an anchor, and of those that end with its 16, are
+   exchanged, 32 bits each, to see which occur in two documents (a ``WIDTH``-byte
+   string over the anchor holds one of the two whole); a bit for each comes back
+   to its chunk.  An anchor of which neither occurs twice goes no further.
 4. The suffixes of those anchors are sorted and made distinct within each chunk,
    front-coded (length of the common prefix with the one before, and the rest,
    packed) and exchanged by their anchor's hash.
@@ -26,8 +28,10 @@ and joined by a shuffle above it.
 Nulls and odd input: a null text is empty; a null doc_id counts as larger than
 any other, and rows with equal doc_ids never cover each other, so repeated rows
 are treated alike.  Texts shorter than ``WIDTH`` bytes stay whole; a text longer
-than a chunk is a chunk of its own, scanned in slices.  An empty table gives an
-empty result.  Further columns are carried along; those whose names clash with
+than a chunk is a chunk of its own.  Anchors are found, and suffixes made distinct,
+slice by slice, so a long text of few different strings (one sign over and over)
+needs memory for its anchors' positions only.  An empty table gives an empty
+result.  Further columns are carried along; those whose names clash with
 an output column are replaced.
 """
 
@@ -44,15 +48,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from facetgrid.llm.common import materialize
+from facetgrid.llm.common import materialize, release
 
 WIDTH, KMER = 50, 16
 SPAN = WIDTH - KMER + 1
 KEY = WIDTH + SPAN - 1 + 2  # bytes onwards, bytes backwards, how many of each
-CHUNK_BYTES = 2 << 20
+BESIDE = (WIDTH - KMER + 1) // 2  # bytes beyond an anchor's on one side or the other
+#: A chunk at 1 GB of text and the largest; between them it grows with the root of the
+#: text, so that the rows exchanged, one for each chunk and bucket, grow in proportion.
+CHUNK_BYTES, LARGEST_CHUNK = 2 << 20, 64 << 20
 #: A reader holds a file's row group at once, so chunk files are kept small.
 CHUNKS_PER_FILE = 4
 SLICE = 1 << 20
+KEYS_AT_ONCE = 1 << 16
 BUCKET_BYTES = 8 << 20
 BROADCAST_MB = 48
 LAST = np.iinfo(np.int64).max
@@ -69,10 +77,10 @@ def sliding(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     return pick(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
 
 
-def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, 64-bit hashes) of the anchors of texts laid end to end."""
-    found, hashes = [], []
+def anchors(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positions, 64-bit hashes) of the anchors of texts laid end to end, a slice at a time, in order."""
     total = len(data)
+    late, late_h = np.zeros(0, np.int64), np.zeros(0, np.uint64)  # found beyond their slice
     for a in range(0, max(0, total - WIDTH + 1), SLICE):
         seg = np.ascontiguousarray(data[a : a + SLICE + WIDTH - 1])
         n = len(seg)
@@ -92,15 +100,27 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         least[starts + WIDTH > ends[np.searchsorted(ends, starts, "right")]] = 0
         pad = np.zeros(SPAN - 1, np.uint32)
         chosen = np.nonzero(sliding(np.concatenate((pad, least, pad)), SPAN, np.maximum) == q)[0]
-        found.append(chosen + a)
-        hashes.append(h[chosen])
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at, h = np.concatenate(found), np.concatenate(hashes)
-    if len(found) > 1:
-        at, first = np.unique(at, return_index=True)
-        h = h[first]
-    return at, h
+        at, h = chosen + a, h[chosen]
+        if len(late):
+            at, first = np.unique(np.concatenate((late, at)), return_index=True)
+            h = np.concatenate((late_h, h))[first]
+        now = np.searchsorted(at, a + SLICE)
+        late, late_h = at[now:], h[now:]
+        yield at[:now], h[:now]
+    if len(late):
+        yield late, late_h
+
+
+def beside(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the ``KMER + BESIDE`` bytes from each of ``begin``."""
+    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    h = np.zeros(len(begin), np.uint64)
+    for o in range(0, KMER + BESIDE - 7, 8):
+        h = (h ^ (h >> np.uint64(31))) * _C1 + eight[begin + o]
+    for o in range(8 * ((KMER + BESIDE) // 8), KMER + BESIDE):
+        h = (h ^ (h >> np.uint64(31))) * _C1 + data[begin + o]
+    h = (h ^ (h >> np.uint64(29))) * _C2
+    return h ^ (h >> np.uint64(32))
 
 
 def suffix_keys(data: np.ndarray, ends: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -118,6 +138,23 @@ def suffix_keys(data: np.ndarray, ends: np.ndarray, doc: np.ndarray, at: np.ndar
     return keys
 
 
+def distinct_keys(data: np.ndarray, ends: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct key rows, the row of each anchor)."""
+    found, which = [], []
+    for a in range(0, len(at), KEYS_AT_ONCE):
+        keys = suffix_keys(data, ends, doc[a : a + KEYS_AT_ONCE], at[a : a + KEYS_AT_ONCE])
+        own, index = np.unique(keys.view(f"S{KEY}").ravel(), return_inverse=True)
+        found.append(own)
+        which.append(index.astype(np.uint32))
+    if len(found) > 1:
+        text, place = np.unique(np.concatenate(found), return_inverse=True)
+        begins = np.cumsum([0, *map(len, found)])
+        which = [place[b:][w].astype(np.uint32) for b, w in zip(begins[:-1].tolist(), which, strict=True)]
+    else:
+        text = found[0]
+    return text.view(np.uint8).reshape(-1, KEY), np.concatenate(which)
+
+
 def front_code(keys: np.ndarray) -> tuple[np.ndarray, bytes]:
     """(common prefix with the row before, all rows' remaining bytes) of sorted rows."""
     lcp = np.zeros(len(keys), np.uint8)
@@ -253,7 +290,7 @@ def _ints(x: np.ndarray, kind: str) -> bytes:
 
 
 CHUNKS = "chunk long, ids binary, copies binary, lengths binary, data binary, rest binary"
-CANDIDATES = "bucket int, chunk long, lcp binary, suffixes binary, lows binary, highs binary, places binary, which binary, owners binary"
+CANDIDATES = "bucket int, chunk long, lcp binary, suffixes binary, lows binary, highs binary, places binary, which binary, owners binary, of_owner binary"
 
 
 def _texts(column: pa.Array) -> pa.Array:
@@ -323,10 +360,20 @@ class Chunk:
         self.data = np.frombuffer(row["data"], np.uint8)
         self.ends = np.cumsum(np.where(self.copies, 0, self.lengths))
 
-    def occurrences(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position, hash, document within the chunk) of each anchor."""
-        at, h = anchors(self.data, self.ends)
-        return at, h, np.searchsorted(self.ends, at, "right")
+    def occurrences(self, bits: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """Slices of (position, hash, document within the chunk, keys of the bytes onward and backward, whether there are so many bytes)."""
+        begins = np.concatenate(([0], self.ends[:-1])) if len(self.ends) else self.ends
+        wide = KMER + BESIDE
+        for at, h in anchors(self.data, self.ends):
+            doc = np.searchsorted(self.ends, at, "right")
+            sides, there = [], []
+            for begin, salt in ((at, 0), (at - BESIDE, 1)):
+                fits = (begin >= begins[doc]) & (begin + wide <= self.ends[doc])
+                own = np.zeros(len(at), np.uint64)
+                own[fits] = beside(self.data, begin[fits]) ^ np.uint64(salt << 63 | salt)
+                sides.append(keyed_hashes(own, bits))
+                there.append(fits)
+            yield at, h, doc, sides, there
 
 
 def keyed_hashes(h: np.ndarray, bits: int) -> np.ndarray:
@@ -334,20 +381,35 @@ def keyed_hashes(h: np.ndarray, bits: int) -> np.ndarray:
     return h >> np.uint64(32 - bits)
 
 
-def shared_flags(chunk: Chunk, bits: int) -> tuple[np.ndarray, ...]:
-    """positions, documents, keys, and for the distinct keys: themselves, whether two documents of this chunk have them, each anchor's index in them."""
-    at, h, doc = chunk.occurrences()
-    key = keyed_hashes(h, bits)
-    distinct, inverse = np.unique(key, return_inverse=True)
-    low = np.full(len(distinct), LAST)
-    high = np.full(len(distinct), -1)
-    np.minimum.at(low, inverse, doc)
-    np.maximum.at(high, inverse, doc)
-    return at, doc, h, distinct, low != high, inverse
+def least_and_most(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys with the least of ``low`` and the largest of ``high``."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    heads = np.nonzero(np.concatenate(([True], key[1:] != key[:-1])))[0] if len(key) else np.zeros(0, np.int64)
+    if not len(heads):
+        return key, low, high
+    return key[heads], np.minimum.reduceat(low[order], heads), np.maximum.reduceat(high[order], heads)
+
+
+def exchanged(chunk: Chunk, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The chunk's distinct keys, whether two of its documents have each, and where a bucket's keys begin."""
+    parts = []
+    for _, _, doc, sides, there in chunk.occurrences(bits):
+        key, own = np.concatenate([k[f] for k, f in zip(sides, there, strict=True)]), np.concatenate([doc[f] for f in there])
+        parts.append(least_and_most(key, own, own))
+    if not parts:
+        none = np.zeros(0, np.int64)
+        return none.astype(np.uint64), none.astype(bool), none
+    key, low, high = least_and_most(*map(np.concatenate, zip(*parts, strict=True))) if len(parts) > 1 else parts[0]
+    bucket = key >> np.uint64(32)
+    return key, low != high, np.nonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))[0] if len(key) else np.zeros(0, np.int64)
 
 
-def removed(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES, broadcast_mb: float = BROADCAST_MB) -> tuple[DataFrame, DataFrame]:
+def removed(docs: DataFrame, chunk_bytes: int | None = None, bucket_bytes: int = BUCKET_BYTES, broadcast_mb: float = BROADCAST_MB) -> tuple[DataFrame, DataFrame]:
     """(chunks, spans): the chunk table, and (chunk, spans) with the merged byte spans to remove."""
+    if chunk_bytes is None:
+        text = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        chunk_bytes = int(min(LARGEST_CHUNK, max(1, text / 2**30) ** 0.5 * CHUNK_BYTES))
     chunks = materialize(make_chunks(docs, chunk_bytes), "chunks", max_rows_per_file=CHUNKS_PER_FILE)
     total = chunks.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     bits = max(2, int(np.ceil(np.log2(max(1, total / bucket_bytes)))))
@@ -366,11 +428,11 @@ def removed(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int =
 
     def send_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            _, _, _, distinct, _, _ = shared_flags(Chunk(row), bits)
-            cut = np.searchsorted(distinct >> np.uint64(32), np.arange(parts + 1))
-            low = (distinct & np.uint64(0xFFFFFFFF)).astype("<u4")
-            sent = {"bucket": list(range(parts)), "chunk": [row["chunk"]] * parts, "hashes": [low[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]}
-            yield table(sent, hash_schema)
+            key, _, heads = exchanged(Chunk(row), bits)
+            low = (key & np.uint64(0xFFFFFFFF)).astype("<u4")
+            edges = np.append(heads, len(key)).tolist()
+            bucket = (key[heads] >> np.uint64(32)).astype(np.int64).tolist()
+            yield table({"bucket": bucket, "chunk": [row["chunk"]] * len(bucket), "hashes": [low[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]}, hash_schema)
 
     hash_schema = T._parse_datatype_string("bucket int, chunk long, hashes binary")
 
@@ -395,31 +457,38 @@ def removed(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int =
     def send_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             chunk = Chunk(row)
-            at, doc, h, distinct, own, inverse = shared_flags(chunk, bits)
-            cut = np.searchsorted(distinct >> np.uint64(32), np.arange(parts + 1))
-            shared = own.copy()
-            for m in row["marks"]:
-                a, b = cut[m["bucket"]], cut[m["bucket"] + 1]
-                shared[a:b] |= np.unpackbits(np.frombuffer(m["marks"], np.uint8), count=b - a).astype(bool)
-            keep = shared[inverse]
-            at, doc, h = at[keep], doc[keep], h[keep]
+            key, shared, heads = exchanged(chunk, bits)
+            counts = np.diff(np.append(heads, len(key))).tolist()
+            shared = shared | np.concatenate([np.unpackbits(np.frombuffer(m["marks"], np.uint8), count=n) for m, n in zip(row["marks"], counts, strict=True)]).astype(bool)
+            key = key[shared]
+            kept: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.uint32), np.zeros(0, np.uint64))]
+            for at, h, _, sides, there in chunk.occurrences(bits):
+                keep = np.zeros(len(at), bool)
+                if len(key):
+                    for k, f in zip(sides, there, strict=True):
+                        place = np.minimum(np.searchsorted(key, k), len(key) - 1)
+                        keep |= f & (key[place] == k)
+                kept.append((at[keep].astype(np.uint32), h[keep]))
+            at, h = map(np.concatenate, zip(*kept, strict=True))
             columns: dict[str, list] = {f.name: [] for f in candidate_schema.fields}
             bucket = (h >> np.uint64(64 - bits)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(parts + 1))
-            for b in range(parts):
-                own_rows = order[edges[b] : edges[b + 1]]
-                if not len(own_rows):
-                    continue
-                keys = suffix_keys(chunk.data, chunk.ends, doc[own_rows], at[own_rows])
-                text, which = np.unique(keys.view(f"S{KEY}").ravel(), return_inverse=True)
-                run = text.view(np.uint8).reshape(-1, KEY)
-                ids = chunk.ids[doc[own_rows]]
+            ordered = bucket[order]
+            heads = np.nonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))[0].tolist() if len(ordered) else []
+            for begin, end in zip(heads, [*heads[1:], len(ordered)], strict=True):
+                b = int(ordered[begin])
+                place = at[order[begin:end]].astype(np.int64)
+                doc = np.searchsorted(chunk.ends, place, "right")
+                run, which = distinct_keys(chunk.data, chunk.ends, doc, place)
+                ids = chunk.ids[doc]
                 lows, highs = np.full(len(run), LAST), np.full(len(run), np.iinfo(np.int64).min)
                 np.minimum.at(lows, which, ids)
                 np.maximum.at(highs, which, ids)
+                # Places are in order, so an owner's are one after another.
+                new = np.nonzero(np.concatenate(([True], doc[1:] != doc[:-1])))[0]
+                of_owner = np.diff(np.append(new, len(doc)))
                 lcp, rest = front_code(run)
-                values = (b, row["chunk"], lcp.tobytes(), pack_bytes(rest), _ints(lows, "<i8"), _ints(highs, "<i8"), _ints(at[own_rows], "<i8"), _ints(which, "<u4"), _ints(ids, "<i8"))
+                values = (b, row["chunk"], lcp.tobytes(), pack_bytes(rest), _ints(lows, "<i8"), _ints(highs, "<i8"), _ints(place, "<u4"), _ints(which, "<u4"), _ints(ids[new], "<i8"), _ints(of_owner, "<u4"))
                 for f, v in zip(candidate_schema.fields, values, strict=True):
                     columns[f.name].append(v)
             yield table(columns, candidate_schema)
@@ -466,14 +535,15 @@ def removed(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int =
 
     runs = candidates.select("bucket", "chunk", "lcp", "suffixes", "lows", "highs")
     covers = runs.repartition(parts, "bucket").groupBy("bucket").applyInPandas(merge_group, cover)
-    places = candidates.select("bucket", "chunk", "places", "which", "owners")
+    places = candidates.select("bucket", "chunk", "places", "which", "owners", "of_owner")
     both = places.join(covers, ["chunk", "bucket"])
 
     def to_spans(group: pd.DataFrame) -> pd.DataFrame:
         begins, ends = [], []
         for r in group.itertuples():
             key, first, last, low = (np.frombuffer(x, t) for x, t in ((r.key, "<u4"), (r.first, "u1"), (r.last, "u1"), (r.low, "<i8")))
-            at, which, owner = np.frombuffer(r.places, "<i8"), np.frombuffer(r.which, "<u4"), np.frombuffer(r.owners, "<i8")
+            at, which = np.frombuffer(r.places, "<u4").astype(np.int64), np.frombuffer(r.which, "<u4")
+            owner = np.repeat(np.frombuffer(r.owners, "<i8"), np.frombuffer(r.of_owner, "<u4"))
             # Every occurrence of a key meets each of the key's rows.
             a, b = np.searchsorted(key, which, "left"), np.searchsorted(key, which, "right")
             n = b - a
@@ -493,6 +563,7 @@ def removed(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int =
         return pd.DataFrame({"chunk": [int(group["chunk"].iloc[0])], "begins": [_ints(begin[heads], "<i8")], "ends": [_ints(reach[tails], "<i8")]})
 
     spans = materialize(both.groupBy("chunk").applyInPandas(to_spans, "chunk long, begins binary, ends binary"), "spans")
+    release(marks, candidates)
     return chunks, joined(spans, "octet_length(begins) + octet_length(ends)")
 
 
