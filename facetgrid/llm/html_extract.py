@@ -5,7 +5,13 @@ melt into the text, implied end tags are supplied).  Pages of one host are
 aligned one after another into a wrapper, a union-free regular expression in
 tree form: adjacent repetitions fold into one repeated group, elements that some
 pages lack become optional, texts that differ become slots, and texts that are
-always the same stay constant.  Wrappers of parts of a host are aligned like
+always the same stay constant (long ones by length and digest); a repeated group
+keeps the texts that every page has in it.  Children are
+aligned in near-linear time: elements that stand once in both lists, then the k-th
+of a kind with the k-th, from the front or the back, each time a longest ascending
+run of the pairs.  Nothing recurses, so pages may nest as deep as they like, and
+nothing of a wrapper is left out: it has a node for each kind of element that some
+page of the host has at a place.  Wrappers of parts of a host are aligned like
 pages, so each task folds the pages it has and only partial wrappers move; a hot
 host's parts are merged in two steps.  All pages take part.
 
@@ -13,7 +19,7 @@ Extraction aligns a page with its host's wrapper.  Main regions are the page's
 article or main elements outside boilerplate (menus, headers, footers, sidebars,
 notices, adverts, forms, comments, by element or by whole words of class, role or
 id) in which the wrapper has texts that differ, or which it does not know.  Of a main region boilerplate is
-left out and what is a constant of all pages that have the region, at least three.  In it an id, or a word that may
+left out and what is a single constant of all pages that have the region, at least three.  In it an id, or a word that may
 as well name a part of the text, tells of boilerplate only where at least three of
 the host's pages share all texts of the element.  Names of html, body, article,
 main and headings never do.
@@ -36,6 +42,7 @@ import hashlib
 import html as entities
 import json
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -67,7 +74,8 @@ STOPS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table
 
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^>\"'])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S | re.I)
 CLASS = re.compile(r"(?<![-\w])(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-KEPT_CONSTANT, MOST_CHILDREN, SURE = 200, 200, 3
+#: Texts longer than LONG are told apart by length and digest; SURE pages make a constant.
+LONG, SURE = 24, 3
 
 
 def signature(name: str, attributes: str) -> str:
@@ -101,7 +109,8 @@ def is_main(sig: str) -> bool:
 def parse(page: str) -> list:
     """[signature, children] of the root; a text leaf is a string."""
     root: list = ["", []]
-    stack = [root]
+    stack, names = [root], [""]
+    places: dict[str, list[int]] = {}  # where on the stack the open elements of a name are
     buffer: list[str] = []
 
     def flush() -> None:
@@ -113,28 +122,30 @@ def parse(page: str) -> list:
 
     def close(k: int) -> None:
         flush()
-        del stack[k:]
+        for name in names[k:]:
+            places[name].pop()
+        del stack[k:], names[k:]
+
+    def nearest(*of: str) -> int:
+        return max((places[n][-1] for n in of if places.get(n)), default=0)
 
-    names = lambda node: node[0].split(".", 1)[0]
     last = 0
     for m in TOKEN.finditer(page):
         if m.start() > last:
             buffer.append(page[last : m.start()])
         last = m.end()
         if not m[3]:
-            if m[1]:
-                buffer.append("")
             continue
         name = m[3].lower()
         if m[2]:
-            at = next((k for k in range(len(stack) - 1, 0, -1) if names(stack[k]) == name), 0)
+            at = nearest(name)
             if at:
                 close(at)
             elif name in BLOCKS:
                 flush()
             continue
         sig = signature(name, m[4])
-        if name in ("br", "wbr", "img", "hr") or name in VOID:
+        if name in VOID:
             if name == "hr":
                 flush()
             elif name in ("br", "img"):
@@ -143,232 +154,330 @@ def parse(page: str) -> list:
         if name not in BLOCKS and not is_boiler(sig, inside=True):
             continue
         if name in BLOCKS:
-            at = next((k for k in range(len(stack) - 1, 0, -1) if names(stack[k]) in ("p", "table", "td", "th", "button")), 0)
-            if at and names(stack[at]) == "p":
+            at = nearest("p", "table", "td", "th", "button")
+            if at and names[at] == "p":
                 close(at)
         if name in CLOSES:
-            for k in range(len(stack) - 1, 0, -1):
-                if names(stack[k]) in CLOSES[name]:
-                    close(k)
-                    if name != "tr":
-                        break
-                elif names(stack[k]) in STOPS[name]:
-                    break
+            stop = nearest(*STOPS[name])
+            inner = [k for n in CLOSES[name] for k in (places.get(n) or ())[-1:] if k > stop]
+            if inner and name == "tr":  # a row ends the row before it and all its cells
+                close(min(places[n][bisect_right(places[n], stop)] for n in CLOSES[name] if places.get(n) and places[n][-1] > stop))
+            elif inner:
+                close(max(inner))
         flush()
         node = [sig, []]
         stack[-1][1].append(node)
         if not m[4].endswith("/") or name in BLOCKS:
+            places.setdefault(name, []).append(len(stack))
             stack.append(node)
+            names.append(name)
     if last < len(page):
         buffer.append(page[last:])
-    close(1)
+    flush()
     return root
 
 
-# A wrapper node is [signature, optional, repeated, pages, constant, children, grouped]:
-# a text has signature "#" and its constant (see ``key``), or None if it is a slot.
+# A wrapper node is [signature, optional, repeated, pages, constants, children, seen]:
+# a text has signature "#" and the set of its constants (see ``key``), which is empty
+# if it is a slot and has several if it is repeated; ``seen`` has what ``prepare`` found.
 
 
 def key(text: str) -> str:
     """A text as constants hold it: a long one by length and digest."""
-    return text if len(text) <= KEPT_CONSTANT else f"{len(text)}\n{hashlib.sha256(text.encode('utf-8', 'surrogatepass')).hexdigest()}"
+    return text if len(text) <= LONG else f"{len(text)}\n{hashlib.blake2b(text.encode('utf-8', 'surrogatepass'), digest_size=16).hexdigest()}"
 
 
-def lift(node: list | str) -> list:
+def lift(page: list) -> list:
     """A page's tree as the wrapper of that page alone, repetitions folded."""
-    if isinstance(node, str):
-        return ["#", False, False, 1, key(node), [], False]
-    return [node[0], False, False, 1, None, fold([lift(c) for c in node[1]]), False]
-
-
-def fold(children: list) -> list:
-    """Fold adjacent repetitions of one to three siblings into one repeated group."""
+    top = [page[0], False, False, 1, None, [], None]
+    below = [(page, top)]
+    for node, own in below:  # parents first
+        for c in node[1]:
+            if isinstance(c, str):
+                own[5].append(["#", False, False, 1, {key(c)}, [], None])
+            else:
+                child = [c[0], False, False, 1, None, [], None]
+                own[5].append(child)
+                below.append((c, child))
+    for _, own in reversed(below):
+        if len(own[5]) > 1:
+            own[5] = fold(own[5])
+    return top
+
+
+def folding(signatures: list[str]) -> list[list]:
+    """Adjacent repetitions of one to three siblings as [signature, positions, repeated], one for each sibling of the group."""
+    units = [[s, [k], False] for k, s in enumerate(signatures)]
     for width in (1, 2, 3):
-        out: list = []
-        k = 0
-        while k < len(children):
-            group = children[k : k + width]
-            sigs = [c[0] for c in group]
-            following = children[k + width : k + 2 * width]
-            if len(group) == width and [c[0] for c in following] == sigs and any(s != "#" for s in sigs):
-                while [c[0] for c in following] == sigs:
-                    group = [merge(a, b, one_page=True) for a, b in zip(group, following, strict=True)]
-                    k += width
-                    following = children[k + width : k + 2 * width]
-                for c in group:
-                    c[2] = True
+        out: list[list] = []
+        k, n = 0, len(units)
+        while k < n:
+            group, following = units[k : k + width], k + width
+            if len(group) == width and any(u[0] != "#" for u in group):
+                while following + width <= n and all(units[following + i][0] == group[i][0] for i in range(width)):
+                    for i in range(width):
+                        group[i][1] += units[following + i][1]
+                    following += width
+            if following > k + width:
+                for u in group:
+                    u[2] = True
                 out += group
-                k += width
+                k = following
             else:
-                out.append(children[k])
+                out.append(units[k])
                 k += 1
-        children = out
-    return children
+        units = out
+    return units
 
 
-def align(a: list, b: list) -> list[tuple[int, int]]:
-    """Pairs of positions with equal signatures, a longest common subsequence."""
-    n, m = len(a), len(b)
-    k = 0
-    while k < n and k < m and a[k] == b[k]:
-        k += 1
-    head = [(i, i) for i in range(k)]
-    tail = 0
-    while tail < n - k and tail < m - k and a[n - 1 - tail] == b[m - 1 - tail]:
-        tail += 1
-    rows, cols = n - k - tail, m - k - tail
-    best = [[0] * (cols + 1) for _ in range(rows + 1)]
-    for i in range(rows - 1, -1, -1):
-        for j in range(cols - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[k + i] == b[k + j] else max(best[i + 1][j], best[i][j + 1])
-    i = j = 0
-    middle = []
-    while i < rows and j < cols:
-        if a[k + i] == b[k + j]:
-            middle.append((k + i, k + j))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return head + middle + [(n - tail + t, m - tail + t) for t in range(tail)]
-
+def fold(children: list) -> list:
+    """Fold adjacent repetitions into one repeated group."""
+    out = []
+    for _, at, repeated in folding([c[0] for c in children]):
+        whole = united([children[k] for k in at], one_page=True)
+        whole[2] = whole[2] or repeated
+        out.append(whole)
+    return out
 
-def merge(a: list, b: list, one_page: bool = False, group: bool = False) -> list:
-    """Align two wrappers of one signature; what only one has becomes optional.
 
-    ``one_page``: both are of the same pages, which count once.  ``group``: put children in groups whatever their number.
-    """
-    pages = max(a[3], b[3]) if one_page else a[3] + b[3]
-    flags = [a[0], a[1] or b[1], a[2] or b[2], pages]
-    if group or a[6] or b[6] or max(len(a[5]), len(b[5])) > MOST_CHILDREN:
-        both: dict[tuple, list] = {}
-        for node in (a, b):
-            for at, c in grouped(node[5], node[3]).items():
-                both[at] = merge(both[at], c, one_page) if at in both else c
-        return [*flags, a[4] if a[4] == b[4] else None, list(grouped(list(both.values()), pages).values()), a[0] != "#"]
-    constant = a[4] if a[4] == b[4] else None
-    children = []
-    i = j = 0
-    for x, y in [*align([c[0] for c in a[5]], [c[0] for c in b[5]]), (len(a[5]), len(b[5]))]:
-        for c in [*a[5][i:x], *b[5][j:y]]:
-            c[1] = True
-            children.append(c)
-        if x < len(a[5]):
-            children.append(merge(a[5][x], b[5][y], one_page))
-        i, j = x + 1, y + 1
-    many = len(children) > MOST_CHILDREN
-    return [*flags, constant, list(grouped(children, pages).values()) if many else children, many]
-
-
-def grouped(children: list, pages: int) -> dict[tuple, list]:
-    """Generalise many children: one repeated group for each full signature, and each text that all pages have.
-
-    Texts that some pages lack share a slot, so there are no more constants than
-    the shortest page has texts.  If there are more than MOST_CHILDREN groups,
-    those that some pages lack are merged by element name.
+def united(nodes: list, one_page: bool = False) -> list:
+    """All merged, neighbours first, so that each takes part in few merges."""
+    while len(nodes) > 1:
+        nodes = [merge(*nodes[k : k + 2], one_page) if k + 1 < len(nodes) else nodes[k] for k in range(0, len(nodes), 2)]
+    return nodes[0]
+
+
+def ascending(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A longest run of pairs, in order of their first numbers, whose second numbers ascend."""
+    tops: list[int] = []
+    ends: list[int] = []
+    before = [-1] * len(pairs)
+    for n, (_, j) in enumerate(pairs):
+        k = bisect_left(tops, j)
+        if k:
+            before[n] = ends[k - 1]
+        tops[k : k + 1], ends[k : k + 1] = [j], [n]
+    out, n = [], ends[-1] if ends else -1
+    while n >= 0:
+        out.append(pairs[n])
+        n = before[n]
+    return out[::-1]
+
+
+def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Pairs of positions with equal signatures, ascending in both, in near-linear time."""
+    low = 0
+    while low < len(a) and low < len(b) and a[low] == b[low]:
+        low += 1
+    tail = 0
+    while tail < len(a) - low and tail < len(b) - low and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    high_a, high_b = len(a) - tail, len(b) - tail
+    pairs = [(k, k) for k in range(low)]
+    if low < high_a and low < high_b:
+        once: list[dict[str, int]] = [{}, {}]
+        for places, own, high in zip(once, (a, b), (high_a, high_b), strict=True):
+            for k in range(low, high):
+                places[own[k]] = -1 if own[k] in places else k
+        i, j = low, low
+        fixed = ascending([(k, once[1].get(s, -1)) for s, k in once[0].items() if k >= 0 and once[1].get(s, -1) >= 0])
+        for u, v in [*fixed, (high_a, high_b)]:
+            pairs += counted(a, b, i, u, j, v)
+            if u < high_a:
+                pairs.append((u, v))
+            i, j = u + 1, v + 1
+    return pairs + [(high_a + t, high_b + t) for t in range(tail)]
+
+
+def counted(a: list[str], b: list[str], i: int, u: int, j: int, v: int) -> list[tuple[int, int]]:
+    """The k-th of a signature in ``a[i:u]`` with the k-th in ``b[j:v]``, counted from the front or the back, whichever gives more."""
+    if i >= u or j >= v:
+        return []
+    in_a: dict[str, list[int]] = {}
+    in_b: dict[str, list[int]] = {}
+    for k in range(i, u):
+        in_a.setdefault(a[k], []).append(k)
+    for k in range(j, v):
+        in_b.setdefault(b[k], []).append(k)
+    both = [(in_a[s], in_b[s]) for s in in_a if s in in_b]
+    front = ascending(sorted(p for x, y in both for p in zip(x, y, strict=False)))
+    if all(len(x) == len(y) for x, y in both):
+        return front
+    back = ascending(sorted(p for x, y in both for p in zip(reversed(x), reversed(y), strict=False)))
+    return back if len(back) > len(front) else front
+
+
+def merge(a: list, b: list, one_page: bool = False) -> list:
+    """Align two wrappers of one signature, into ``a``; what only one has becomes optional.
+
+    ``one_page``: both are of the same pages, which count once.
     """
-    groups: dict[tuple, list] = {}
-
-    def add(at: tuple, c: list) -> None:
-        groups[at] = merge(groups[at], c, one_page=True, group=c[0] != "#") if at in groups else c
-
-    for c in children:
-        add((c[0], c[4] if c[0] == "#" and c[3] >= pages else None), c)
-    if len(groups) > MOST_CHILDREN:
-        for at in [at for at, c in groups.items() if c[0] != "#" and c[3] < pages]:
-            c = groups.pop(at)
-            c[0] = c[0].split(".", 1)[0]
-            add((c[0], None), c)
-    for c in groups.values():
-        c[1], c[2] = c[1] or c[3] < pages, True
-    return groups
+    todo = [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        x[1], x[2], x[6] = x[1] or y[1], x[2] or y[2], None
+        x[3] = max(x[3], y[3]) if one_page else x[3] + y[3]
+        if x[0] == "#" and x[4] != y[4]:
+            if one_page:
+                x[2] = True
+                x[4] |= y[4]
+            else:
+                x[4] &= y[4]
+        own, other = x[5], y[5]
+        if not own and not other:
+            continue
+        children = []
+        i = j = 0
+        for u, v in [*align([c[0] for c in own], [c[0] for c in other]), (len(own), len(other))]:
+            for c in [*own[i:u], *other[j:v]]:
+                c[1] = True
+                children.append(c)
+            if u < len(own):
+                todo.append((own[u], other[v]))
+                children.append(own[u])
+            i, j = u + 1, v + 1
+        x[5] = children
+    return a
+
+
+def dump(wrapper: list) -> str:
+    """A wrapper as text: its nodes, parents first, each with its number of children."""
+    flat, stack = [], [wrapper]
+    while stack:
+        node = stack.pop()
+        flat.append([node[0], int(node[1]) + 2 * int(node[2]), node[3], sorted(node[4] or ()), len(node[5])])
+        stack += reversed(node[5])
+    return json.dumps(flat, ensure_ascii=False)
+
+
+def load(text: str) -> list:
+    top: list = ["", False, False, 0, None, [], None]
+    open_nodes = [(top, 1)]
+    for sig, flags, pages, constants, n in json.loads(text):
+        while not open_nodes[-1][1]:
+            open_nodes.pop()
+        parent, left = open_nodes.pop()
+        open_nodes.append((parent, left - 1))
+        node = [sig, bool(flags & 1), bool(flags & 2), pages, set(constants) if sig == "#" else None, [], None]
+        parent[5].append(node)
+        open_nodes.append((node, n))
+    return top[5][0]
 
 
 def shared(text: str, known: list | None, pages: int) -> bool:
-    """Whether the text is a constant of at least so many pages (and of SURE)."""
-    return known is not None and known[4] == key(text) and known[3] >= max(pages, SURE)
-
-
-def all_shared(page: list, wrapper: list | None) -> bool:
-    pairs = zip(page[1], matched(page, wrapper), strict=True)
-    return all(shared(c, k, SURE) if isinstance(c, str) else all_shared(c, k) for c, k in pairs)
-
-
-def varies(node: list, inside: bool = False) -> bool:
-    """Whether texts outside boilerplate differ, or too few pages have them to tell."""
-    if node[0] == "#":
-        return node[4] is None or node[3] < SURE
-    return not is_boiler(node[0], inside) and any(varies(c, inside or is_main(node[0])) for c in node[5])
-
-
-def left_out(node: list, known: list | None, region: int) -> bool:
-    """Whether an element is boilerplate: within a main region by a sure name, or by any name if the host's pages share its texts."""
-    return is_boiler(node[0], inside=region > 0) or region > 0 and is_boiler(node[0]) and all_shared(node, known)
+    """Whether the text is a constant of at least so many pages (and of SURE); with ``pages`` (a main region's) a single one."""
+    return known is not None and known[3] >= max(pages, SURE) and not (pages and known[2]) and bool(known[4]) and key(text) in known[4]
+
+
+def prepare(wrapper: list) -> None:
+    """For each node: whether texts outside boilerplate differ, or too few pages have them to tell, outside and inside a main region."""
+    nodes = [wrapper]
+    for node in nodes:
+        nodes += node[5]
+    for node in reversed(nodes):
+        if node[0] == "#":
+            node[6] = (node[2] or not node[4] or node[3] < SURE,) * 2
+        else:
+            main = is_main(node[0])
+            node[6] = tuple(not is_boiler(node[0], bool(i)) and any(c[6][i or main] for c in node[5]) for i in (0, 1))
+
+
+def varies(wrapper: list) -> bool:
+    if wrapper[6] is None:
+        prepare(wrapper)
+    return wrapper[6][0]
+
+
+class Paired:
+    """A page's elements with the wrapper's nodes for them and what follows from both."""
+
+    def __init__(self, page: list, wrapper: list | None) -> None:
+        self.page = page
+        self.known: dict[int, list] = {}  # for each element, those of its children
+        order = [(page, wrapper)]
+        for node, own in order:  # parents first
+            children = self.known[id(node)] = matched(node, own)
+            order += [(c, k) for c, k in zip(node[1], children, strict=True) if not isinstance(c, str)]
+        self.all_shared: dict[int, bool] = {}
+        self.has_main: dict[int, bool] = {}
+        for node, _ in reversed(order):
+            pairs = list(zip(node[1], self.known[id(node)], strict=True))
+            self.all_shared[id(node)] = all(shared(c, k, 0) if isinstance(c, str) else self.all_shared[id(c)] for c, k in pairs)
+            self.has_main[id(node)] = any(not isinstance(c, str) and not is_boiler(c[0]) and (opens_main(c[0], k) or self.has_main[id(c)]) for c, k in pairs)
+
+    def left_out(self, node: list, region: int) -> bool:
+        """Whether an element is boilerplate: within a main region by a sure name, or by any name if the host's pages share its texts."""
+        return is_boiler(node[0], inside=region > 0) or region > 0 and is_boiler(node[0]) and self.all_shared[id(node)]
+
+    def children(self, node: list, inside: bool, region: int) -> list:
+        return [(c, k, inside, region) for c, k in zip(reversed(node[1]), reversed(self.known[id(node)]), strict=True)]
+
+    def texts(self) -> Iterator[str]:
+        """Texts in page order, without the host's constants, from main regions or, where there is none, from all.
+
+        ``region``: in a main region, the pages that have it (1 if unknown).
+        """
+        todo: list = self.children(self.page, not self.has_main[id(self.page)], 0)
+        while todo:
+            child, known, inside, region = todo.pop()
+            if isinstance(child, str):
+                if inside and not shared(child, known, region):
+                    yield child
+            elif not self.left_out(child, region):
+                opens = not inside and opens_main(child[0], known)
+                todo += self.children(child, inside or opens, (known[3] if known else 1) if opens else region)
+            elif region and child[0].split(".")[0] == "header":
+                yield from headings(child)
 
 
 def opens_main(sig: str, known: list | None) -> bool:
     return is_main(sig) and (known is None or varies(known))
 
 
-def has_main(page: list, wrapper: list | None) -> bool:
-    pairs = [(c, k) for c, k in zip(page[1], matched(page, wrapper), strict=True) if not isinstance(c, str) and not is_boiler(c[0])]
-    return any(opens_main(c[0], k) or has_main(c, k) for c, k in pairs)
-
-
 def matched(page: list, wrapper: list | None) -> list:
     """The wrapper's child for each of the page's children (None if it has none)."""
-    if wrapper is None:
-        return [None] * len(page[1])
-    if wrapper[6]:
-        groups = {(c[0], c[4] if c[3] >= wrapper[3] else None): c for c in wrapper[5]}
-        ats = [(("#", key(c)), ("#", None)) if isinstance(c, str) else ((c[0], None), (c[0].split(".", 1)[0], None)) for c in page[1]]
-        return [groups.get(exact, groups.get(wide)) for exact, wide in ats]
-    sigs = [c if isinstance(c, str) else c[0] for c in page[1]]
-    sigs = ["#" if isinstance(c, str) else s for c, s in zip(page[1], sigs, strict=True)]
+    out: list = [None] * len(page[1])
+    if wrapper is None or not out or not wrapper[5]:
+        return out
+    if len(out) == len(wrapper[5]) == 1:
+        sig = "#" if isinstance(page[1][0], str) else page[1][0][0]
+        return [wrapper[5][0]] if sig == wrapper[5][0][0] else out
+    units = folding(["#" if isinstance(c, str) else c[0] for c in page[1]])
     own = [c[0] for c in wrapper[5]]
-    out: list = [None] * len(sigs)
+    pairs = dict(align([u[0] for u in units], own))
+    places: dict[str, list[int]] = {}
+    if len(pairs) < len(units):
+        for k, s in enumerate(own):
+            places.setdefault(s, []).append(k)
     at = 0
-    for k, s in enumerate(sigs):  # repeated groups may step back to the group's start
-        ahead = next((j for j in range(at, len(own)) if own[j] == s), None)
-        if ahead is None or ahead > at and at and own[at - 1] == s and wrapper[5][at - 1][2]:
-            ahead = next((j for j in range(min(at, len(own)) - 1, -1, -1) if own[j] == s), ahead)
-        if ahead is not None:
-            out[k] = wrapper[5][ahead]
-            at = ahead if wrapper[5][ahead][2] else ahead + 1
+    for n, (sig, members, _) in enumerate(units):
+        j = pairs.get(n)
+        if j is None and sig in places:  # the next of its kind, else the last before
+            k = bisect_left(places[sig], at)
+            j = places[sig][k if k < len(places[sig]) else k - 1]
+        elif j is not None:
+            at = j
+        if j is not None:
+            for m in members:
+                out[m] = wrapper[5][j]
     return out
 
 
-def texts(page: list, wrapper: list | None, inside: bool, region: int = 0) -> Iterator[str]:
-    """Texts in page order, without the host's constants, from main regions or, with ``inside``, from all.
-
-    ``region``: in a main region, the pages that have it (1 if unknown).
-    """
-    for child, known in zip(page[1], matched(page, wrapper), strict=True):
-        if isinstance(child, str):
-            if inside and not shared(child, known, region):
-                yield child
-        elif not left_out(child, known, region):
-            opens = not inside and opens_main(child[0], known)
-            yield from texts(child, known, inside or opens, (known[3] if known else 1) if opens else region)
-        elif region and child[0].split(".")[0] == "header":
-            yield from headings(child)
-
-
 def headings(node: list) -> Iterator[str]:
     """An article's own header keeps its headings."""
-    for child in node[1]:
-        if not isinstance(child, str):
-            if re.match(r"h[1-6](\.|$)", child[0]):
-                yield from texts(child, None, True, 1)
-            elif not is_boiler(child[0], inside=True):
-                yield from headings(child)
+    todo = [(c, False) for c in reversed(node[1])]
+    while todo:
+        child, inside = todo.pop()
+        if isinstance(child, str):
+            if inside:
+                yield child
+        elif not is_boiler(child[0], inside=True):
+            todo += [(c, inside or child[0].split(".")[0] in HEADINGS) for c in reversed(child[1])]
 
 
 def main_text(page: str, wrapper: list | None) -> str:
-    root = parse(page)
     host = wrapper if wrapper is not None and wrapper[3] >= SURE and varies(wrapper) else None
-    return " ".join(texts(root, host, not has_main(root, host)))
+    return " ".join(Paired(parse(page), host).texts())
 
 
 def learn_wrappers(pages: DataFrame, flush_at: int = 20_000, salts: int = 256) -> DataFrame:
@@ -379,34 +488,34 @@ def learn_wrappers(pages: DataFrame, flush_at: int = 20_000, salts: int = 256) -
     schema = "host string, salt int, wrapper string"
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, list] = {}
+        held: dict[str, list[tuple[int, list]]] = {}  # wrappers of 2**rank pages, each rank once
         context = TaskContext.get()
         salt = (context.partitionId() if context else 0) % salts
 
         def out() -> pd.DataFrame:
-            return pd.DataFrame({"host": list(held), "salt": salt, "wrapper": [json.dumps(w, ensure_ascii=False) for w in held.values()]})
+            return pd.DataFrame({"host": list(held), "salt": salt, "wrapper": [dump(united([w for _, w in ranked])) for ranked in held.values()]})
 
         for batch in batches:
             for host, page in zip(batch["host"], batch["html"], strict=True):
-                new = lift(parse(page or ""))
-                held[host] = merge(held[host], new) if host in held else new
+                rank, new, own = 0, lift(parse(page or "")), held.setdefault(host, [])
+                while own and own[-1][0] == rank:
+                    rank, new = rank + 1, merge(own.pop()[1], new)
+                own.append((rank, new))
                 if len(held) >= flush_at:
                     yield out()
                     held.clear()
         if held:
             yield out()
 
-    def united(group: pd.DataFrame) -> pd.DataFrame:
-        parts = [json.loads(w) for w in sorted(group["wrapper"])]
-        whole = parts[0]
-        for part in parts[1:]:
-            whole = merge(whole, part)
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "salt": [int(group["salt"].iloc[0])], "wrapper": [json.dumps(whole, ensure_ascii=False)]})
+    def joined(group: pd.DataFrame, *, last: bool = False) -> pd.DataFrame:
+        whole = united([load(w) for w in sorted(group["wrapper"])])
+        whole = "" if last and whole[3] < SURE else dump(whole)  # too few pages say nothing
+        return pd.DataFrame({"host": [group["host"].iloc[0]], "salt": [int(group["salt"].iloc[0])], "wrapper": [whole]})
 
     rows = pages.select(split_url(F.col("url"))[0].alias("host"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
     parts = rows.mapInPandas(partial, schema)
-    salted = parts.groupBy("host", "salt").applyInPandas(united, schema)
-    return salted.groupBy("host").applyInPandas(united, schema).select("host", "wrapper")
+    salted = parts.groupBy("host", "salt").applyInPandas(lambda group: joined(group), schema)
+    return salted.groupBy("host").applyInPandas(lambda group: joined(group, last=True), schema).where("wrapper <> ''").select("host", "wrapper")
 
 
 def extract(pages: DataFrame, wrappers: DataFrame | None = None, broadcast_mb: int = 32) -> DataFrame:
@@ -434,7 +543,7 @@ def extract(pages: DataFrame, wrappers: DataFrame | None = None, broadcast_mb: i
                 if name not in known:
                     if len(known) > 1000:
                         known = {None: None}
-                    known[name] = json.loads(name)
+                    known[name] = load(name)
                 found.append(main_text(page.as_py() or "", known[name]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(found, pa.string())], names=out.names)
 
