@@ -56,44 +56,118 @@ LEAF = 64
 #: A counter of the sketch for each so many bytes of text, within these bounds in bits.
 SKETCH_BYTES, SKETCH_BITS = 1024, (12, 22)
 SKETCH_SLICES = 64
+#: Text whose words are hashed at once.
+SLICE_BYTES, SEGMENT = 4 << 20, 1 << 20
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 _S29, _S32 = np.uint64(29), np.uint64(32)
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _S32)) * _B
+    return x ^ (x >> _S29)
 
 
-_WORDS = WordHashes()
+#: Bytes of white space, a factor for each byte (A-Z as a-z), and powers of an odd number with their inverses.
+_GAP = np.isin(np.arange(256), [32, *range(9, 14)])
+_FACTOR = mix(mix((np.arange(256) + 32 * ((np.arange(256) >= 65) & (np.arange(256) < 91))).astype(np.uint64) * _A + _C) * _C) | np.uint64(1)
+_BASE = 0xD1342543DE82EF95
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _S32)) * _B
-    return x ^ (x >> _S29)
+def powers(x: int) -> np.ndarray:
+    out = np.full(SEGMENT, x, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+_POWER, _INVERSE = powers(_BASE), powers(pow(_BASE, -1, 1 << 64))
 
 
-def shingle_hashes(text: bytes, k: int = 4) -> np.ndarray:
-    """64-bit hashes of the ``k``-word shingles in their order, repeated ones too."""
-    words = text.lower().split()
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, n)
-    width = min(k, n)
-    out = h[: n - width + 1] * _A + np.uint64(width)
-    for i in range(1, width):
-        out = mix(out) + h[i : n - width + 1 + i]
-    return mix(out * _C)
+def long_word(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word.translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))))
 
 
-def shingle_set(text: bytes, k: int = 4) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the ``k``-word shingles."""
-    return np.unique(shingle_hashes(text, k))
+def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of the words of texts laid end to end, the text of each).
+
+    A word's hash is its bytes' factors at a base of two to the 64th, from sums
+    over a segment at once; words of half a segment and more are hashed one by one.
+    """
+    total, a = len(data), 0
+    hashes, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    while a < total:
+        b = min(a + SEGMENT, total)
+        if b < total:  # cut after the last text or gap; a longer word stands alone
+            gaps = np.flatnonzero(_GAP[data[a:b]])
+            k = int(np.searchsorted(ends, b, "right"))
+            cut = max(a + int(gaps[-1]) + 1 if len(gaps) else a, int(ends[k - 1]) if k else 0)
+            if cut <= a:
+                stop = int(ends[k])
+                while b < stop and not _GAP[data[b : min(b + SEGMENT, stop)]].any():
+                    b = min(b + SEGMENT, stop)
+                if b < stop:
+                    b += int(np.argmax(_GAP[data[b : min(b + SEGMENT, stop)]]))
+                hashes.append(np.array([long_word(data[a:b].tobytes())], np.uint64))
+                places.append(np.array([a]))
+                a = b
+                continue
+            b = cut
+        part = data[a:b]
+        word = ~_GAP[part]
+        edge = np.zeros(len(part) + 1, bool)  # a text ends before this byte
+        edge[ends[np.searchsorted(ends, a) : np.searchsorted(ends, b, "right")] - a] = True
+        edge[0] = edge[-1] = True
+        first = word.copy()
+        first[1:] &= ~word[:-1] | edge[1:-1]
+        last = word.copy()
+        last[:-1] &= ~word[1:] | edge[1:-1]
+        begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_FACTOR[part] * _POWER[: len(part)])))
+        h = mix((sums[end] - sums[begin]) * _INVERSE[begin] + (end - begin).astype(np.uint64) * _C)
+        for k in np.flatnonzero(end - begin >= SEGMENT // 2).tolist():
+            h[k] = long_word(part[begin[k] : end[k]].tobytes())
+        hashes.append(h)
+        places.append(begin + a)
+        a = b
+    return np.concatenate(hashes), np.searchsorted(ends, np.concatenate(places), "right")
+
+
+def shingles_of(texts: pa.Array, k: int = 4) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(64-bit hashes of the ``k``-word shingles of several texts, in order and end to end, and where each text's end) for all ``texts``, some SLICE_BYTES at a time."""
+    texts = pc.fill_null(pc.cast(texts, pa.binary()), b"")
+    ends, at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while at < len(texts):
+        before = int(ends[at - 1]) if at else 0
+        rows = max(1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")) - at)
+        data = np.frombuffer(b"".join(texts.slice(at, rows).to_pylist()), np.uint8)
+        h, doc = word_hashes(data, ends[at : at + rows] - before)
+        at += rows
+        n = np.bincount(doc, minlength=rows)
+        count = np.where(n >= k, n - k + 1, np.minimum(n, 1))
+        out = np.zeros(int(count.sum()), np.uint64)
+        if len(h) >= k:
+            last = len(h) - k + 1
+            wide = h[:last] * _A + np.uint64(k)
+            for i in range(1, k):
+                wide = mix(wide) + h[i : last + i]
+            out[np.repeat(n >= k, count)] = wide[doc[:last] == doc[k - 1 :]]
+        begin, place = np.cumsum(n) - n, np.cumsum(count) - count
+        for d in np.flatnonzero((n > 0) & (n < k)).tolist():
+            own = h[begin[d] : begin[d] + n[d]]
+            one = own[:1] * _A + np.uint64(len(own))
+            for i in range(1, len(own)):
+                one = mix(one) + own[i : i + 1]
+            out[place[d]] = one[0]
+        yield mix(out * _C), np.cumsum(count)
+
+
+def shingle_sets(texts: pa.Array, k: int = 4) -> Iterator[np.ndarray]:
+    """Sorted distinct hashes of the shingles of each text."""
+    for h, ends in shingles_of(texts, k):
+        a = 0
+        for b in ends.tolist():
+            yield np.unique(h[a:b])
+            a = b
 
 
 def set_id(shingles: np.ndarray) -> bytes:
@@ -261,17 +335,10 @@ def sketch(docs: DataFrame, bits: int, k: int) -> np.ndarray:
         return pa.RecordBatch.from_arrays([pa.array(range(SKETCH_SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, n = np.zeros(1 << bits, np.int64), [], 0
+        total = np.zeros(1 << bits, np.int64)
         for batch in batches:
-            for text in pc.fill_null(pc.cast(batch.column(0), pa.binary()), b""):
-                h = shingle_hashes(text.as_py(), k)
-                held.append(h >> np.uint64(64 - bits))
-                n += len(h)
-                if n > 1 << 20:
-                    total += np.bincount(np.concatenate(held).astype(np.int64), minlength=1 << bits)
-                    held, n = [], 0
-        if held:
-            total += np.bincount(np.concatenate(held).astype(np.int64), minlength=1 << bits)
+            for h, _ in shingles_of(batch.column(0), k):
+                total += np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
         if total.any():
             yield slices(np.minimum(total, 0xFFFFFFFF), "<u4")
 
@@ -309,10 +376,8 @@ def scan(docs: DataFrame, counts: np.ndarray, max_block: int, k: int, percent: i
         sketched = np.frombuffer(shared.value, np.uint32)
         seen: set[bytes] = set()
         for batch in batches:
-            texts = pc.fill_null(pc.cast(batch.column(2), pa.binary()), b"")
             columns: list[list] = [[], [], [], [], []]
-            for text in texts:
-                s = shingle_set(text.as_py(), k)
+            for s in shingle_sets(batch.column(2), k):
                 node = set_id(s) if len(s) else None
                 new = [None] * 3
                 if node is not None and node not in seen:
@@ -410,7 +475,7 @@ def link(docs: DataFrame, k: int = 4, percent: int = PERCENT, max_block: int = M
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     same = F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_key") == F.col("of_text"))
     found = texts.join(F.broadcast(chosen) if chosen.count() <= broadcast_rows else chosen, same).select("block", "node", "text")
-    links = materialize(spanning(found, lambda own: join_block([shingle_set(t, k) for t in own], percent)), "links")
+    links = materialize(spanning(found, lambda own: join_block(list(shingle_sets(pa.array(own, pa.binary()), k)), percent)), "links")
     if oversize:
         roots = materialize(components(links), "roots")
     else:  # each node's one link is to its component's smallest node

@@ -5,12 +5,15 @@ import random
 import re
 import struct
 import sys
+import time
+import tracemalloc
 import zlib
 from html import unescape
 from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -115,6 +118,30 @@ def test_repeats_keep_columns_and_characters(spark):
     assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_low_entropy_texts_take_little_memory():
+    for text in (b"ab" * 4_000_000, b"a" * 4_000_000):
+        row = {"ids": np.array([7]).tobytes(), "copies": bytes(1), "lengths": np.array([len(text)]).tobytes(), "data": text}
+        chunk = suffix_dedup.Chunk(row)
+        tracemalloc.start()
+        key, own, heads = suffix_dedup.exchanged(chunk, 4)
+        at = np.concatenate([a for a, *_ in chunk.occurrences(4)])
+        run, which = suffix_dedup.distinct_keys(chunk.data, chunk.ends, np.zeros(len(at), np.int64), at)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(key) <= 4 and not own.any() and len(run) <= 150 and which.max() == len(run) - 1
+        assert peak < 40 * len(text) + (64 << 20)
+
+
+def test_slices_have_the_same_anchors(monkeypatch):
+    rng = random.Random(4)
+    data = np.frombuffer("".join(rng.choice("abc") * rng.randint(1, 40) for _ in range(400)).encode(), np.uint8)
+    ends = np.array([40, 1000, 1049, len(data)])
+    whole = [np.concatenate(x) for x in zip(*suffix_dedup.anchors(data, ends), strict=True)]
+    monkeypatch.setattr(suffix_dedup, "SLICE", 97)
+    cut = [np.concatenate(x) for x in zip(*suffix_dedup.anchors(data, ends), strict=True)]
+    assert all(np.array_equal(a, b) for a, b in zip(whole, cut, strict=True))
+
+
 def test_loser_tree():
     rng = random.Random(4)
     width = suffix_dedup.KEY
@@ -341,6 +368,36 @@ def test_shared_texts_are_known_at_every_size():
             assert html_extract.main_text(p, wrapper) == " ".join(x for j in range(150) for x in (f"t{k}-{j}", f"between{k}-{j}"))
 
 
+def test_wrappers_decide():
+    """Without names to go by, the wrapper alone tells the article from what all pages share."""
+    make = lambda k: page(f"<div class=qa><div>Start</div><div>About us</div></div>{'<div class=qb>We use small files</div>' if k % 2 else ''}<div class=qc><p>story {k}</p><p>more {k}</p></div><div class=qd><p>Write to us</p></div>")
+    pages = [make(k) for k in range(8)]
+    wrapper = html_extract.load(html_extract.dump(learnt(*pages)))
+    assert [html_extract.main_text(p, wrapper) for p in pages] == [f"story {k} more {k}" for k in range(8)]
+    assert html_extract.main_text(pages[1], None) == "Start About us We use small files story 1 more 1 Write to us"
+
+
+def test_deep_and_wide_pages():
+    started = time.time()
+    for source, want in (("<div>" * 100_000 + "x", "x"), ("<div>x</div>" * 100_000, " ".join("x" * 100_000)), ("</p>" * 100_000 + "x", "x")):
+        wrapper = learnt(*[source.replace("x", f"x{k}") for k in range(3)])
+        assert wrapper[3] == 3 and html_extract.main_text(source, html_extract.load(html_extract.dump(wrapper))) == want
+    kinds = [f"<div class=k{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}>a{k}</div>" for k in range(17_000)]
+    random.Random(1).shuffle(kinds)
+    one, other = "".join(kinds), "".join(reversed(kinds))
+    assert html_extract.main_text(one, learnt(one, other)) == " ".join(re.findall(r"a\d+", one))
+    assert time.time() - started < 60
+
+
+def test_alignment():
+    rng = random.Random(2)
+    for _ in range(300):
+        a, b = ([rng.choice("abcd#") for _ in range(rng.randint(0, 12))] for _ in range(2))
+        pairs = html_extract.align(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:], strict=False))
+    assert html_extract.align(list("pxpy"), list("xpy")) == [(1, 0), (2, 1), (3, 2)]
+
+
 def test_extraction_odd_rows(spark):
     odd = spark.createDataFrame([(1, None, None, "a"), (2, "no host", "<article><p>x", "b"), (2, "no host", "<article><p>x", "b"), (3, "http://h/", "<p>" + "y " * 200_000, "c")], "page_id long, url string, html string, text string")
     got = html_extract.extract(odd)
@@ -435,6 +492,25 @@ def test_linked_sets_share_a_key(percent):
                 assert np.intersect1d(ngram_join.prefix_keys(a, counts, percent)[0], ngram_join.prefix_keys(b, counts, percent)[0]).size
 
 
+def test_shingles_are_those_of_the_words(monkeypatch):
+    rng = random.Random(3)
+    signs = ["a", "B", "é", "ſ", "K", "Z", "z", " ", "  ", "\n", "\x0b", "\x1c", "\x85", "\xa0", "\u3000", "c d", "long" * 9]
+    texts = [None, "", " ", "a", " A b ", *["".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(400)]]
+    for size, segment in ((1 << 20, 1 << 20), (40, 1 << 20), (1 << 20, 16), (300, 33)):
+        monkeypatch.setattr(ngram_join, "SLICE_BYTES", size)
+        monkeypatch.setattr(ngram_join, "SEGMENT", segment)
+        for k in (1, 4, 5):
+            found, names = [s for s in ngram_join.shingle_sets(pa.array(texts), k)], {}
+            assert len(found) == len(texts)
+            for s, t in zip(found, texts, strict=True):
+                w = re.findall(r"[^\x20\x09-\x0D]+", brute.lower(t))
+                want = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
+                assert len(s) == len(want)
+                names.setdefault(frozenset(want), set()).add(s.tobytes())
+            assert all(len(v) == 1 for v in names.values()) and len({min(v) for v in names.values()}) == len(names)
+    assert not list(ngram_join.shingles_of(pa.array([], pa.string())))
+
+
 def test_shared_boilerplate_makes_no_runs(spark):
     longest = []
     for n in (500, 2000):
