@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetgrid.functions.text import SPACE, col, none_if_blank, utrim
@@ -62,23 +62,33 @@ def teachers(names: Column | str) -> Column:
     return F.struct(F.when(at > 0, plain(F.try_element_at(each, at.cast("int")))).alias("rep"), F.transform(rest, plain).alias("others"))
 
 
+def line_kind(line: Column) -> Column:
+    """"" for a blank line, list for a bullet, else paragraph."""
+    return F.when(line == "", "").when(F.rlike(line, F.lit(BULLET)), "list").otherwise("paragraph")
+
+
 def prose_blocks(c: Column | str) -> Column:
-    """array<struct<kind, items>>: runs of bullet lines are lists, others paragraphs; blank lines part paragraphs."""
-    kind = "array<struct<kind:string,items:array<string>>>"
+    """array<struct<kind, items>>: runs of bullet lines are lists, others paragraphs; blank lines part paragraphs.
+
+    Where runs begin and end is found by neighbours, so each line is copied once.
+    """
     each = F.transform(F.split(col(c), "\n"), utrim)
-    start = F.struct(F.array().cast(kind).alias("done"), F.lit("").alias("last"))
-
-    def step(s: Column, line: Column) -> Column:
-        bullet = F.rlike(line, F.lit(BULLET))
-        now = F.when(line == "", "").when(bullet, "list").otherwise("paragraph")
-        text = F.when(bullet, utrim(F.regexp_replace(line, BULLET, ""))).otherwise(line)
-        tail = F.element_at(s["done"], -1)
-        head = F.slice(s["done"], F.lit(1), F.size(s["done"]) - 1)
-        items = F.when(now == "list", F.concat(tail["items"], F.array(text))).otherwise(F.array(F.concat(tail["items"][0], F.lit("\n"), text)))
-        done = F.when(now == "", s["done"]).when(now == s["last"], F.concat(head, F.array(F.struct(now.alias("kind"), items.alias("items"))))).otherwise(F.concat(s["done"], F.array(F.struct(now.alias("kind"), F.array(text).alias("items")))))
-        return F.struct(done.alias("done"), now.alias("last"))
-
-    return F.aggregate(each, start, step, lambda s: s["done"])
+    kinds = F.transform(each, line_kind)
+    edge = lambda step: F.filter(F.transform(kinds, lambda k, i: F.when((k != "") & (F.coalesce(F.get(kinds, i + step), F.lit("")) != k), i)), lambda i: i.isNotNull())
+    plain = lambda line: utrim(F.regexp_replace(line, BULLET, ""))
+
+    def block(a: Column, b: Column) -> Column:
+        run, kind = F.slice(each, a + 1, b - a + 1), F.get(kinds, a)
+        return F.struct(kind.alias("kind"), F.when(kind == "list", F.transform(run, plain)).otherwise(F.array(F.array_join(run, "\n"))).alias("items"))
+
+    return F.zip_with(edge(-1), edge(1), block)
+
+
+def prose_runs(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, at, kind, before): a row for each line with its kind and the kind of the line before, by a window over each text's lines."""
+    rows = df.select(key, F.posexplode(F.split(text, "\n")).alias("at", "line"))
+    kinds = rows.select(key, "at", line_kind(utrim("line")).alias("kind"))
+    return kinds.withColumn("before", F.coalesce(F.lag("kind").over(Window.partitionBy(key).orderBy("at")), F.lit("")))
 
 
 def link_parts(c: Column | str, pattern: str = LINK) -> Column:

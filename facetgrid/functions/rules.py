@@ -36,21 +36,24 @@ def has_any(c: Column, words: tuple[str, ...]) -> Column:
 
 
 def split_keywords(c: Column | str) -> Column:
-    """Terms between separators outside brackets, trimmed, empty ones dropped."""
-    empty = F.array().cast("array<string>")
-    start = F.struct(empty.alias("out"), F.lit("").alias("buf"), F.lit(0).alias("depth"))
+    """Terms between separators outside brackets, trimmed, empty ones dropped.
 
-    def step(s: Column, ch: Column) -> Column:
-        cut = ch.isin(*SEPARATORS) & (s["depth"] == 0)
-        depth = F.when(ch.isin(*OPEN), s["depth"] + 1).when(ch.isin(*CLOSE), F.greatest(s["depth"] - 1, F.lit(0))).otherwise(s["depth"])
-        return F.struct(
-            F.when(cut, F.concat(s["out"], F.array(s["buf"]))).otherwise(s["out"]).alias("out"),
-            F.when(cut, F.lit("")).otherwise(F.concat(s["buf"], ch)).alias("buf"),
-            depth.alias("depth"),
-        )
+    The fold runs over brackets and separators only and keeps where to cut.
+    """
+    text = col(c)
+    signs = "".join(("\\" + s if s in "()" else s) for s in (*OPEN, *CLOSE, *SEPARATORS))
+    marks = F.regexp_extract_all(text, F.lit(f"(?s)[^{signs}]*[{signs}]"), F.lit(0))
+    start = F.struct(F.array(F.lit(0)).alias("cuts"), F.lit(0).alias("at"), F.lit(0).alias("depth"))
 
-    parts = F.aggregate(characters(c), start, step, lambda s: F.concat(s["out"], F.array(s["buf"])))
-    return F.filter(F.transform(parts, utrim), lambda t: t != "")
+    def step(s: Column, piece: Column) -> Column:
+        sign, at = F.right(piece, F.lit(1)), s["at"] + F.length(piece)
+        cut = sign.isin(*SEPARATORS) & (s["depth"] == 0)
+        depth = F.when(sign.isin(*OPEN), s["depth"] + 1).when(sign.isin(*CLOSE), F.greatest(s["depth"] - 1, F.lit(0))).otherwise(s["depth"])
+        return F.struct(F.when(cut, F.array_append(s["cuts"], at)).otherwise(s["cuts"]).alias("cuts"), at.alias("at"), depth.alias("depth"))
+
+    cuts = F.aggregate(marks, start, step, lambda s: s["cuts"])
+    between = F.zip_with(cuts, F.slice(cuts, F.lit(2), F.size(cuts)), lambda a, b: F.substring(text, a + 1, F.when(b.isNull(), F.length(text) - a).otherwise(b - a - 1)))
+    return F.filter(F.transform(between, utrim), lambda t: t != "")
 
 
 def goal_numbers(c: Column | str) -> Column:
@@ -68,8 +71,12 @@ def bracket_debt(c: Column | str) -> Column:
 
 
 def repair_keywords(c: Column | str, most: int = 6) -> Column:
-    """Entries joined by a space while a bracket is open, at most ``most`` times."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("buf"), F.lit(0).alias("joined"))
+    """Entries joined by a space while a bracket is open, at most ``most`` times.
+
+    The fold carries the entries joined so far (a few) and keeps where entries end.
+    """
+    entries = col(c)
+    start = F.struct(F.array().cast("array<int>").alias("ends"), F.lit("").alias("buf"), F.lit(0).alias("joined"), F.lit(0).alias("at"))
 
     def step(s: Column, k: Column) -> Column:
         first = s["buf"] == ""
@@ -77,12 +84,13 @@ def repair_keywords(c: Column | str, most: int = 6) -> Column:
         joined = s["joined"] + F.when(first, 0).otherwise(1)
         full = F.aggregate(F.array(buf), F.lit(False), lambda _, b: bracket_debt(b) <= 0) | (joined >= most)
         return F.struct(
-            F.when(full, F.concat(s["out"], F.array(buf))).otherwise(s["out"]).alias("out"),
-            F.when(full, F.lit("")).otherwise(buf).alias("buf"),
-            F.when(full, F.lit(0)).otherwise(joined).alias("joined"),
+            F.when(full, F.array_append(s["ends"], s["at"] + 1)).otherwise(s["ends"]).alias("ends"),
+            F.when(full, F.lit("")).otherwise(buf).alias("buf"), F.when(full, F.lit(0)).otherwise(joined).alias("joined"), (s["at"] + 1).alias("at"),
         )
 
-    return F.aggregate(col(c), start, step, lambda s: F.when(s["buf"] == "", s["out"]).otherwise(F.concat(s["out"], F.array(s["buf"]))))
+    ends = F.aggregate(entries, start, step, lambda s: F.when(s["buf"] == "", s["ends"]).otherwise(F.array_append(s["ends"], s["at"])))
+    begins = F.array_prepend(ends, F.lit(0))
+    return F.zip_with(ends, F.slice(begins, F.lit(1), F.size(ends)), lambda b, a: F.array_join(F.slice(entries, a + 1, b - a), " "))
 
 
 def study_hours(c: Column | str) -> Column:
@@ -114,15 +122,14 @@ def textbook_info(c: Column | str) -> Column:
     section = "array<struct<label:string,lines:array<string>>>"
     label = f"^(?:{'|'.join(BOOK_LABELS)})(?:$|[：:【［\\[ 　])"
     each = F.filter(F.transform(F.split(text, "\n"), utrim), lambda s: s != "")
+    is_label = lambda line: F.rlike(line, F.lit(label))
+    starts = F.filter(F.transform(each, lambda line, k: F.when((k == 0) | is_label(line), k)), lambda k: k.isNotNull())
 
-    def step(done: Column, line: Column) -> Column:
-        opened = F.array(F.struct(line.alias("label"), F.array().cast("array<string>").alias("lines")))
-        plain = F.array(F.struct(F.lit(None).cast("string").alias("label"), F.array(line).alias("lines")))
-        last = F.element_at(done, -1)
-        grown = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last["label"].alias("label"), F.concat(last["lines"], F.array(line)).alias("lines"))))
-        return F.when(F.rlike(line, F.lit(label)), F.concat(done, opened)).when(F.size(done) == 0, plain).otherwise(grown)
+    def opened(a: Column, b: Column) -> Column:
+        lines_ = F.slice(each, a + 1, F.coalesce(b, F.size(each)) - a)
+        return F.when(is_label(lines_[0]), F.struct(lines_[0].alias("label"), F.slice(lines_, F.lit(2), F.size(lines_)).alias("lines"))).otherwise(F.struct(F.lit(None).cast("string").alias("label"), lines_.alias("lines")))
 
-    sections = F.aggregate(each, F.array().cast(section), step)
+    sections = F.zip_with(starts, F.slice(starts, F.lit(2), F.size(starts)), opened).cast(section)
     whole = F.array(F.struct(F.lit(None).cast("string").alias("label"), F.array(text).alias("lines"))).cast(section)
     return F.when(col(c).isNotNull(), F.struct(none.alias("isNone"), F.when(F.size(sections) > 0, sections).otherwise(whole).alias("sections")))
 

@@ -29,21 +29,19 @@ def count_bits(rows: DataFrame) -> DataFrame:
     return rows.agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).cast("long").alias("n"))
 
 
-def byte_at(bits: Column, k: Column) -> Column:
-    return F.conv(F.hex(F.substring(bits, k, F.lit(1))), 16, 10).cast("int")
-
-
 def has(bits: Column, position: Column) -> Column:
     """Whether the position is set; beyond the end it is not."""
-    byte = F.coalesce(byte_at(bits, F.floor(position / 8).cast("int") + 1), F.lit(0))
+    byte = F.coalesce(F.conv(F.hex(F.substring(bits, F.floor(position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int"), F.lit(0))
     return (position >= 0) & (F.pmod(F.floor(byte / F.pow(F.lit(2), position % 8)), F.lit(2)) == 1)
 
 
 def positions(bits: Column) -> Column:
-    """array<int> of the set positions, ascending."""
-    size = F.octet_length(bits) * 8
-    every = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
-    return F.filter(every, lambda p: has(bits, p))
+    """array<int> of the set positions, ascending: the bits are read as bytes once, and only bytes that are not zero are looked into."""
+    each = F.transform(F.regexp_extract_all(F.hex(bits), F.lit("[0-9A-F]{2}"), F.lit(0)), lambda x, k: F.struct(x.alias("x"), k.alias("k")))
+    some = F.filter(each, lambda b: b["x"] != "00")
+    of_byte = F.array(*[F.array(*[F.lit(j) for j in range(8) if v >> j & 1]).cast("array<int>") for v in range(256)])
+    value = lambda x: F.instr(F.lit("0123456789ABCDEF"), F.substring(x, 1, 1)) * 16 + F.instr(F.lit("0123456789ABCDEF"), F.substring(x, 2, 1)) - 17
+    return F.flatten(F.transform(some, lambda b: F.transform(F.get(of_byte, value(b["x"])), lambda j: b["k"] * 8 + j)))
 
 
 def explode_positions(rows: DataFrame, *keep: str) -> DataFrame:
@@ -65,6 +63,11 @@ def from_base64(text: Column) -> Column:
     return F.concat(bits, F.unhex(F.repeat(F.lit("00"), F.pmod(-F.octet_length(bits), F.lit(8)))))
 
 
+def wire_buckets(df: DataFrame, value: str, position: str) -> DataFrame:
+    """(value, bucket, wire): the wire form of each bucket of positions, whatever their number."""
+    return bitmap_rows(df, value, position).select("value", "bucket", to_base64(F.col("bits"), BUCKET).alias("wire"))
+
+
 def inverted_index(df: DataFrame, value: str, position: str, n: int) -> DataFrame:
     """(value, wire) for catalogues of one bucket, as the dataset document carries it."""
     if n > BUCKET:

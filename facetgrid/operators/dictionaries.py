@@ -50,10 +50,13 @@ def catch_all_last(labels: DataFrame) -> DataFrame:
     return dictionary(labels, other_last(F.col("label")))
 
 
+def small_side(df: DataFrame, most: int = MAX_BROADCAST) -> DataFrame:
+    """``df`` marked for a broadcast if it has at most ``most`` rows; else as it is, for a shuffle join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def encode(df: DataFrame, column: str, entries: DataFrame, into: str, default: int | None = 0) -> DataFrame:
     """``df`` with the position of ``column`` in the dictionary; ``default`` (or no row, if None) for unknown labels."""
-    side = entries.select(F.col("label").alias(f"_{into}"), F.col("idx").alias(into))
-    if side.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
-        side = F.broadcast(side)
+    side = small_side(entries.select(F.col("label").alias(f"_{into}"), F.col("idx").alias(into)))
     joined = df.join(side, F.col(column) == F.col(f"_{into}"), "inner" if default is None else "left").drop(f"_{into}")
     return joined if default is None else joined.withColumn(into, F.coalesce(into, F.lit(default)))

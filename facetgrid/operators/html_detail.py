@@ -44,11 +44,13 @@ class Node:
         self.children: list[Node | str] = []
 
     def all(self, *names: str) -> Iterator[Node]:
-        for child in self.children:
+        todo = self.children[::-1]
+        while todo:
+            child = todo.pop()
             if isinstance(child, Node):
                 if child.name in names:
                     yield child
-                yield from child.all(*names)
+                todo += child.children[::-1]
 
     def above(self, name: str) -> Node | None:
         node = self.parent
@@ -98,14 +100,15 @@ class Tree(HTMLParser):
 
 def own_text(node: Node) -> str:
     """Text without that of nested tables, but for value wrappers."""
-    out = []
-    for child in node.children:
+    out, todo = [], node.children[::-1]
+    while todo:
+        child = todo.pop()
         if isinstance(child, str):
             out.append(child)
         elif child.name != "table":
-            out.append(own_text(child))
+            todo += child.children[::-1]
         elif VALUE_CLASS in child.classes:
-            out += [own_text(child), " "]
+            todo += [" ", *child.children[::-1]]
     return "".join(out)
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from facetgrid.functions.text import none_if_blank, or_other, utrim, weekday_index
 from facetgrid.operators import dictionaries as dic
 from facetgrid.operators.bitmaps import bitmap_rows, to_base64
+from facetgrid.operators.dictionaries import small_side
+from facetgrid.operators.grid import year_long_rows
 from facetgrid.operators.slots import YEAR_LONG, good_slots, parse_slots, warnings_of
 
 
@@ -36,19 +38,35 @@ def with_ordinal(raw: DataFrame) -> DataFrame:
     return raw.withColumn("ord", F.col("file_ord").cast("long") * (1 << 40) + F.col("item"))
 
 
-def first_rows(rows: DataFrame) -> DataFrame:
-    """The first row of each code; the later ones own nothing but slots."""
+def first_rows(rows: DataFrame, copies: str | None = None) -> DataFrame:
+    """The first row of each code; the later ones own nothing but slots.  ``copies``: a column for how many rows there were."""
     rest = [c for c in rows.columns if c not in ("cd", "ord")]
-    kept = rows.groupBy("cd").agg(F.min_by(F.struct(*rest), "ord").alias("r"), F.min("ord").alias("ord"))
-    return kept.select("cd", "ord", "r.*")
+    more = [F.count("*").alias(copies)] if copies else []
+    kept = rows.groupBy("cd").agg(F.min_by(F.struct(*rest), "ord").alias("r"), F.min("ord").alias("ord"), *more)
+    return kept.select("cd", "ord", "r.*", *([copies] if copies else []))
+
+
+#: Rows of a file that are numbered in one task.
+BLOCK = 100_000
 
 
 def dense_index(first: DataFrame) -> DataFrame:
-    """``first`` with idx: position by ordinal, counted by file and within each, so no window spans all rows."""
-    sizes = first.groupBy("file_ord").agg(F.count("*").alias("n"))
-    before = sizes.select("file_ord", (F.sum("n").over(W.orderBy("file_ord")) - F.col("n")).alias("before"))
-    within = F.row_number().over(W.partitionBy("file_ord").orderBy("ord")) - 1
-    return first.withColumn("within", within).join(F.broadcast(before), "file_ord").withColumn("idx", (F.col("before") + F.col("within")).cast("int")).drop("before", "within")
+    """``first`` with idx: position by ordinal.
+
+    Rows are counted and numbered by blocks of a file's positions, so no window
+    spans a file; only the blocks' sizes are summed up in order, file by file and
+    then over the files.
+    """
+    block = F.floor(F.col("item") / BLOCK)
+    sizes = first.groupBy("file_ord", block.alias("block")).agg(F.count("*").alias("n"))
+    of_file = W.partitionBy("file_ord").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    inner = sizes.select("file_ord", "block", F.coalesce(F.sum("n").over(of_file), F.lit(0)).alias("inner"))
+    files = sizes.groupBy("file_ord").agg(F.sum("n").alias("n"))
+    before = files.select("file_ord", (F.sum("n").over(W.orderBy("file_ord")) - F.col("n")).alias("before"))
+    start = small_side(inner.join(before, "file_ord").select("file_ord", "block", (F.col("inner") + F.col("before")).alias("start")))
+    within = F.row_number().over(W.partitionBy("file_ord", "block").orderBy("ord")) - 1
+    numbered = first.withColumn("block", block).withColumn("within", within)
+    return numbered.join(start, ["file_ord", "block"]).withColumn("idx", (F.col("start") + F.col("within")).cast("int")).drop("start", "within", "block")
 
 
 def merged_slots(rows: DataFrame, first: DataFrame) -> DataFrame:
@@ -106,8 +124,9 @@ def convert(raw: DataFrame) -> Dataset:
     none = F.array().cast("array<struct<s:int,d:int,p:int>>")
     courses = encoded.join(listed, "idx", "left").withColumn("slots", F.coalesce(slot, none)).drop("l", "ord")
 
-    spread = slots.where(F.col("term") == YEAR_LONG).select("idx").distinct().join(F.broadcast(dictionaries["semesters"].select(F.col("idx").alias("value"))), how="cross")
-    of_term = slots.select(F.col("s").alias("value"), "idx").unionByName(spread.select("value", "idx")).distinct()
+    own = slots.select(F.col("s").alias("value"), "idx")
+    spread = year_long_rows(slots.where(F.col("term") == YEAR_LONG).select("term", "idx").distinct(), dictionaries["semesters"].select(F.col("idx").alias("base")))
+    of_term = own.unionByName(spread.select(F.col("base").alias("value"), "idx")).distinct()
     members = of_term.select(F.lit("semester").alias("facet"), "value", "idx")
     for facet, column in (("department", "dept"), ("campus", "campus")):
         members = members.unionByName(encoded.select(F.lit(facet).alias("facet"), F.col(column).alias("value"), "idx"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from facetgrid.functions.text import haystack, parse_credits
 from facetgrid.operators import grid as g
 from facetgrid.operators import search as s
-from facetgrid.operators.dictionaries import TERMS, known_order
+from facetgrid.operators.dictionaries import TERMS, known_order, small_side
 from facetgrid.operators.slots import YEAR_LONG
 from facetgrid.operators.tallies import credit_axes
 from facetgrid.plans.convert import Dataset
@@ -109,7 +109,7 @@ class Engine:
 
     def resolve(self, codes: DataFrame) -> DataFrame:
         """(idx) of known codes (cd), each once, ascending."""
-        return self.data.courses.join(codes.select("cd").distinct(), "cd", "left_semi").select("idx").orderBy("idx")
+        return resolve(self.data.courses, codes).orderBy("idx")
 
     def plan_grid(self, codes: DataFrame, term: str | None = None, days: int = 6) -> DataFrame:
         return g.densify(self.grid(self.resolve(codes), term), days)
@@ -122,5 +122,10 @@ class Engine:
         return clashes, credit_axes(credits.withColumn("credit", parse_credits(unit)))
 
 
+def resolve(courses: DataFrame, codes: DataFrame, code: str = "cd", key: str = "idx") -> DataFrame:
+    """(key) of the courses whose code is among ``codes``, each once; unknown and repeated codes do nothing."""
+    return courses.join(small_side(codes.select(code).distinct()), code, "left_semi").select(key)
+
+
 def term_rank(term: Column) -> Column:
     return F.struct(known_order(term, TERMS), term)

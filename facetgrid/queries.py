@@ -11,11 +11,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from facetgrid.functions import present, rules, text
 from facetgrid.operators import bitmaps, dictionaries, grid, html_detail, incremental, search, slots, tallies
+from facetgrid.plans import convert, engine
 from facetgrid.sources import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -179,32 +179,45 @@ def bitmap_and(spark, sf):
     return bitmaps.count_bits(bitmaps.intersect(side("lang", "en"), side("source", "src0")))
 
 
-@query("select count(*)::bigint as n, sum((w = lang)::int)::bigint as same from (select lang, lang as w from documents)")
+@query("select lang as value, doc_id as position from documents")
 def bitmap_wire(spark, sf):
-    """Membership read back from the wire form agrees with the rows (catalogues of one bucket)."""
-    docs = table(spark, sf, "documents").select("lang", F.pmod("doc_id", F.lit(bitmaps.BUCKET)).cast("int").alias("at"))
-    wire = bitmaps.inverted_index(docs, "lang", "at", bitmaps.BUCKET)
-    read = docs.join(F.broadcast(wire), F.col("lang") == F.col("value"))
-    return read.agg(F.count("*").alias("n"), F.sum(bitmaps.has(bitmaps.from_base64(F.col("wire")), F.col("at")).cast("int")).alias("same"))
+    """All members read back from the wire form of each bucket."""
+    wire = bitmaps.wire_buckets(table(spark, sf, "documents"), "lang", "doc_id")
+    return bitmaps.explode_positions(wire.select("value", "bucket", bitmaps.from_base64(F.col("wire")).alias("bits")), "value")
+
+
+@query("select a.lang as value, d.doc_id, d.lang = a.lang as member from documents d cross join (select distinct lang from documents) a where d.doc_id % 3 = 0 or d.lang = a.lang")
+def bitmap_has(spark, sf):
+    """Membership of documents in the bitmap of every language, theirs and others."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang")
+    rows = bitmaps.bitmap_rows(docs, "lang", "doc_id")
+    at = docs.withColumn("bucket", F.bitmap_bucket_number(F.col("doc_id") + 1))
+    read = at.join(F.broadcast(rows), "bucket")  # a few languages: as many rows for each bucket
+    found = read.select("value", "doc_id", "lang", bitmaps.has(F.col("bits"), F.pmod("doc_id", F.lit(bitmaps.BUCKET))).alias("member"))
+    return found.where("doc_id % 3 = 0 or lang = value").select("value", "doc_id", "member")
 
 
 @query("select distinct conv_id, first_value(role) over w as role, first_value(text) over w as text from conversations window w as (partition by conv_id order by turn)")
 def first_wins(spark, sf):
-    c = table(spark, sf, "conversations")
-    return c.groupBy("conv_id").agg(F.min_by(F.struct("role", "text"), "turn").alias("r")).select("conv_id", "r.*")
+    rows = table(spark, sf, "conversations").select(F.col("conv_id").alias("cd"), F.col("turn").alias("ord"), "role", "text")
+    return convert.first_rows(rows).select(F.col("cd").alias("conv_id"), "role", "text")
 
 
 @query("select conv_id, string_agg(role, ',' order by first) as roles from (select conv_id, role, min(turn) as first from conversations group by all) group by conv_id")
 def merge_distinct_ordered(spark, sf):
-    c = table(spark, sf, "conversations").groupBy("conv_id", "role").agg(F.min("turn").alias("first"))
-    listed = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("first", "role"))).alias("l"))
-    return listed.select("conv_id", F.array_join(F.transform("l", lambda x: x["role"]), ",").alias("roles"))
+    """Each turn brings one slot, its role: what the first turn lacks is merged in order."""
+    slot = F.struct(F.col("role").alias("term"), F.lit("月").alias("day"), F.lit(1).alias("period"), F.lit(None).cast("string").alias("warning"))
+    rows = table(spark, sf, "conversations").select(F.col("conv_id").alias("cd"), F.col("turn").alias("ord"), F.array(slot).alias("parsed"))
+    merged = convert.merged_slots(rows, convert.first_rows(rows.drop("parsed").withColumn("x", F.lit(0))))
+    listed = merged.groupBy("cd").agg(F.array_sort(F.collect_list(F.struct("ord", "term"))).alias("l"))
+    return listed.select(F.col("cd").alias("conv_id"), F.array_join(F.transform("l", lambda x: x["term"]), ",").alias("roles"))
 
 
 @query("select min(doc_id) as doc_id, count(*)::bigint as copies from documents group by text")
 def text_dedup(spark, sf):
-    docs = table(spark, sf, "documents")
-    return docs.groupBy(F.md5("text").alias("h"), F.octet_length("text").alias("n")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
+    """First rows by the text itself, which its digest and length stand for."""
+    docs = table(spark, sf, "documents").select(F.struct(F.md5("text").alias("h"), F.octet_length("text").alias("n")).alias("cd"), F.col("doc_id").alias("ord"), "lang")
+    return convert.first_rows(docs, copies="copies").select(F.col("ord").alias("doc_id"), "copies")
 
 
 # --- slots and grids ---
@@ -215,10 +228,8 @@ select t.term, count(distinct idx)::bigint as users from {_EVENTS} e join (selec
 on e.term = t.term or e.term = '{YEAR_LONG}' group by t.term""")
 def term_propagation(spark, sf):
     rows = event_slots(spark, sf).select("idx", "term").distinct()
-    terms = F.broadcast(rows.select(F.col("term").alias("t")).distinct())
-    own = rows.where(F.col("term") != YEAR_LONG)
-    dealt = own.unionByName(rows.where(F.col("term") == YEAR_LONG).join(terms, how="cross").select("idx", F.col("t").alias("term")))
-    return dealt.groupBy("term").agg(F.countDistinct("idx").alias("users"))
+    dealt = grid.spread_terms(rows, rows.select(F.col("term").alias("base")), YEAR_LONG).unionByName(rows.where(F.col("term") == YEAR_LONG).withColumn("base", F.col("term")))
+    return dealt.select("idx", F.col("base").alias("term")).groupBy("term").agg(F.countDistinct("idx").alias("users"))
 
 
 def _timetable(spark: SparkSession, sf: str) -> DataFrame:
@@ -240,16 +251,20 @@ def slot_warnings(spark, sf):
     return rows.groupBy("warning").agg(F.count("*").alias("n"))
 
 
-@query(f"select day, period, count(distinct idx)::bigint as users, string_agg(distinct idx::varchar, ',' order by idx::varchar) as ids from {_EVENTS} where {_ON_GRID} group by all")
+@query(f"select day, period, count(distinct idx)::bigint as users from {_EVENTS} where {_ON_GRID} group by all")
 def grid_cells(spark, sf):
-    cells = grid.build_grid(event_slots(spark, sf))
-    return cells.select("day", "period", F.size("courses").cast("long").alias("users"), F.array_join(F.array_sort(F.transform("courses", lambda c: c.cast("string"))), ",").alias("ids"))
+    return grid.cell_counts(grid.placed(event_slots(spark, sf))).withColumnRenamed("n", "users")
 
 
-@query(f"select day, period, string_agg(idx::varchar, ',' order by idx) as ids from (select distinct day, period, idx from {_EVENTS} where {_ON_GRID} and term in ('error', '{YEAR_LONG}')) group by all")
+@query(f"select distinct day, period, idx from {_EVENTS} where {_ON_GRID} and term in ('error', '{YEAR_LONG}')")
 def grid_by_term(spark, sf):
-    rows = grid.placed(event_slots(spark, sf), "error", year_long=YEAR_LONG)
-    return grid.cells(rows).select("day", "period", _joined(F.col("courses")).alias("ids"))
+    return grid.placed(event_slots(spark, sf), "error", year_long=YEAR_LONG).select("day", "period", "idx")
+
+
+@query(f"select day, period, string_agg(idx::varchar, ',' order by idx) as ids from (select distinct day, period, idx from {_EVENTS} where {_ON_GRID} and idx < 20) group by all")
+def grid_lists(spark, sf):
+    """Cells as lists, of the users that someone chose."""
+    return grid.build_grid(event_slots(spark, sf).where("idx < 20")).select("day", "period", _joined(F.col("courses")).alias("ids"))
 
 
 @query(f"select count(distinct idx)::bigint as n from {_EVENTS} where {_ON_GRID}")
@@ -277,48 +292,60 @@ def grid_densify(spark, sf):
 
 @query(f"""
 with s as (select idx, count(*) as score from {_EVENTS} group by idx),
-c as (select distinct day, period, idx from {_EVENTS} where {_ON_GRID})
-select day, period, string_agg(idx::varchar, ',' order by score desc, idx) as ids from c join s using (idx) group by all""")
+c as (select distinct day, period, idx, score from {_EVENTS} join s using (idx) where {_ON_GRID})
+select day, period, string_agg(idx::varchar, ',' order by score desc, idx) as ids from (select *, row_number() over (partition by day, period order by score desc, idx) as nth from c) where nth <= 20 group by all""")
 def grid_ranked(spark, sf):
+    """The first twenty of each cell, best first: a page of a grid that may be of any size."""
     rows = event_slots(spark, sf)
     score = rows.groupBy("idx").agg(F.count("*").alias("score"))
     placed = grid.placed(rows.drop("value")).drop("rank").join(score, "idx").withColumn("rank", F.struct((-F.col("score")).alias("s"), "idx"))
-    return grid.cells(placed).select("day", "period", _joined(F.col("courses")).alias("ids"))
+    return grid.cells(placed, page=20).select("day", "period", _joined(F.col("courses")).alias("ids"))
 
 
-@query(f"select day, period, string_agg(idx::varchar, ',' order by idx) as ids from (select distinct day, period, idx from {_EVENTS} where {_ON_GRID}) group by all having count(*) >= 2")
+@query(f"select day, period, idx from (select distinct day, period, idx, count(distinct idx) over (partition by day, period) as n from {_EVENTS} where {_ON_GRID}) where n >= 2")
 def conflicts(spark, sf):
-    cells = grid.build_grid(event_slots(spark, sf))
-    return grid.conflicts(cells).select("day", "period", _joined(F.col("courses")).alias("ids"))
+    return grid.conflict_rows(grid.placed(event_slots(spark, sf)))
 
 
 @query(f"""
 with s as (select distinct idx, term, day, period from {_EVENTS} where {_ON_GRID}),
 t as (select distinct term from s where term <> '{YEAR_LONG}'),
 b as (select distinct t.term, s.day, s.period, s.idx from s join t on s.term = t.term or s.term = '{YEAR_LONG}'),
+c as (select term, day, period, string_agg(idx::varchar, ',' order by idx) as ids from b group by all having count(*) >= 2),
+f as (select day, period, ids, min(term) as term from c group by all)
+select day, period, idx, term from b join f using (day, period, term)""")
+def plan_conflicts(spark, sf):
+    return grid.plan_conflict_rows(event_slots(spark, sf).drop("value"), year_long=YEAR_LONG)
+
+
+@query(f"""
+with s as (select distinct idx, term, day, period from {_EVENTS} where {_ON_GRID} and idx < 40),
+t as (select distinct term from s where term <> '{YEAR_LONG}'),
+b as (select distinct t.term, s.day, s.period, s.idx from s join t on s.term = t.term or s.term = '{YEAR_LONG}'),
 c as (select term, day, period, string_agg(idx::varchar, ',' order by idx) as ids from b group by all having count(*) >= 2)
 select day, period, ids, min(term) as term from c group by all""")
-def plan_conflicts(spark, sf):
-    found = grid.plan_conflicts(event_slots(spark, sf).drop("value"), year_long=YEAR_LONG)
+def plan_conflict_lists(spark, sf):
+    """Clashes of a chosen plan as lists."""
+    found = grid.plan_conflicts(event_slots(spark, sf).where("idx < 40").drop("value"), year_long=YEAR_LONG)
     return found.select("day", "period", _joined(F.col("courses")).alias("ids"), "term")
 
 
 @query(f"""
-with g as (select day, period, string_agg(idx::varchar, ',' order by idx) as ids from (select distinct day, period, idx from {_EVENTS} where {_ON_GRID} and term = 'click') group by all),
+with g as (select day, period, string_agg(idx::varchar, ',' order by idx) as ids from (select distinct day, period, idx from {_EVENTS} where {_ON_GRID} and term = 'click' and idx < 40) group by all),
 p as (select day, period, string_agg(idx::varchar, ',' order by idx) as ids from (select distinct day, period, idx from {_EVENTS} where {_ON_GRID} and idx = 7) group by all)
 select coalesce(g.day, p.day) as day, coalesce(g.period, p.period) as period, coalesce(p.ids, g.ids) as ids, p.ids is not null as planned
 from g full outer join p on g.day = p.day and g.period = p.period""")
 def plan_overlay(spark, sf):
     rows = event_slots(spark, sf)
-    shown = grid.overlay(grid.build_grid(rows.where("term = 'click'")), grid.build_grid(rows.where("idx = 7")))
+    shown = grid.overlay(grid.build_grid(rows.where("term = 'click' and idx < 40")), grid.build_grid(rows.where("idx = 7")))
     return shown.select("day", "period", _joined(F.col("courses")).alias("ids"), "planned")
 
 
 @query("select p_partkey from part where p_partkey::varchar in ('3', '11', '7', 'x', '3', '99999999')")
 def resolve_codes(spark, sf):
     p = table(spark, sf, "part")
-    codes = spark.createDataFrame([(c,) for c in ("3", "11", "7", "x", "3", "99999999")], "cd string").distinct()
-    return p.withColumn("cd", F.col("p_partkey").cast("string")).join(F.broadcast(codes), "cd", "left_semi").select("p_partkey")
+    codes = spark.createDataFrame([(c,) for c in ("3", "11", "7", "x", "3", "99999999")], "cd string")
+    return engine.resolve(p.withColumn("cd", F.col("p_partkey").cast("string")), codes, key="p_partkey")
 
 
 # --- tallies ---
@@ -343,7 +370,11 @@ def credit_axes(spark, sf):
 @query("select d.doc_id, case l.quality when 1 then 'good' when 0 then 'junk' end as card, l.toxic from documents d left join labels l using (doc_id)")
 def detail_left_join(spark, sf):
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
-    return docs.join(labels, "doc_id", "left").select("doc_id", F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "junk").alias("card"), "toxic")
+    mode = F.struct(F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "junk").alias("mode"))
+    none = F.array().cast("array<struct<item:string,weight:bigint,type:string>>")
+    details = labels.select(F.col("doc_id").alias("cd"), F.col("toxic").alias("unit"), mode.alias("delivery"), F.struct(none.alias("rows")).alias("eval"))
+    cards = convert.with_details(docs.select(F.col("doc_id").alias("cd")), details)
+    return cards.select(F.col("cd").alias("doc_id"), F.col("dm").alias("card"), F.col("unit").alias("toxic"))
 
 
 _W = "(case when l_orderkey % 7 = 0 then 0 else l_quantity end)"
@@ -385,18 +416,26 @@ def eval_running(spark, sf):
 # --- rules over text ---
 
 
-_ITEM = "case p_partkey % 9 when 0 then '期末試験' when 1 then '中間レポート' when 2 then '小テスト(毎回)' when 3 then 'ミニレポート' when 4 then '授業態度' when 5 then '期末評価' when 6 then '課題の提出' when 7 then ' その他 ' else '面接' end"
-_KIND = "case p_partkey % 9 when 0 then 'exam' when 1 then 'report' when 2 then 'quiz' when 3 then 'minireport' when 4 then 'attendance' when 5 then 'exam' when 6 then 'report' else 'other' end"
+#: Words of assessments in the order in which they decide.
+_KINDS = (("小テスト", "quiz"), ("ミニレポート", "minireport"), ("試験", "exam"), ("レポート", "report"), ("課題", "report"), ("授業態度", "attendance"), ("期末", "exam"), ("面接", "other"))
 
 
-@query(f"select p_partkey, {_KIND} as kind from part")
+@query("""
+with w(i, w, k) as (values (0, '小テスト', 'quiz'), (1, 'ミニレポート', 'minireport'), (2, '試験', 'exam'), (3, 'レポート', 'report'), (4, '課題', 'report'), (5, '授業態度', 'attendance'), (6, '期末', 'exam'), (7, '面接', 'other'))
+select p_partkey, case when a.i < b.i then a.k else b.k end as kind from part join w a on a.i = p_size % 8 join w b on b.i = p_partkey % 8""")
 def classify_rules(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", rules.assessment_type(F.expr(_ITEM)).alias("kind"))
+    """Two words of every pair of kinds in a text: the specific kind decides."""
+    word = lambda i: F.element_at(F.array(*[F.lit(w) for w, _ in _KINDS]), (i + 1).cast("int"))
+    said = F.concat("p_name", word(F.col("p_size") % 8), F.lit("・"), word(F.col("p_partkey") % 8), "p_brand")
+    return table(spark, sf, "part").select("p_partkey", rules.assessment_type(said).alias("kind"))
 
 
-@query("select p_partkey, case p_partkey % 6 when 0 then 'onsite' when 1 then 'online' when 2 then 'hybrid' when 3 then 'ondemand' when 4 then 'online' else 'unknown' end as mode from part")
+@query("""
+select p_partkey, case when o and (d or r) then 'hybrid' when o then 'onsite' when d and not l then 'ondemand' when d or r then 'online' else 'unknown' end as mode
+from (select p_partkey, p_size % 2 = 1 as o, p_size % 3 = 1 as d, p_partkey % 3 = 1 or p_partkey % 5 = 1 as r, p_partkey % 5 = 1 as l from part)""")
 def delivery_bits(spark, sf):
-    raw = F.expr("case p_partkey % 6 when 0 then '対面授業' when 1 then '非対面・遠隔' when 2 then '対面とオンデマンド' when 3 then '録画の配信' when 4 then '同時双方向配信' else '未定' end")
+    """All combinations of on site, on demand, remote and live words."""
+    raw = F.concat("p_name", F.expr("if(p_size % 2 = 1, '対面', '非対面')"), F.expr("if(p_size % 3 = 1, '録画', '')"), F.expr("if(p_partkey % 3 = 1, '遠隔', '')"), F.expr("if(p_partkey % 5 = 1, '同時', '')"))
     return table(spark, sf, "part").select("p_partkey", rules.delivery_mode(raw).alias("mode"))
 
 
@@ -428,11 +467,7 @@ s as (select doc_id, kind, lag(kind, 1, '') over (partition by doc_id order by k
 select doc_id, sum((kind = 'list' and before <> 'list')::int)::bigint as lists, sum((kind = 'paragraph' and before <> 'paragraph')::int)::bigint as paragraphs from s group by doc_id""")
 def prose_blocks(spark, sf):
     """Runs of list and paragraph lines, by a window over the lines of each text."""
-    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
-    line = text.utrim("line")
-    kind = F.when(line == "", "").when(F.rlike(line, F.lit(present.BULLET)), "list").otherwise("paragraph")
-    before = F.coalesce(F.lag("kind").over(W.partitionBy("doc_id").orderBy("k")), F.lit(""))
-    runs = lines.select("doc_id", "k", kind.alias("kind")).select("doc_id", "kind", before.alias("before"))
+    runs = present.prose_runs(table(spark, sf, "documents"), "doc_id", "text")
     opens = lambda name: F.sum(((F.col("kind") == name) & (F.col("before") != name)).cast("int"))
     return runs.groupBy("doc_id").agg(opens("list").alias("lists"), opens("paragraph").alias("paragraphs"))
 
@@ -470,8 +505,7 @@ def code_xref(spark, sf):
 
 @query("select event_id, coalesce(json_extract_string(props, '$.k'), '') as k from events")
 def lenient_json(spark, sf):
-    rows = table(spark, sf, "events").select("event_id", F.from_json("props", "k string").alias("r"))
-    return rows.select("event_id", F.coalesce("r.k", F.lit("")).alias("k"))
+    return ingest.lenient_fields(table(spark, sf, "events"), "props", ("k",), (), "event_id")
 
 
 @query("select (event_id % 50 <> 0) as valid, count(*)::bigint as n from events group by all")

@@ -89,11 +89,16 @@ def parse_documents(texts: DataFrame) -> DataFrame:
     return each.select("file_ord", "item", F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")).alias("valid"), F.to_json("v").alias("record"))
 
 
+def lenient_fields(rows: DataFrame, record: str, required: Sequence[str], optional: Sequence[str] = (), *keep: str) -> DataFrame:
+    """(keep..., fields...) of JSON records: every scalar as text, required fields "" where absent or null, others null, unknown keys ignored."""
+    schema = ", ".join(f"`{n}` string" for n in (*required, *optional))
+    read = rows.select(*keep, F.from_json(record, schema).alias("r"))
+    return read.select(*keep, *[F.coalesce(f"r.{n}", F.lit("")).alias(n) for n in required], *[f"r.{n}" for n in optional])
+
+
 def raw_courses(parsed: DataFrame) -> DataFrame:
     """(file_ord, item, fields...): all as text, required ones "" where absent, unknown keys ignored."""
-    schema = ", ".join(f"{n} string" for n in (*REQUIRED, *OPTIONAL))
-    rows = parsed.where("valid").select("file_ord", "item", F.from_json("record", schema).alias("r"))
-    return rows.select("file_ord", "item", *[F.coalesce(f"r.{n}", F.lit("")).alias(n) for n in REQUIRED], *[f"r.{n}" for n in OPTIONAL])
+    return lenient_fields(parsed.where("valid"), "record", REQUIRED, OPTIONAL, "file_ord", "item")
 
 
 def load_warnings(parsed: DataFrame) -> DataFrame:

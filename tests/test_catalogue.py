@@ -1,9 +1,11 @@
+import hashlib
 import json
 
 import pytest
 from fixture_courses import ROWS
 from pyspark.sql import functions as F
 
+from facetgrid.functions import present, rules
 from facetgrid.operators import bitmaps, dictionaries, grid, incremental, search, slots, tallies
 from facetgrid.operators.detail import enrich
 from facetgrid.operators.html_detail import extract_details
@@ -355,3 +357,43 @@ def test_streaming_first_wins(spark, tmp_path):
     run()
     got = {r["kogiCd"]: r["kogiNm"] for r in spark.read.parquet(str(target)).collect()}
     assert got == {"1": "x", "2": "z", "3": "w"}
+
+
+def test_detail_pages_never_fail(spark):
+    """Cut, nested and stray markup gives a record, however little it says."""
+    odd = ["", None, "<table", "<table><tr><th>単位数", "<table><tr><td><table><tr><th>単位数</th><td>9</td></tr></table></td></tr></table>", "</td></tr><table><tr><th>単位数<td>2単位<tr><th>備考<td>x", "<table><tr><th>単位数</th><td>1</td></tr></table>" * 2, "<div>" * 3000 + "<table><tr><th>単位数</th><td>3"]
+    rows = spark.createDataFrame(list(enumerate(odd)), "cd int, html string")
+    got = {r["cd"]: r for r in extract_details(rows).collect()}
+    assert [got[str(k)]["unit"] for k in range(8)] == [None, None, None, None, "9", "2単位", "1", "3"]
+    assert [(x["label"], x["text"]) for x in got["5"]["extra"]] == [("備考", "x")]
+
+
+def test_rules_at_size(spark):
+    """Long fields take time in proportion to their length."""
+    lines = "\n".join(f"・{k}、x（{k}、y）" if k % 3 else f"教科書：{k}" for k in range(6000))
+    df = spark.createDataFrame([(lines,)], "t string")
+    split = df.select(F.size(rules.split_keywords("t")).alias("n")).first()["n"]
+    books = df.select(F.size(rules.textbook_info("t")["sections"]).alias("n")).first()["n"]
+    blocks = df.select(F.size(present.prose_blocks("t")).alias("n")).first()["n"]
+    assert (split, books, blocks) == (10_000, 2000, 4000)
+    assert [r["kind"] for r in present.prose_runs(df.withColumn("k", F.lit(1)), "k", "t").where("at < 4").orderBy("at").collect()] == ["paragraph", "list", "list", "paragraph"]
+
+
+def test_numbering_by_blocks(spark, monkeypatch):
+    from facetgrid.plans import convert
+
+    monkeypatch.setattr(convert, "BLOCK", 3)
+    rows = [(f, k, f * 100 + k) for f in (2, 0, 5) for k in range(0, 11, 1 + f)]
+    first = spark.createDataFrame(rows, "file_ord int, item int, ord long")
+    got = [(r["file_ord"], r["item"]) for r in convert.dense_index(first).orderBy("idx").collect()]
+    assert got == sorted((f, k) for f, k, _ in rows)
+    assert [r["idx"] for r in convert.dense_index(first).orderBy("idx").collect()] == list(range(len(rows)))
+
+
+def test_clash_set_and_shape(spark):
+    from facetgrid.operators import grid
+
+    found = spark.createDataFrame([(0, 1, 5), (0, 1, 6), (1, 1, 7)], "day int, period int, idx int")
+    plan = spark.createDataFrame([(0, 1, 6)], "day int, period int, idx int")
+    assert [r["idx"] for r in grid.clash_set(found, plan).collect()] == [5]
+    assert grid.day_count(True) == 6 and grid.day_count(False) == 5
