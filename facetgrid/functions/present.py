@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from facetgrid.functions.text import SPACE, col, none_if_blank, utrim
+from facetgrid.functions.text import SPACE, col, let, none_if_blank, utrim
 
 # Lookup tables.
 FACULTIES = {"0": "共通教育", "1": "人文社会科学部", "2": "教育学部", "3": "理工学部", "4": "医学部", "5": "農林海洋科学部", "6": "地域協働学部"}
@@ -72,16 +72,19 @@ def prose_blocks(c: Column | str) -> Column:
 
     Where runs begin and end is found by neighbours, so each line is copied once.
     """
-    each = F.transform(F.split(col(c), "\n"), utrim)
-    kinds = F.transform(each, line_kind)
-    edge = lambda step: F.filter(F.transform(kinds, lambda k, i: F.when((k != "") & (F.coalesce(F.get(kinds, i + step), F.lit("")) != k), i)), lambda i: i.isNotNull())
     plain = lambda line: utrim(F.regexp_replace(line, BULLET, ""))
 
-    def block(a: Column, b: Column) -> Column:
-        run, kind = F.slice(each, a + 1, b - a + 1), F.get(kinds, a)
-        return F.struct(kind.alias("kind"), F.when(kind == "list", F.transform(run, plain)).otherwise(F.array(F.array_join(run, "\n"))).alias("items"))
+    def edges(kinds: Column, step: int) -> Column:
+        return F.filter(F.transform(kinds, lambda k, i: F.when((k != "") & (F.coalesce(F.get(kinds, i + step), F.lit("")) != k), i)), lambda i: i.isNotNull())
 
-    return F.zip_with(edge(-1), edge(1), block)
+    def blocks(each: Column, kinds: Column) -> Column:
+        def block(a: Column, b: Column) -> Column:
+            run, kind = F.slice(each, a + 1, b - a + 1), F.get(kinds, a)
+            return F.struct(kind.alias("kind"), F.when(kind == "list", F.transform(run, plain)).otherwise(F.array(F.array_join(run, "\n"))).alias("items"))
+
+        return F.zip_with(edges(kinds, -1), edges(kinds, 1), block)
+
+    return let(F.transform(F.split(col(c), "\n"), utrim), lambda each: let(F.transform(each, line_kind), lambda kinds: blocks(each, kinds)))
 
 
 def prose_runs(df: DataFrame, key: str, text: str) -> DataFrame:

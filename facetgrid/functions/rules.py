@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from facetgrid.functions.text import SPACE, characters, col, fold_digits, lines, none_if_blank, utrim
+from facetgrid.functions.text import SPACE, characters, col, fold_digits, let, lines, none_if_blank, utrim
 
 # Word lists of the rules, in the order in which they are tried.
 OPEN, CLOSE, SEPARATORS = ("(", "（"), (")", "）"), ("、", "，", ",", "　", "\n")
@@ -123,13 +123,17 @@ def textbook_info(c: Column | str) -> Column:
     label = f"^(?:{'|'.join(BOOK_LABELS)})(?:$|[：:【［\\[ 　])"
     each = F.filter(F.transform(F.split(text, "\n"), utrim), lambda s: s != "")
     is_label = lambda line: F.rlike(line, F.lit(label))
-    starts = F.filter(F.transform(each, lambda line, k: F.when((k == 0) | is_label(line), k)), lambda k: k.isNotNull())
 
-    def opened(a: Column, b: Column) -> Column:
-        lines_ = F.slice(each, a + 1, F.coalesce(b, F.size(each)) - a)
-        return F.when(is_label(lines_[0]), F.struct(lines_[0].alias("label"), F.slice(lines_, F.lit(2), F.size(lines_)).alias("lines"))).otherwise(F.struct(F.lit(None).cast("string").alias("label"), lines_.alias("lines")))
+    def parted(each: Column, starts: Column) -> Column:
+        def opened(a: Column, b: Column) -> Column:
+            own, first = F.slice(each, a + 1, F.coalesce(b, F.size(each)) - a), F.get(each, a)
+            after = F.slice(each, a + 2, F.coalesce(b, F.size(each)) - a - 1)
+            return F.when(is_label(first), F.struct(first.alias("label"), after.alias("lines"))).otherwise(F.struct(F.lit(None).cast("string").alias("label"), own.alias("lines")))
 
-    sections = F.zip_with(starts, F.slice(starts, F.lit(2), F.size(starts)), opened).cast(section)
+        return F.zip_with(starts, F.slice(starts, F.lit(2), F.size(starts)), opened)
+
+    starts_of = lambda each: F.filter(F.transform(each, lambda line, k: F.when((k == 0) | is_label(line), k)), lambda k: k.isNotNull())
+    sections = let(each, lambda each: let(starts_of(each), lambda starts: parted(each, starts))).cast(section)
     whole = F.array(F.struct(F.lit(None).cast("string").alias("label"), F.array(text).alias("lines"))).cast(section)
     return F.when(col(c).isNotNull(), F.struct(none.alias("isNone"), F.when(F.size(sections) > 0, sections).otherwise(whole).alias("sections")))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it, also within lambdas."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def fold(c: Column | str) -> Column:
     """Full-width ASCII and the ideographic space to ASCII, A-Z to a-z, one to one; nothing else."""
     return F.translate(col(c), FOLD_FROM, FOLD_TO)
