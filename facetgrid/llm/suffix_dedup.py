@@ -475,7 +475,7 @@ def removed(docs: DataFrame, chunk_bytes: int | None = None, bucket_bytes: int =
             order = np.argsort(bucket, kind="stable")
             ordered = bucket[order]
             heads = np.nonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))[0].tolist() if len(ordered) else []
-            for begin, end in zip(heads, [*heads[1:], len(ordered)], strict=True):
+            for begin, end in zip(heads, [*heads, len(ordered)][1:], strict=True):
                 b = int(ordered[begin])
                 place = at[order[begin:end]].astype(np.int64)
                 doc = np.searchsorted(chunk.ends, place, "right")

@@ -737,6 +737,20 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in final} == kept
 
 
+def test_pipeline_odd_rows(spark):
+    """Nulls, empty texts, repeated rows, clashing names and empty tables go through every stage."""
+    words = " ".join(f"word{k}" for k in range(40))
+    odd = [(None, None, None), (None, words, None), (1, "", "en"), (1, "", "en"), (2, words, "en"), (2, words, "en"), (3, words + " more", "xx"), (4, "few words", "de"), (5, " ".join(f"other{k}" for k in range(30)), "en")]
+    docs = spark.createDataFrame(odd, "doc_id long, text string, lang string").selectExpr("*", "'s' as source", "length(text) as n_chars", "'a' as doc_key", "'b' as row_key", "'c' as n_words", "'d' as kept", "'e' as node")
+    for frame, want in ((docs, [{None, 2, 3, 5}, {2, 5}, {2, 5}, {2, 5}]), (docs.limit(0), [set()] * 4)):
+        for (_, stage), ids in zip(corpus_pipeline.STAGES[:-1], want, strict=True):
+            frame = stage(spark, frame, SF)
+            assert tuple(frame.columns) == corpus_pipeline.COLUMNS
+            assert {r["doc_id"] for r in frame.collect()} == ids
+        packed = corpus_pipeline.best_fit(spark, frame, SF).collect()
+        assert {r["doc_id"] for r in packed} == ids
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
