@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetgrid.llm import chat_format, decontaminate, html_extract, ngram_join, packing, quality, sharding, suffix_dedup, token_count, url_filter
+from facetgrid.llm import chat_format, collocations, decontaminate, html_extract, lexical_search, lz_fingerprint, ngram_join, packing, quality, sharding, suffix_dedup, token_count, url_filter
 from facetgrid.llm.common import materialize, table
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
@@ -90,6 +90,21 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, model).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest-scoring documents of each benchmark item."""
+    return lexical_search.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2000 best phrases of 2 to 5 words."""
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def op13_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of documents, held against half-replaced texts and next documents."""
+    return lz_fingerprint.edited_neighbours(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -101,6 +116,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_token_count": op9_token_count,
     "op10_url_filter": op10_url_filter,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_collocations": op12_collocations,
+    "op13_lz_fingerprint": op13_lz_fingerprint,
 }
 
 
@@ -115,7 +133,30 @@ def _escaped_extra() -> str:
 
 _T = chat_format.Template()
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_PIECES = r"string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')"
+_FLOOR = "(1000::hugeint * a * n) // (l::hugeint * r)"
 ORACLE = {
+    "op11_lexical_search": f"""
+with t as (select doc_id, {_WORDS} as w from documents), d as (select doc_id, w, len(w)::bigint as n from t where len(w) > 0),
+c as (select count(*)::bigint as docs, sum(n)::bigint as length from d),
+m as (select doc_id, 100 - 25 + (25 * n * docs) // length as m from d, c),
+p as (select doc_id, term, count(*)::bigint as tf from (select doc_id, unnest(w) as term from d) group by all),
+i as (select item_id, term, count(*)::bigint as times from (select item_id, unnest({_WORDS}) as term from benchmark) group by all),
+f as (select term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::bigint as weight from p, c where term in (select term from i) group by term, docs),
+s as (select item_id, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m)))::bigint as score from i join f using (term) join p using (term) join m using (doc_id) group by all)
+select item_id, rank, doc_id, score from (select *, (row_number() over (partition by item_id order by score desc, doc_id))::int as rank from s where score > 0) where rank <= 20""",
+    "op12_collocations": rf"""
+with p as (select coalesce(lang, 'und') as lang, unnest({_PIECES}) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^ 	]+') as w from p),
+g as (select lang, w[k:k + s - 1] as g from (select lang, w, s, unnest(range(1, len(w) - s + 2)) as k from w, range(1, 6) as sizes(s))),
+f as (select lang, g, count(*)::bigint as a from g group by all), t as (select lang, sum(a)::bigint as n from f where len(g) = 1 group by lang),
+c as (select * from f where len(g) > 1 and a >= 100),
+cuts as (select c.lang, c.g, c.a, n, k, x.a as l, y.a as r from (select *, unnest(range(1, len(g))) as k from c) c join t using (lang)
+  join f x on x.lang = c.lang and x.g = c.g[1:k] join f y on y.lang = c.lang and y.g = c.g[k + 1:len(c.g)]),
+best as (select *, ({_FLOOR})::bigint as score from cuts qualify row_number() over (partition by lang, g order by {_FLOOR}, k) = 1),
+inner_ as (select lang, g[k:k + s - 1] as g, max(a) as longer from (select *, unnest(range(1, len(g) - s + 2)) as k from c, range(2, 5) as sizes(s) where s < len(g)) group by all),
+ranked as (select lang, array_to_string(g, ' ') as phrase, a, l, r, n, score from best left join inner_ using (lang, g) where longer is null or longer < a)
+select lang, rank, phrase, a, l, r, n, score from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from ranked) where rank <= 2000""",
     "op2_suffix_dedup": """
 with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
 starts as (select doc_id, p, substr(h, 2 * p + 1, 100) as g from (select doc_id, h, unnest(range(0, len(h) // 2 - 49)) as p from d)),
