@@ -133,7 +133,7 @@ def _escaped_extra() -> str:
 
 _T = chat_format.Template()
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
-_PIECES = r"string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')"
+_PIECES = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^.,;:!?\x0A-\x0D]+')"
 _FLOOR = "(1000::hugeint * a * n) // (l::hugeint * r)"
 ORACLE = {
     "op11_lexical_search": f"""
@@ -147,15 +147,15 @@ s as (select item_id, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 *
 select item_id, rank, doc_id, score from (select *, (row_number() over (partition by item_id order by score desc, doc_id))::int as rank from s where score > 0) where rank <= 20""",
     "op12_collocations": rf"""
 with p as (select coalesce(lang, 'und') as lang, unnest({_PIECES}) as piece from documents),
-w as (select lang, regexp_extract_all(piece, '[^ 	]+') as w from p),
-g as (select lang, w[k:k + s - 1] as g from (select lang, w, s, unnest(range(1, len(w) - s + 2)) as k from w, range(1, 6) as sizes(s))),
-f as (select lang, g, count(*)::bigint as a from g group by all), t as (select lang, sum(a)::bigint as n from f where len(g) = 1 group by lang),
-c as (select * from f where len(g) > 1 and a >= 100),
-cuts as (select c.lang, c.g, c.a, n, k, x.a as l, y.a as r from (select *, unnest(range(1, len(g))) as k from c) c join t using (lang)
-  join f x on x.lang = c.lang and x.g = c.g[1:k] join f y on y.lang = c.lang and y.g = c.g[k + 1:len(c.g)]),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+g as (select lang, s, array_to_string(w[k:k + s - 1], ' ') as g from (select lang, w, s, unnest(range(1, len(w) - s + 2)) as k from w, range(1, 6) as sizes(s))),
+f as materialized (select lang, s, g, count(*)::bigint as a from g group by all), t as (select lang, sum(a)::bigint as n from f where s = 1 group by lang),
+c as materialized (select lang, g, a, s, string_split(g, ' ') as w from f where s > 1 and a >= 100),
+parts as (select lang, g, a, k, array_to_string(w[1:k], ' ') as first, array_to_string(w[k + 1:s], ' ') as rest from (select *, unnest(range(1, s)) as k from c)),
+cuts as (select parts.*, n, x.a as l, y.a as r from parts join t using (lang) join f x on x.lang = parts.lang and x.g = first join f y on y.lang = parts.lang and y.g = rest),
 best as (select *, ({_FLOOR})::bigint as score from cuts qualify row_number() over (partition by lang, g order by {_FLOOR}, k) = 1),
-inner_ as (select lang, g[k:k + s - 1] as g, max(a) as longer from (select *, unnest(range(1, len(g) - s + 2)) as k from c, range(2, 5) as sizes(s) where s < len(g)) group by all),
-ranked as (select lang, array_to_string(g, ' ') as phrase, a, l, r, n, score from best left join inner_ using (lang, g) where longer is null or longer < a)
+within as (select lang, array_to_string(w[k:k + size - 1], ' ') as g, max(a) as longer from (select *, unnest(range(1, s - size + 2)) as k from c, range(2, 5) as sizes(size) where size < s) group by all),
+ranked as (select lang, g as phrase, a, l, r, n, score from best left join within using (lang, g) where longer is null or longer < a)
 select lang, rank, phrase, a, l, r, n, score from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from ranked) where rank <= 2000""",
     "op2_suffix_dedup": """
 with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
