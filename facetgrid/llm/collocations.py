@@ -10,10 +10,13 @@ is counted for each language.  Documents are read five times, each time whole:
    a sketch only a bitmap of the cells with ``least`` or more stays, whose size
    is bounded by ``MOST_BITS``.  A cell's sum is never below a phrase's count.
 4. Phrases whose bounds, and those of all phrases in them, pass are candidates.
+   A share of the documents is read first; what it has is not named again by the
+   tasks that read the others, so few candidates are named more than once.
 5. Candidates, and the words they begin and end with, become Aho-Corasick
    automata of patterns with a delimiter on both sides, of ``PART_BYTES`` each;
    tasks scan their share of the texts for overlapping matches.  More candidates
-   make more automata and scans, each over the languages it has.
+   make more automata and scans, each over the languages it has.  Counts are
+   handed on in blocks as well, ``COUNTS`` phrases each.
 
 The counts are summed, and thresholds, scores and ranks are DataFrame operations
 on them.  Products are decimals of 38 digits, so scores are exact.
@@ -53,6 +56,8 @@ BLOCK = 1 << 16
 GATHERED, SLICE, KNOWN = 1 << 22, 2 << 20, 1 << 19
 #: Bytes of the patterns of one automaton, and phrases a task keeps apart before it hands them on.
 PART_BYTES, APART = 2 << 20, 1 << 18
+#: Phrases of a block of counts; one in so many documents is read first for candidates; hashes of candidates sent along.
+COUNTS, FIRST_SHARE, MOST_FOUND = 4096, 16, 1 << 22
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -231,37 +236,52 @@ def sketch(docs: DataFrame, lengths: range, below: list[Sketch], bits: int, leas
     return Sketch(lengths, bits, bitmap)
 
 
-def candidates(docs: DataFrame, sketches: list[Sketch], longest: int = LONGEST) -> DataFrame:
-    """(lang, phrase): all phrases whose upper bounds pass, and single words that these begin or end with."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketches)
+def candidates(docs: DataFrame, sketches: list[Sketch], longest: int = LONGEST, found: np.ndarray | None = None) -> DataFrame:
+    """(lang, phrase, h): all phrases whose upper bounds pass, with their hashes, and (h null) single words that these begin or end with.
+
+    ``found``: ascending hashes of phrases that need not be named again.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((sketches, np.zeros(0, dtype=np.uint64) if found is None else found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketches, known_before = shared.value
         known, met = WordHashes(), set()
 
         def rows() -> pa.RecordBatch:
-            langs, phrases = zip(*met, strict=True) if met else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([p.decode() for p in phrases], pa.string())], names=["lang", "phrase"])
+            langs, phrases, hashes = zip(*met, strict=True) if met else ((), (), ())
+            signed = pa.array([None if h is None else h - (h >> 63 << 64) for h in hashes], pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([p.decode() for p in phrases], pa.string()), signed], names=["lang", "phrase", "h"])
 
         seen: set[int] = set()  # hashes of phrases in ``met``
         for part in slices(_rows(batches)):
             phrases = Phrases(part, known, longest)
-            for k, good in phrases.passing(shared.value).items():
+            for k, good in phrases.passing(sketches).items():
                 if k == 1:
                     continue
                 hashes, first = np.unique(phrases.at[k][good], return_index=True)
-                at = np.flatnonzero(good)[first]
-                for h, i in zip(hashes.tolist(), at.tolist(), strict=True):
+                new = ~np.isin(hashes, known_before, assume_unique=True)
+                at = np.flatnonzero(good)[first[new]]
+                for h, i in zip(hashes[new].tolist(), at.tolist(), strict=True):
                     if h not in seen:
                         seen.add(h)
                         words = [part.words[p] for p in phrases.places[i : i + k]]
-                        met |= {(part.lang, b" ".join(words)), (part.lang, words[0]), (part.lang, words[-1])}
+                        met |= {(part.lang, b" ".join(words), h), (part.lang, words[0], None), (part.lang, words[-1], None)}
             if len(met) > APART:
                 yield rows()
                 met.clear()
                 seen.clear()
         yield rows()
 
-    return docs.mapInArrow(run, "lang string, phrase string").distinct()
+    return docs.mapInArrow(run, "lang string, phrase string, h long").distinct()
+
+
+def all_candidates(docs: DataFrame, sketches: list[Sketch], longest: int = LONGEST) -> DataFrame:
+    """(lang, phrase) of the candidates of all documents, each once."""
+    share = F.pmod(F.xxhash64("text"), F.lit(FIRST_SHARE))
+    first = materialize(candidates(docs.where(share == 0), sketches, longest), "phrases")
+    hashes = first.where(F.col("h").isNotNull()).select("h").limit(MOST_FOUND).toArrow().column(0).to_numpy()
+    rest = candidates(docs.where(share != 0), sketches, longest, np.sort(hashes.view(np.uint64)))
+    return first.unionByName(rest).select("lang", "phrase").distinct()
 
 
 def automaton(phrases: list[str]) -> ahocorasick.Automaton:
@@ -273,14 +293,18 @@ def automaton(phrases: list[str]) -> ahocorasick.Automaton:
     return made
 
 
+def _counts(lang: str, block: int, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([block], pa.int32()), pa.array([counts.astype("<i8").tobytes()], pa.binary())], names=["lang", "block", "counts"])
+
+
 def count(docs: DataFrame, phrases: dict[str, list[str]]) -> DataFrame:
-    """(lang, phrase, f): each task's counts of the phrases, by language, and with a null phrase those of all words."""
+    """(lang, phrase, f): counts of the phrases, by language, and with a null phrase those of all words."""
     shared = docs.sparkSession.sparkContext.broadcast(phrases)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = shared.value
         automata: dict[str, ahocorasick.Automaton] = {}
-        found: dict[str, Counter[int]] = defaultdict(Counter)
+        found: dict[str, np.ndarray] = {}
         words: Counter[str] = Counter()
         value, place = operator.itemgetter(1), operator.itemgetter(0)
         for part in slices(_rows(batches)):
@@ -290,17 +314,43 @@ def count(docs: DataFrame, phrases: dict[str, list[str]]) -> DataFrame:
                 continue
             if part.lang not in automata:
                 automata[part.lang] = automaton(lists[part.lang])
+                found[part.lang] = np.zeros(len(lists[part.lang]), dtype=np.int64)
             text = f" {b' '.join(there).decode()} "
             matches = automata[part.lang].iter(text)
             if part.carried:
                 old = len(b" ".join(there[: part.carried]).decode()) + 1  # the delimiter behind what was carried over
                 matches = (m for m in matches if place(m) > old)
-            found[part.lang].update(map(value, matches))
-        rows = [(lang, lists[lang][n], f) for lang, counts in found.items() for n, f in counts.items()] + [(lang, None, n) for lang, n in words.items()]
-        columns = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "phrase", "f"])
+            numbers = np.fromiter(map(value, matches), np.int64)
+            found[part.lang] += np.bincount(numbers, minlength=len(found[part.lang]))
+        for lang, counts in found.items():
+            for at in range(0, len(counts), COUNTS):
+                yield _counts(lang, at // COUNTS, counts[at : at + COUNTS])
+        for lang, n in words.items():
+            yield _counts(lang, -1, np.array([n]))
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = shared.value
+        now, sums = None, np.zeros(0, dtype=np.int64)
+
+        def full() -> pa.RecordBatch:
+            lang, block = now
+            names = [None] if block < 0 else lists[lang][block * COUNTS :][: len(sums)]
+            there = np.flatnonzero(sums)
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(there), pa.string()), pa.array([names[k] for k in there], pa.string()), pa.array(sums[there])], names=["lang", "phrase", "f"])
+
+        for batch in batches:
+            for lang, block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                more = np.frombuffer(counts.as_buffer(), "<i8")
+                if (lang, block) != now:
+                    if now is not None:
+                        yield full()
+                    now, sums = (lang, block), np.zeros(len(more), dtype=np.int64)
+                sums += more
+        if now is not None:
+            yield full()
 
-    return docs.mapInArrow(run, "lang string, phrase string, f long")
+    blocks = docs.mapInArrow(run, "lang string, block int, counts binary")
+    return blocks.repartition("lang", "block").sortWithinPartitions("lang", "block").mapInArrow(total, "lang string, phrase string, f long")
 
 
 def _automata(wanted: DataFrame, most: int) -> Iterator[dict[str, list[str]]]:
@@ -329,12 +379,12 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, b
     for lengths in (range(1, 2), range(2, 3), range(3, longest + 1)):
         if len(lengths):
             sketches.append(sketch(texts, lengths, sketches, bits, least))
-    wanted = materialize(candidates(texts, sketches, longest), "phrases")
+    wanted = materialize(all_candidates(texts, sketches, longest), "phrases")
     counted = []
     for n, part in enumerate(_automata(wanted, part_bytes)):
         some = texts if n == 0 else texts.where(F.col("lang").isin(list(part)))
         found = count(some, part).where(F.col("phrase").isNotNull() | F.lit(n == 0))
-        counted.append(materialize(found.groupBy("lang", "phrase").agg(F.sum("f").alias("f")), "counts"))
+        counted.append(materialize(found, "counts"))
     release(wanted)
     out = counted[0]
     for more in counted[1:]:
