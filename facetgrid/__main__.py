@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from facetgrid.operators.detail import enrich
-from facetgrid.plans.convert import convert, document
+from facetgrid.plans.convert import convert, document_parts
 from facetgrid.sources import ingest, sample, sinks
 
 
@@ -30,7 +30,9 @@ def run_convert(args: argparse.Namespace) -> int:
     details = enrich(ingest.read_details(spark, args.details_dir)) if args.details_dir else None
     now = args.generated_at or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     if not args.output:
-        print(document(data, now, details).first()["json"])
+        for row in document_parts(data, now, details).orderBy("part").toLocalIterator():
+            print(row["text"], end="")
+        print()
         return 0
     sinks.write_dataset(data, args.output, now, details, args.compact)
     sinks.write_index(data, str(Path(args.output).with_name("search.idx")), details, binary=True)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from facetgrid.functions.text import none_if_blank, or_other, utrim, weekday_index
 from facetgrid.operators import dictionaries as dic
-from facetgrid.operators.bitmaps import bitmap_rows, to_base64
+from facetgrid.operators import containers
+from facetgrid.operators.bitmaps import bitmap_rows
 from facetgrid.operators.dictionaries import small_side
 from facetgrid.operators.grid import year_long_rows
 from facetgrid.operators.slots import YEAR_LONG, good_slots, parse_slots, warnings_of
@@ -157,19 +158,22 @@ def search_fields(courses: DataFrame, details: DataFrame | None = None) -> DataF
 
 
 def wire_bitmaps(members: DataFrame, n: int) -> DataFrame:
-    """(facet, value, wire) of a catalogue of ``n`` rows, one bitmap bucket at most."""
-    parts = []
-    for facet in ("semester", "department", "campus"):
-        rows = bitmap_rows(members.where(F.col("facet") == facet), "value", "idx")
-        parts.append(rows.select(F.lit(facet).alias("facet"), "value", to_base64(F.col("bits"), n).alias("wire")))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """(facet, value, wire) of a catalogue of ``n`` rows."""
+    keyed = members.select(F.struct("facet", "value").alias("of"), "idx")
+    rows = bitmap_rows(keyed, "of", "idx").select("value.facet", F.col("value.value").alias("value"), "bucket", "bits")
+    return containers.wire(rows, n, "facet", "value")
 
 
-def document(data: Dataset, generated_at: str, details: DataFrame | None = None) -> DataFrame:
-    """One row, one column ``json``: the dataset document, safe to stand in HTML.
+#: Courses of one part of a document.
+PART_ROWS = 4096
+
+
+def document_parts(data: Dataset, generated_at: str, details: DataFrame | None = None, part_rows: int = PART_ROWS) -> DataFrame:
+    """(part, text): the dataset document in pieces, safe to stand in HTML; in the order of ``part`` they are the document.
 
-    The document is one value by nature; catalogues that outgrow it are kept as
-    the frames themselves, written as Parquet.
+    Part 0 is the head with dictionaries and indices, the last one the tail;
+    between them each part has the courses of
+    ``part_rows`` positions, made by one task.  No part has all courses.
     """
     def ordered(df: DataFrame, order: str, value: Column) -> DataFrame:
         return df.agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), value.alias("v")))), lambda x: x["v"]).alias("l"))
@@ -180,18 +184,28 @@ def document(data: Dataset, generated_at: str, details: DataFrame | None = None)
     wire = F.struct("cd", "nm", "sub", "prof", "raw", "slots", "ki", "kbn", "dept", "campus", "gaku", "gakka", "nen", "bunrui", "bunya", "pat", "unit", "dm", "ev")
     n = data.courses.count()
     maps = wire_bitmaps(data.members, n)
-    out = data.facts
+    head = data.facts
     for name, entries in data.dictionaries.items():
-        out = out.join(ordered(entries, "idx", F.col("label")).withColumnRenamed("l", f"d_{name}"), how="cross")
+        head = head.join(ordered(entries, "idx", F.col("label")).withColumnRenamed("l", f"d_{name}"), how="cross")
     for facet in ("semester", "department", "campus"):
-        out = out.join(ordered(maps.where(F.col("facet") == facet), "value", F.col("wire")).withColumnRenamed("l", f"i_{facet}"), how="cross")
-    out = out.join(ordered(courses, "idx", wire).withColumnRenamed("l", "courses"), how="cross")
-    whole = F.struct(
+        head = head.join(ordered(maps.where(F.col("facet") == facet), "value", F.col("wire")).withColumnRenamed("l", f"i_{facet}"), how="cross")
+    opening = F.to_json(F.struct(
         F.lit(3).alias("version"), F.lit(generated_at).alias("generatedAt"), "year", "totalRaw",
         F.struct(*[F.col(f"d_{k}").alias(k) for k in ("semesters", "departments", "campuses", "kubun", "kaikojiki")]).alias("dicts"),
-        F.struct(*[F.col(f"i_{k}").alias(k) for k in ("semester", "department", "campus")]).alias("indices"), "courses",
-    )
-    return out.select(html_safe(F.to_json(whole)).alias("json"))
+        F.struct(*[F.col(f"i_{k}").alias(k) for k in ("semester", "department", "campus")]).alias("indices"),
+    ))
+    opening = head.select(F.lit(0).alias("part"), F.concat(F.rtrim(opening, F.lit("}")), F.lit("}"), F.lit(',"courses":[')).alias("text"))
+    of = (F.floor(F.col("idx") / part_rows) + 1).cast("int").alias("part")
+    lists = courses.select(of, F.struct("idx", F.to_json(wire).alias("json")).alias("c")).groupBy("part").agg(F.array_sort(F.collect_list("c")).alias("l"))
+    body = lists.select("part", F.concat(F.when(F.col("part") > 1, ",").otherwise(""), F.array_join(F.transform("l", lambda c: c["json"]), ",")).alias("text"))
+    tail = data.courses.sparkSession.range(1).select(F.lit(n // part_rows + 2).alias("part"), F.lit("]}").alias("text"))
+    return opening.unionByName(body).unionByName(tail).select("part", html_safe(F.col("text")).alias("text"))
+
+
+def document(data: Dataset, generated_at: str, details: DataFrame | None = None) -> DataFrame:
+    """One row, one column ``json``: the whole document, for catalogues that fit one value; others are written in parts."""
+    parts = document_parts(data, generated_at, details)
+    return parts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda p: p["text"]), "").alias("json"))
 
 
 def html_safe(json: Column) -> Column:

@@ -11,6 +11,7 @@ from facetgrid.functions.text import haystack, parse_credits
 from facetgrid.operators import grid as g
 from facetgrid.operators import search as s
 from facetgrid.operators.dictionaries import TERMS, known_order, small_side
+from facetgrid.operators.gram_index import GramIndex
 from facetgrid.operators.slots import YEAR_LONG
 from facetgrid.operators.tallies import credit_axes
 from facetgrid.plans.convert import Dataset
@@ -39,6 +40,7 @@ class Engine:
     def __init__(self, data: Dataset, index: DataFrame | None = None) -> None:
         self.data = data
         self.index = index
+        self.grams: GramIndex | None = None
         c = F.col
         text = haystack(c("nm"), c("sub"), c("prof"), c("cd"), c("department"), *[F.coalesce(c(x), F.lit("")) for x in ("bunya", "bunrui")])
         self.courses = data.courses.withColumn("haystack", text)
@@ -47,6 +49,10 @@ class Engine:
         """Searches are ranked from now on."""
         self.index = index
 
+    def load_grams(self, grams: GramIndex) -> None:
+        """Searches are ranked from postings from now on; texts are not read."""
+        self.grams = grams
+
     @property
     def dicts(self) -> dict[str, DataFrame]:
         return self.data.dictionaries
@@ -77,6 +83,9 @@ class Engine:
         """(idx, score, spans); without a query all candidates, without an index the filter's rows, both unranked."""
         if not f.query:
             return s.unranked(self.candidates(f))
+        if self.grams is not None:
+            found = self.grams.ranked(self.data.courses.sparkSession, f.query)
+            return found.join(self.candidates(f).select("idx"), "idx", "left_semi")
         if self.index is None:
             return s.unranked(self.candidates(f).where(s.contains_literal(F.col("haystack"), f.query)))
         return s.ranked(self.index.join(self.candidates(f).select("idx"), "idx", "left_semi"), f.query)
