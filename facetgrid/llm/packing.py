@@ -153,8 +153,8 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str | bytes, size: int = SIZE, e
                 chunks = set().union(*split)
                 known.learn(chunks)
                 doc, piece, start, length, ids = [], [], [], [], []
-                for doc_id, chunks in zip(batch.column(0).to_pylist(), split, strict=True):
-                    own = b"".join(map(known.__getitem__, chunks)) + tail
+                for doc_id, row in zip(batch.column(0).to_pylist(), split, strict=True):
+                    own = b"".join(map(known.__getitem__, row)) + tail
                     for k in range(0, len(own), width):
                         part = own[k : k + width]
                         doc.append(doc_id)

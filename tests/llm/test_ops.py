@@ -612,6 +612,22 @@ def check_sequences(packed):
     return len(by_sequence)
 
 
+def test_long_chunks_are_not_kept(spark):
+    """What a worker keeps from task to task has no chunk above the limit, whichever document it came from."""
+    docs = [(k, " ".join(f"{k}x{n}" + "ab" * 1000 for n in range(100)) + " tail") for k in range(100)] + [(100, "last one")]
+    pieces = packing.tokenize_pieces(spark.createDataFrame(docs, DOC).coalesce(1), public_tokenizers.path("word_bpe_49k.json"))
+    assert pieces.select("doc_id").distinct().count() == 101
+
+    def longest(_):
+        from facetgrid.llm import packing as there
+
+        sizes = [max(map(len, known), default=0) for known in there._KNOWN.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64())], names=["n"])
+
+    found = [r["n"] for r in spark.range(64, numPartitions=16).mapInArrow(longest, "n long").collect()]
+    assert found and max(found) <= packing.CACHED_CHUNK
+
+
 def test_packing_is_tight(spark):
     packed = queries.op8_packing(spark, "/root/testdata/sf0.1").collect()
     assert check_sequences(packed) <= 1.01 * sum(r["length"] for r in packed) / 2048
