@@ -32,8 +32,8 @@ from facetgrid.operators.search import FIELDS, SPANS, WEIGHTS
 
 PARTS = 64
 SLICE = 1 << 20
-#: Ends a text, so that its last character begins a bigram too; no gram stores it.
-END = 0
+#: Ends a text, so that its last character begins a bigram too; no character has this code, and no gram stores it.
+END = 0x110000
 
 
 def utf16_len(text: str) -> int:
@@ -44,13 +44,13 @@ def part_of(gram: Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(parts)).cast("int")
 
 
-def _grams(texts: list[str], starts: list[int], ends: list[bool], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _grams(texts: list[str], starts: list[int], ends: list[bool], size: int) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
     """Of texts (or slices): for each text and distinct gram its text and string, bounds of the positions, and all positions.
 
     ``starts``: the position of a slice in its text.  A slice that does not end
-    its text has two characters of the next one, whose grams the next one gives.
+    its text has up to two characters of the next one, which gives their grams.
     """
-    codes = np.frombuffer((chr(END) * 2).join([*texts, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    codes = np.frombuffer("  ".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     lengths = np.array([len(t) for t in texts])
     firsts = np.cumsum(lengths + 2) - (lengths + 2)
     wide = np.concatenate([[0], np.cumsum(1 + (codes > 0xFFFF))])
@@ -58,9 +58,11 @@ def _grams(texts: list[str], starts: list[int], ends: list[bool], size: int) ->
     at = np.arange(len(text)) + 2 * text  # places in ``codes`` of all but what ends a text
     own = at - firsts[text]
     last = np.array(ends)
-    keep = own < np.where(last, lengths if size == 2 else lengths - 2, lengths - 2)[text]
+    own_length = np.where(last, lengths, SLICE)
+    keep = own < (own_length if size == 2 else np.minimum(own_length, lengths - 2))[text]
     text, at = text[keep], at[keep]
     padded = codes.astype(np.int64)
+    padded[np.concatenate([firsts + lengths, firsts + lengths + 1])] = END
     packed = np.zeros(len(at), dtype=np.int64)
     for k in range(size):
         packed = packed << 21 | padded[at + k]
@@ -69,8 +71,13 @@ def _grams(texts: list[str], starts: list[int], ends: list[bool], size: int) ->
     heads = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (packed[1:] != packed[:-1])]) if len(at) else np.zeros(0, dtype=bool))
     positions = (wide[at] - wide[firsts[text]] + np.array(starts)[text]).astype(np.int32)
     distinct = packed[heads]
-    letters = np.stack([(distinct >> (21 * (size - 1 - k)) & 0x1FFFFF).astype(np.uint32) for k in range(size)], axis=1)
-    return text[heads], np.ascontiguousarray(letters).view(f"<U{size}").ravel(), np.append(heads, len(at)), positions
+    letters = np.stack([distinct >> (21 * (size - 1 - k)) & 0x1FFFFF for k in range(size)], axis=1)
+    ended = letters[:, -1] == END
+    flat = np.where(letters == END, 0, letters).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    grams = [flat[k : k + size] for k in range(0, len(flat), size)]
+    for k in np.flatnonzero(ended).tolist():
+        grams[k] = grams[k][:-1]
+    return text[heads], grams, np.append(heads, len(at)), positions
 
 
 def _slices(texts: list[str]) -> Iterator[tuple[list[int], list[str], list[int], list[bool]]]:
@@ -105,7 +112,7 @@ def postings(df: DataFrame, key: str, fields: Mapping[str, Column]) -> DataFrame
                     at = pa.array(np.array(rows)[of])
                     lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(places, pa.int32()))
                     sizes = pa.array(np.full(len(grams), size, dtype=np.int32))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), sizes, pa.array(grams.tolist(), pa.string()), lists], names=out.names)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), sizes, pa.array(grams, pa.string()), lists], names=out.names)
 
     return folded.mapInArrow(run, out)
 

@@ -16,16 +16,18 @@ from facetgrid.catalogue import _BASE as BASE
 from facetgrid.catalogue import _CELL as CELL
 from facetgrid.catalogue import _score as score_sql
 from facetgrid.functions.text import fold_text
-from facetgrid.operators import bitmaps, containers, gram_index, search
+from facetgrid.operators import bitmaps, containers, gram_index, page_tree, search
 from facetgrid.plans import convert as c
 from facetgrid.plans.engine import Engine
 from facetgrid.queries import _corpus as corpus
 from facetgrid.queries import _count as count_sql
 from facetgrid.queries import _fold as fold_sql
 from facetgrid.queries import _sql as quoted_sql
+from facetgrid.queries import _PLAIN as PLAIN
 from facetgrid.queries import query, table
 from facetgrid.sources import index_codec, ingest, lookup, sinks
 from facetgrid.sources.shared import new_path
+from facetgrid.streaming import crawl
 
 
 def union(frames: list[DataFrame]) -> DataFrame:
@@ -212,3 +214,54 @@ def page_files(spark, sf):
     sinks.write_pages(later.select("name", "content"), folder, keep="own.*")
     read = spark.read.format("binaryFile").load(folder)
     return read.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.decode("content", "UTF-8").alias("content"))
+
+
+# --- page trees ---
+
+_MARKUP = "regexp_replace(html, '(?is)<!--.*?-->|(<script\\b[^>]*>).*?</script\\s*>|(<style\\b[^>]*>).*?</style\\s*>', '\\1\\2', 'g')"
+
+
+@query(f"select page_id, name, count(*)::bigint as n from (select page_id, unnest(regexp_extract_all({_MARKUP}, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) as name from pages) group by all")
+def page_elements(spark, sf):
+    """Elements of each page, by a table function joined laterally in SQL."""
+    page_tree.register(spark)
+    sql = "select p.page_id, n.name, count(*) as n from {pages} p, lateral page_nodes(p.html) n where n.name is not null group by p.page_id, n.name"
+    return spark.sql(sql, pages=table(spark, sf, "pages"))
+
+
+@query(f"""with l as (select page_id, regexp_replace(regexp_replace(x, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g') as text, n from (select page_id, unnest(string_split({PLAIN}, chr(10))) as x, generate_subscripts(string_split({PLAIN}, chr(10)), 1) as n from pages))
+select page_id, (row_number() over (partition by page_id order by n) - 1)::int as line, text from l where text <> ''""")
+def page_lines(spark, sf):
+    """Lines of each page's text from its tree."""
+    page_tree.register(spark)
+    return spark.sql("select p.page_id, l.line, l.text from {pages} p, lateral page_lines(p.html) l", pages=table(spark, sf, "pages"))
+
+
+# --- streams ---
+
+
+@query("""
+with o as (select user_id, event_id, case event_type when 'error' then 403 when 'click' then 404 end as status, event_id % 13 = 0 as fatal from events),
+r as (select *, sum(coalesce(status = 403, false)::int) over (partition by user_id order by event_id rows between 1 preceding and current row) as run from o),
+t as (select *, coalesce(max((run = 2)::int) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding), 0) as over from r)
+select user_id, count(*) filter (where status is null and not fatal) as fetched, count(*) filter (where status is not null or fatal) as skipped, count(*) filter (where fatal) as no_detail, bool_or(run = 2) as aborted, coalesce(min(event_id) filter (where run = 2), -1) as tripped_at
+from t where over = 0 group by user_id""")
+def crawl_stream(spark, sf):
+    """The breaker and the report of each run as a stream of micro-batches."""
+    kind = F.expr("case event_type when 'error' then 403 when 'click' then 404 end")
+    rows = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("run"), F.col("event_id").alias("at"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("status"), F.concat(F.lit("HTTP "), kind.cast("string")).alias("reason"), (F.col("event_id") % 13 == 0).alias("fatal"))
+    source, target = new_path(spark, "outcomes"), new_path(spark, "reports")
+    low, high = rows.agg(F.min("at"), F.max("at")).first()
+    third = (high - low) // 3 + 1
+    for k in range(3):  # three batches, one after another
+        rows.where(F.col("at").between(low + k * third, low + (k + 1) * third - 1)).coalesce(1).write.mode("append").parquet(source)
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(crawl.OUTCOME).option("maxFilesPerTrigger", 1).parquet(source)
+        crawl.start_reports(stream, target, new_path(spark, "checkpoint"), n=2, quiet="3650 days").awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    found = crawl.latest(spark, target)
+    return found.select(F.col("run").cast("bigint").alias("user_id"), "fetched", "skipped", "no_detail", "aborted", F.coalesce("tripped_at", F.lit(-1)).alias("tripped_at"))
