@@ -40,7 +40,7 @@ WANTED = (
     "fishing hiking camping family children parent wedding holiday christmas market finance insurance property "
     "house furniture carpentry fashion clothing shoes jewelry letter calendar archive foundation charity church "
     "temple heritage culture tradition festival community forum wiki encyclopedia dictionary translation other "
-    "north south east west thing there nation information standard"
+    "north south east west"
 ).split()
 #: What both kinds of names are compounded with, and how URLs look around them.
 SECOND = ("online", "best", "daily", "world", "center", "club")
