@@ -59,7 +59,7 @@ from facetgrid.llm.url_filter import split_url
 #: Element kinds.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html li listing main menu nav ol p pre section summary table tbody td tfoot th thead tr ul select option button label textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|iframe|object|svg|title|textarea|canvas|math|noframes|xmp"
+RAW = "script|style|noscript|template|iframe|object|title|textarea|canvas|noframes"
 BOILER_TAGS = frozenset("head nav header footer aside form menu button select option label fieldset dialog textarea".split())
 BOILER_WORDS = frozenset("ad ads advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion cookie cookies consent notice notices gdpr popup modal comment comments reply replies discussion disqus sidebar menu nav navbar navigation breadcrumb breadcrumbs header masthead footer share sharing social related newsletter subscribe subscription login signup pagination pager widget".split())
 #: Words that name parts of texts as well: within a main region they need the host's support.

@@ -309,6 +309,11 @@ def test_main_text():
     assert html_extract.main_text("<article><p>cut of", None) == "cut of" and html_extract.main_text('<article><p>a</p><p class="x', None) == "a"
 
 
+def test_formulas_and_drawings_keep_their_text():
+    html = "<html><body><article><p>E = <math><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math> done <svg><title>icon</title><text>drawn</text></svg></p><xmp>as it stands</xmp></article></body></html>"
+    assert html_extract.main_text(html, None) == "E = mc2 done drawn as it stands"
+
+
 def test_wrappers_drop_what_all_pages_share():
     make = lambda text: page(f"<div class=top><p>Welcome to our site</p></div><div class=body><p>{text}</p><p>more of {text}</p></div>")
     pages = [make(t) for t in ("one", "two", "three")]
