@@ -21,6 +21,8 @@ from facetgrid.sources import ingest, sample
 #: Timetables by kind.
 TIMETABLES = ("", "1学期: 月曜日１時限", "2学期: 火曜日２時限,2学期: 水曜日３時限", "通年: 木曜日４時限", "1学期: 集中講義", "1学期: 金曜日５時限, 集中, 2学期: 日曜日１時限")
 RECORDS_PER_FILE = 500
+#: Courses of a cell that a grid shows at once, the best ones.
+PAGE = 50
 
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -196,10 +198,10 @@ def engine_filter(spark, sf):
 
 @query(f"""{_BASE}, hits as (select idx from courses where {_TERM} and contains({_HAY}, 'ring')),
 placed as (select distinct day, period, idx from slots join hits using (idx) where term in ('1学期', '通年') and {_CELL})
-select day, period, string_agg(idx::varchar, ',' order by idx) as ids from placed group by all""")
+select day, period, string_agg(idx::varchar, ',' order by idx) as ids from (select *, row_number() over (partition by day, period order by idx) as nth from placed) where nth <= {PAGE} group by all""")
 def engine_query(spark, sf):
-    """Cells of a query without an index."""
-    found = engine(spark, sf).query(term="1学期", query="ring")
+    """Cells of a query without an index, a page of each."""
+    found = engine(spark, sf).query(term="1学期", query="ring", page=PAGE)
     return found.cells.select("day", "period", _ids())
 
 
@@ -217,10 +219,10 @@ def _score(q: str) -> str:
 
 @query(f"""{_BASE}, scored as (select idx, {_score('r')} as score from courses), hits as (select * from scored where score > 0),
 placed as (select distinct day, period, idx, score from slots join hits using (idx) where {_CELL})
-select day, period, string_agg(idx::varchar, ',' order by score desc, idx) as ids from placed group by all""")
+select day, period, string_agg(idx::varchar, ',' order by score desc, idx) as ids from (select *, row_number() over (partition by day, period order by score desc, idx) as nth from placed) where nth <= {PAGE} group by all""")
 def engine_ranked(spark, sf):
-    """Cells best first once an index is loaded."""
-    return engine(spark, sf, indexed=True).query(query="R").cells.select("day", "period", _ids())
+    """Cells best first once an index is loaded, a page of each."""
+    return engine(spark, sf, indexed=True).query(query="R", page=PAGE).cells.select("day", "period", _ids())
 
 
 @query(f"{_BASE} select cd, (length({fold_sql('p_name')}) - length(replace({fold_sql('p_name')}, 'ring', ''))) // 4 as spans from courses where contains({fold_sql('p_name')}, 'ring')")
@@ -248,12 +250,13 @@ def engine_plan_grid(spark, sf):
 
 @query(f"""{_BASE}, placed as (select distinct day, period, idx from slots join courses using (idx) where dept = 0 and term in ('1学期', '通年') and {_CELL})
 select d::int as day, p::int as period, coalesce(string_agg(idx::varchar, ',' order by idx), '') as ids
-from (select unnest(range(0, 5)) as d) a cross join (select unnest(range(1, 7)) as p) b left join placed on day = d and period = p group by all""")
+from (select unnest(range(0, 5)) as d) a cross join (select unnest(range(1, 7)) as p) b
+left join (select * from (select *, row_number() over (partition by day, period order by idx) as nth from placed) where nth <= {PAGE}) on day = d and period = p group by all""")
 def engine_client_grid(spark, sf):
-    """Filter and full grid in one."""
+    """Filter and full grid in one, a page of each cell."""
     made = engine(spark, sf)
     label = made.dicts["departments"].where("idx = 0").first()["label"]
-    return made.filter_and_grid(days=5, term="1学期", department=label).cells.select("day", "period", _ids())
+    return made.filter_and_grid(days=5, term="1学期", department=label, page=PAGE).cells.select("day", "period", _ids())
 
 
 @query(f"""{_BASE}, own as (select idx, term, day, period from slots join courses using (idx) where courses.p < 60 and {_CELL}), t as (select distinct term from own where term <> '通年'),

@@ -161,14 +161,12 @@ def teacher_split(spark, sf):
     return table(spark, sf, "part").select("p_partkey", found["rep"].alias("rep"), _list(found["others"]).alias("others"), present.instructor_short(F.concat_ws(",", "p_name", F.lit(" "), "p_type")).alias("short"))
 
 
-@query("select p_partkey, 'see |' || case when p_size % 2 = 0 then '<12345>| and 5432100 or ' else '12345 and 5432100 or ' end || p_brand as parts, p_size % 3 = 0 as related from part")
+@query("select p_partkey, case when p_size % 2 = 0 then 'see |<12345>| and 5432100 or ' else 'see 12345 and 5432100 or ' end || p_brand as parts, p_size % 3 = 0 as related from part")
 def related_parts(spark, sf):
     """Known codes within a text that it tiles."""
     known = F.when(F.col("p_size") % 2 == 0, F.array(F.lit("12345"))).otherwise(F.array().cast("array<string>"))
     parts = present.related_parts(F.concat(F.lit("see 12345 and 5432100 or "), "p_brand"), known)
     shown = F.array_join(F.transform(parts, lambda p: F.when(p["code"].isNotNull(), F.concat(F.lit("<"), p["text"], F.lit(">"))).otherwise(p["text"])), "|")
-    # Where no code is known the whole text is one part.
-    shown = F.when(F.col("p_size") % 2 == 0, shown).otherwise(F.concat(F.lit("see |"), F.substring(shown, 5, 1000)))
     return table(spark, sf, "part").select("p_partkey", shown.alias("parts"), present.is_related_label(F.when(F.col("p_size") % 3 == 0, "関連科目（1）").otherwise("備考")).alias("related"))
 
 
@@ -211,12 +209,12 @@ def facet_line(spark, sf):
     return table(spark, sf, "part").select("p_partkey", line.alias("line"))
 
 
-@query("select c_custkey, c_name || '|x' as added, case when c_custkey % 2 = 0 then 'x' else c_name || '|x' end as toggled, c_name as kept from customer")
+@query("select c_custkey, c_name || '|x' as added, case when c_custkey % 2 = 0 then 'x' else c_name || '|x|y' end as toggled, c_name as kept from customer")
 def plan_store(spark, sf):
     """A plan's codes: added once, toggled."""
     one, x = F.array("c_name"), F.lit("x")
     toggled = present.plan_toggle(F.array("c_name", x), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise("y"))
-    return table(spark, sf, "customer").select("c_custkey", _list(present.plan_add(one, x)).alias("added"), F.when(F.col("c_custkey") % 2 == 0, _list(toggled)).otherwise(F.replace(_list(toggled), F.lit("|y"), F.lit(""))).alias("toggled"), _list(present.plan_add(one, F.col("c_name"))).alias("kept"))
+    return table(spark, sf, "customer").select("c_custkey", _list(present.plan_add(one, x)).alias("added"), _list(toggled).alias("toggled"), _list(present.plan_add(one, F.col("c_name"))).alias("kept"))
 
 
 # --- grids and tallies ---

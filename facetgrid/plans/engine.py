@@ -93,25 +93,26 @@ class Engine:
     def _slots_of(self, rows: DataFrame) -> DataFrame:
         return self.data.slots.join(rows, "idx")
 
-    def grid(self, indices: DataFrame, term: str | None = None) -> DataFrame:
-        """Cells of courses (idx[, rank]); an unknown term does not filter."""
+    def grid(self, indices: DataFrame, term: str | None = None, page: int | None = None) -> DataFrame:
+        """Cells of courses (idx[, rank]), the first ``page`` of each if given; an unknown term does not filter."""
         term = term if self._term_is_known(term) else None
-        return g.build_grid(self._slots_of(indices), term, rank="rank" if "rank" in indices.columns else None)
+        return g.build_grid(self._slots_of(indices), term, rank="rank" if "rank" in indices.columns else None, page=page)
 
-    def search_grid(self, hits: DataFrame, term: str | None = None) -> DataFrame:
+    def search_grid(self, hits: DataFrame, term: str | None = None, page: int | None = None) -> DataFrame:
         """Cells best first: the rank is the score, then the position."""
         ranked = hits.select("idx", F.struct((-F.col("score")).alias("s"), "idx").alias("rank"))
-        return self.grid(ranked, term)
+        return self.grid(ranked, term, page)
 
-    def query(self, term: str = "all", department: str = "all", campus: str = "all", query: str = "") -> QueryResult:
+    def query(self, term: str = "all", department: str = "all", campus: str = "all", query: str = "", page: int | None = None) -> QueryResult:
+        """``page``: at most so many courses of a cell, the best; catalogues that no list can hold are asked with one."""
         f = Filters(s.chosen(term), s.chosen(department), s.chosen(campus), query)
         hits = self.search(f)
         known = f.term if self._term_is_known(f.term) else None
         rows = g.placed(self._slots_of(hits.select("idx")), known)
         names = s.name_spans(hits).join(self.data.courses.select("idx", "cd"), "idx").select("cd", "name_spans")
-        return QueryResult(self.search_grid(hits, f.term), g.unique_count(rows), names)
+        return QueryResult(self.search_grid(hits, f.term, page), g.unique_count(rows), names)
 
-    def filter_and_grid(self, days: int = 6, **facets: str) -> QueryResult:
+    def filter_and_grid(self, days: int = 6, **facets: str | int) -> QueryResult:
         """``query`` with every cell present."""
         found = self.query(**facets)
         return QueryResult(g.densify(found.cells, days), found.count, found.highlights)

@@ -186,15 +186,16 @@ def bitmap_wire(spark, sf):
     return bitmaps.explode_positions(wire.select("value", "bucket", bitmaps.from_base64(F.col("wire")).alias("bits")), "value")
 
 
-@query("select a.lang as value, d.doc_id, d.lang = a.lang as member from documents d cross join (select distinct lang from documents) a where d.doc_id % 3 = 0 or d.lang = a.lang")
+@query("select a.lang as value, d.doc_id, d.lang = a.lang as member from documents d cross join (select distinct lang from documents) a")
 def bitmap_has(spark, sf):
-    """Membership of documents in the bitmap of every language, theirs and others."""
+    """Membership of every document in the bitmap of every language, theirs and others."""
     docs = table(spark, sf, "documents").select("doc_id", "lang")
     rows = bitmaps.bitmap_rows(docs, "lang", "doc_id")
-    at = docs.withColumn("bucket", F.bitmap_bucket_number(F.col("doc_id") + 1))
-    read = at.join(F.broadcast(rows), "bucket")  # a few languages: as many rows for each bucket
-    found = read.select("value", "doc_id", "lang", bitmaps.has(F.col("bits"), F.pmod("doc_id", F.lit(bitmaps.BUCKET))).alias("member"))
-    return found.where("doc_id % 3 = 0 or lang = value").select("value", "doc_id", "member")
+    values = dictionaries.small_side(docs.select(F.col("lang").alias("value")).distinct())
+    at = docs.select("doc_id", F.bitmap_bucket_number(F.col("doc_id") + 1).alias("bucket")).join(values, how="cross")
+    # A value with nothing in a bucket has no row there.
+    read = at.join(dictionaries.small_side(rows), ["bucket", "value"], "left")
+    return read.select("value", "doc_id", F.coalesce(bitmaps.has(F.col("bits"), F.pmod("doc_id", F.lit(bitmaps.BUCKET))), F.lit(False)).alias("member"))
 
 
 @query("select distinct conv_id, first_value(role) over w as role, first_value(text) over w as text from conversations window w as (partition by conv_id order by turn)")
@@ -510,10 +511,10 @@ def lenient_json(spark, sf):
 
 @query("select (event_id % 50 <> 0) as valid, count(*)::bigint as n from events group by all")
 def bad_record_split(spark, sf):
-    """Each user's events as one document, where some records are no objects."""
-    e = table(spark, sf, "events").select("user_id", F.when(F.col("event_id") % 50 == 0, "17").otherwise(F.col("props")).alias("p"))
-    # A user is a file here; the files of a hot user would be pages of a bounded size.
-    docs = e.groupBy(F.col("user_id").cast("int").alias("file_ord")).agg(F.concat(F.lit('{"selectKogiDtoList":['), F.array_join(F.collect_list("p"), ","), F.lit("]}")).alias("text"))
+    """Each user's events as documents, where some records are no objects."""
+    e = table(spark, sf, "events").select("user_id", F.expr("event_id div 1000").alias("page"), F.when(F.col("event_id") % 50 == 0, "17").otherwise(F.col("props")).alias("p"))
+    # A document has a user's events among a thousand, so a hot user has many documents and no large one.
+    docs = e.groupBy(F.col("user_id").cast("int").alias("file_ord"), "page").agg(F.concat(F.lit('{"selectKogiDtoList":['), F.array_join(F.collect_list("p"), ","), F.lit("]}")).alias("text"))
     return ingest.parse_documents(docs).groupBy("valid").agg(F.count("*").alias("n"))
 
 

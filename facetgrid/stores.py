@@ -72,14 +72,14 @@ def indexed_spans(spark, sf):
 
 @query(f"""{BASE}, scored as (select idx, {score_sql('ring')} as score from courses where term_label is not null), hits as (select * from scored where score > 0),
 placed as (select distinct day, period, idx, score from slots join hits using (idx) where {CELL})
-select day, period, string_agg(idx::varchar, ',' order by score desc, idx) as ids from placed group by all""")
+select day, period, string_agg(idx::varchar, ',' order by score desc, idx) as ids from (select *, row_number() over (partition by day, period order by score desc, idx) as nth from placed) where nth <= {catalogue.PAGE} group by all""")
 def engine_grams(spark, sf):
     """The façade over postings: cells best first."""
     data = catalogue.dataset(spark, sf)
     engine = Engine(data)
     engine.load_grams(gram_index.write(c.search_fields(data.courses), new_path(spark, "grams"), "idx", {f: F.col(f) for f in search.FIELDS}))
     ids = F.array_join(F.transform("courses", lambda x: x.cast("string")), ",").alias("ids")
-    return engine.query(query="ＲＩＮＧ").cells.select("day", "period", ids)
+    return engine.query(query="ＲＩＮＧ", page=catalogue.PAGE).cells.select("day", "period", ids)
 
 
 # --- bitmaps of any number of positions ---
