@@ -25,7 +25,7 @@ from facetgrid.queries import _fold as fold_sql
 from facetgrid.queries import _sql as quoted_sql
 from facetgrid.queries import _PLAIN as PLAIN
 from facetgrid.queries import query, table
-from facetgrid.sources import index_codec, ingest, lookup, sinks
+from facetgrid.sources import index_codec, ingest, lookup, sinks, upsert
 from facetgrid.sources.shared import new_path
 from facetgrid.streaming import crawl
 
@@ -265,3 +265,29 @@ def crawl_stream(spark, sf):
         spark.conf.set(name, before)
     found = crawl.latest(spark, target)
     return found.select(F.col("run").cast("bigint").alias("user_id"), "fetched", "skipped", "no_detail", "aborted", F.coalesce("tripped_at", F.lit(-1)).alias("tripped_at"))
+
+
+# --- state by batches ---
+
+
+@query("select distinct conv_id, first_value(role) over w as role, first_value(text) over w as text from conversations window w as (partition by conv_id order by turn)")
+def upsert_first_wins(spark, sf):
+    """First rows of each key as state that four batches change, out of order, bucket by bucket."""
+    state = upsert.BucketedState(new_path(spark, "state"), "conv_id", "conv_id long, turn long, role string, text string", count=16)
+    rows = table(spark, sf, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    first = lambda both: both.groupBy("conv_id").agg(F.min_by(F.struct("turn", "role", "text"), "turn").alias("r")).select("conv_id", "r.*")
+    share = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4))  # four batches that make up the whole table
+    for k in range(4):
+        state.upsert(rows.where(share == k), first)
+    return state.read(spark).select("conv_id", "role", "text")
+
+
+@query("select doc_id % 1000 as code, count(*)::bigint as fails, max(n_chars) as most from documents group by all")
+def upsert_tally(spark, sf):
+    """Tallies by code as state, two batches merged by sums."""
+    state = upsert.BucketedState(new_path(spark, "state"), "code", "code long, fails long, most long", count=8)
+    rows = table(spark, sf, "documents").select((F.col("doc_id") % 1000).alias("code"), F.lit(1).cast("long").alias("fails"), F.col("n_chars").cast("long").alias("most"), "source")
+    added = lambda both: both.groupBy("code").agg(F.sum("fails").alias("fails"), F.max("most").alias("most"))
+    for batch in (rows.where("source = 'src0'"), rows.where("source is null or source <> 'src0'")):
+        state.upsert(batch, added)
+    return state.read(spark)

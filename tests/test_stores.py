@@ -13,7 +13,7 @@ from test_catalogue import raw
 from facetgrid.operators import bitmaps, containers, gram_index, search
 from facetgrid.plans.convert import convert, document, document_parts, search_fields, wire_bitmaps
 from facetgrid.plans.engine import Engine, Filters
-from facetgrid.sources import index_codec, ingest, lookup, named_files, sinks
+from facetgrid.sources import index_codec, ingest, lookup, named_files, sinks, upsert
 
 #: Fixed value: the digest of the document of the ten rows, byte for byte.
 GOLDEN = "a1fd09fcd8dd5ecb615d546e69cdb4d2561507999d3b3a81a4e24d34261eefb1"
@@ -236,3 +236,41 @@ def test_details_are_files_of_their_codes(spark, tmp_path):
     (tmp_path / "4.json").write_text("{broken")
     assert ingest.saved_updates(spark, str(tmp_path)).where("cd = '1'").first()["last_update"] == "u"
     assert ingest.saved_updates(spark, str(tmp_path / "none")).count() == 0 and ingest.read_details(spark, str(tmp_path / "none")).count() == 0
+
+
+# --- state by batches ---
+
+
+def test_either_split_gives_one_state(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(rng.randrange(40), k, f"t{k}") for k in range(200)]
+    first = lambda both: both.groupBy("k").agg(F.min_by(F.struct("at", "t"), "at").alias("r")).select("k", "r.*")
+    want = {}
+    for k, at, t in rows:
+        want.setdefault(k, (k, at, t))
+    for n, cuts in enumerate(([0, 200], [0, 30, 200], [0, 150, 160, 200])):
+        for back in (False, True):
+            state = upsert.BucketedState(str(tmp_path / f"{n}{back}"), "k", "k long, at long, t string", count=7)
+            assert state.version(spark) == 0 and state.read(spark).collect() == []
+            parts = [rows[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+            for part in reversed(parts) if back else parts:
+                state.upsert(spark.createDataFrame(part, "k long, at long, t string"), first)
+            assert sorted(map(tuple, state.read(spark).collect())) == sorted(want.values()) and state.version(spark) == len(parts)
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    state = upsert.BucketedState(str(tmp_path), "k", "k long, v string", count=16)
+    latest = lambda both: both.groupBy("k").agg(F.max("v").alias("v")).where("v <> 'gone'")
+    state.upsert(spark.createDataFrame([(k, "a") for k in range(50)], "k long, v string"), latest)
+    before = state.folders(spark)
+    one = spark.createDataFrame([(3, "b")], "k long, v string")
+    touched = state.upsert(one, latest)
+    after = state.folders(spark)
+    assert len(touched) == 1 and {b for b in after if after[b] != before[b]} == set(touched)
+    assert state.read(spark).where("k = 3").first()["v"] == "b" and state.read(spark).count() == 50
+    assert state.upsert(one.limit(0), latest) == [] and state.version(spark) == 2
+    # A version without a complete manifest does not count, and is written again.
+    os.makedirs(tmp_path / "manifest" / "00000003")
+    assert state.version(spark) == 2
+    state.upsert(spark.createDataFrame([(3, "gone")], "k long, v string"), latest)
+    assert state.version(spark) == 3 and state.read(spark).where("k = 3").count() == 0 and state.read(spark).count() == 49
