@@ -105,6 +105,20 @@ def op13_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_fingerprint.edited_neighbours(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base measures of op3 by themselves, which SQL can state."""
+    measured = quality.measure(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), keep_text=False)
+    return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality.base_failed().alias("base_failed"))
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path and rule of op10 by themselves, which SQL can state."""
+    host, path = url_filter.split_url(F.col("url"))
+    parts = table(spark, sf_dir, "pages").select("page_id", host.alias("host"), path.alias("path"))
+    rule, verdict = url_filter.matched_rule(F.col("host"), F.col("path"), url_filter.RULES)
+    return parts.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("rule_verdict"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -119,6 +133,8 @@ QUERIES = {
     "op11_lexical_search": op11_lexical_search,
     "op12_collocations": op12_collocations,
     "op13_lz_fingerprint": op13_lz_fingerprint,
+    "quality_base": quality_base,
+    "url_rules": url_rules,
 }
 
 
@@ -134,8 +150,24 @@ def _escaped_extra() -> str:
 _T = chat_format.Template()
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 _PIECES = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^.,;:!?\x0A-\x0D]+')"
+_RULES = sorted(url_filter.RULES, key=lambda r: -len(r[0]))
+_FITS = [(f"(host = '{r[:r.index('/')]}' or suffix(host, '.{r[:r.index('/')]}')) and prefix(path, '{r[r.index('/'):]}')", r, says) for r, says in _RULES]
+_WORD = r"[^\x20\x09-\x0D]"
 _FLOOR = "(1000::hugeint * a * n) // (l::hugeint * r)"
 ORACLE = {
+    "quality_base": rf"""
+with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{_WORD}+') as w from documents),
+g as (select doc_id, k, w[k:k + 4] as g from (select doc_id, w, unnest(range(1, len(w) - 3)) as k from d)),
+again as (select doc_id, k from (select doc_id, k, count(*) over (partition by doc_id, g) as n from g) where n > 1),
+r as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(k, k + 5)) as p from again) group by doc_id),
+l as (select doc_id, count(*) - count(distinct line) as n from (select doc_id, unnest(string_split(t, chr(10))) as line from d) where regexp_matches(line, '{_WORD}') group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(list_sum([length(x) for x in w]), 0)::bigint as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+  coalesce(l.n, 0)::bigint as n_dup_lines, coalesce(r.n, 0)::bigint as n_repeat_words, len(w) < 10 or 100 * coalesce(r.n, 0) > 20 * len(w) as base_failed
+from d left join l using (doc_id) left join r using (doc_id)""",
+    "url_rules": rf"""
+with p as (select page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+  coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path from pages)
+select page_id, host, path, case {' '.join(f"when {f} then '{r}'" for f, r, _ in _FITS)} end as rule, case {' '.join(f"when {f} then '{v}'" for f, _, v in _FITS)} end as rule_verdict from p""",
     "op11_lexical_search": f"""
 with t as (select doc_id, {_WORDS} as w from documents), d as (select doc_id, w, len(w)::bigint as n from t where len(w) > 0),
 c as (select count(*)::bigint as docs, sum(n)::bigint as length from d),
