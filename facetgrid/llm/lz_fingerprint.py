@@ -288,5 +288,5 @@ def edited_neighbours(docs: DataFrame, parts: int | None = None, size: int = SIZ
     # Rows without an id are dealt by their text and come before a range's own; a range ends with the rows ahead.
     part = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(max(len(ends), 1))).cast("int")).when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place"))
     sent = sent.select("doc_id", "text", (F.col("place") < 0).alias("ahead"), part.alias("part"))
-    dealt = sent.repartition("part").sortWithinPartitions("part", F.col("doc_id").isNotNull(), "ahead", F.desc("doc_id"), "text")
+    dealt = sent.repartitionById(max(len(ends), 1), F.col("part")).sortWithinPartitions("part", F.col("doc_id").isNotNull(), "ahead", F.desc("doc_id"), "text")
     return dealt.select("doc_id", "text", "ahead").mapInArrow(run, out)
