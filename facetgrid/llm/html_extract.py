@@ -15,10 +15,16 @@ page of the host has at a place.  Wrappers of parts of a host are aligned like
 pages, so each task folds the pages it has and only partial wrappers move; a hot
 host's parts are merged in two steps.  All pages take part.
 
-Extraction aligns a page with its host's wrapper.  Main regions are the page's
-article or main elements outside boilerplate (menus, headers, footers, sidebars,
+Extraction aligns a page with its host's wrapper, which decides on the main region
+by text mass (the characters of its slots over all pages): from the root down, the
+element that holds at least half of its parent's mass, as long as it is no repeated
+group, no paragraph, and its parent is no running text (paragraphs or headings that
+differ).  Headings passed on the way belong to the text.  Boilerplate (menus, headers, footers, sidebars,
 notices, adverts, forms, comments, by element or by whole words of class, role or
-id) in which the wrapper has texts that differ, or which it does not know.  Of a main region boilerplate is
+id) has no mass.  Article and main elements only refine this choice: one around the
+region is taken whole; those within it are taken instead of it if they hold half of
+its mass; one elsewhere counts if its pages have at least half as much text in it
+as the region's pages in theirs, or if the wrapper does not know it.  Of a main region boilerplate is
 left out and what is a single constant of all pages that have the region, at least three.  In it an id, or a word that may
 as well name a part of the text, tells of boilerplate only where at least three of
 the host's pages share all texts of the element.  Names of html, body, article,
@@ -54,6 +60,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from facetgrid.llm.common import materialize
+from facetgrid.llm.components import split_join
 from facetgrid.llm.url_filter import split_url
 
 #: Element kinds.
@@ -68,6 +75,10 @@ MAIN_TAGS = frozenset(("article", "main"))
 #: Their classes tell of the page's theme.
 WHOLE = frozenset(("html", "body", *MAIN_TAGS))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Elements that are parts of running text, so never a main region of their own.
+PARTS = frozenset((*HEADINGS, *"p li dt dd pre listing blockquote figcaption caption summary tr td th thead tbody tfoot hgroup".split()))
+#: Elements around the whole page.
+AROUND = frozenset(("", "html", "body"))
 MAIN_WORDS = frozenset(("articlebody", "article-body", "entry-content", "post-content", "main-content"))
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 STOPS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",)}
@@ -76,6 +87,8 @@ TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)
 CLASS = re.compile(r"(?<![-\w])(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: Texts longer than LONG are told apart by length and digest; SURE pages make a constant.
 LONG, SURE = 24, 3
+#: What a wrapper's node opens.
+HEADING, REGION = 1, 2
 
 
 def signature(name: str, attributes: str) -> str:
@@ -177,9 +190,10 @@ def parse(page: str) -> list:
     return root
 
 
-# A wrapper node is [signature, optional, repeated, pages, constants, children, seen]:
-# a text has signature "#" and the set of its constants (see ``key``), which is empty
-# if it is a slot and has several if it is repeated; ``seen`` has what ``prepare`` found.
+# A wrapper node is [signature, optional, repeated, pages, constants, children, seen, mass]:
+# a text has signature "#", the set of its constants (see ``key``), which is empty
+# if it is a slot and has several if it is repeated, and its characters over all pages
+# as mass; ``seen`` has what ``prepare`` found.
 
 
 def key(text: str) -> str:
@@ -189,14 +203,14 @@ def key(text: str) -> str:
 
 def lift(page: list) -> list:
     """A page's tree as the wrapper of that page alone, repetitions folded."""
-    top = [page[0], False, False, 1, None, [], None]
+    top = [page[0], False, False, 1, None, [], None, 0]
     below = [(page, top)]
     for node, own in below:  # parents first
         for c in node[1]:
             if isinstance(c, str):
-                own[5].append(["#", False, False, 1, {key(c)}, [], None])
+                own[5].append(["#", False, False, 1, {key(c)}, [], None, len(c)])
             else:
-                child = [c[0], False, False, 1, None, [], None]
+                child = [c[0], False, False, 1, None, [], None, 0]
                 own[5].append(child)
                 below.append((c, child))
     for _, own in reversed(below):
@@ -317,6 +331,7 @@ def merge(a: list, b: list, one_page: bool = False) -> list:
         x, y = todo.pop()
         x[1], x[2], x[6] = x[1] or y[1], x[2] or y[2], None
         x[3] = max(x[3], y[3]) if one_page else x[3] + y[3]
+        x[7] += y[7]
         if x[0] == "#" and x[4] != y[4]:
             if one_page:
                 x[2] = True
@@ -345,20 +360,20 @@ def dump(wrapper: list) -> str:
     flat, stack = [], [wrapper]
     while stack:
         node = stack.pop()
-        flat.append([node[0], int(node[1]) + 2 * int(node[2]), node[3], sorted(node[4] or ()), len(node[5])])
+        flat.append([node[0], int(node[1]) + 2 * int(node[2]), node[3], sorted(node[4] or ()), len(node[5]), node[7]])
         stack += reversed(node[5])
     return json.dumps(flat, ensure_ascii=False)
 
 
 def load(text: str) -> list:
-    top: list = ["", False, False, 0, None, [], None]
+    top: list = ["", False, False, 0, None, [], None, 0]
     open_nodes = [(top, 1)]
-    for sig, flags, pages, constants, n in json.loads(text):
+    for sig, flags, pages, constants, n, mass in json.loads(text):
         while not open_nodes[-1][1]:
             open_nodes.pop()
         parent, left = open_nodes.pop()
         open_nodes.append((parent, left - 1))
-        node = [sig, bool(flags & 1), bool(flags & 2), pages, set(constants) if sig == "#" else None, [], None]
+        node = [sig, bool(flags & 1), bool(flags & 2), pages, set(constants) if sig == "#" else None, [], None, mass]
         parent[5].append(node)
         open_nodes.append((node, n))
     return top[5][0]
@@ -370,16 +385,60 @@ def shared(text: str, known: list | None, pages: int) -> bool:
 
 
 def prepare(wrapper: list) -> None:
-    """For each node: whether texts outside boilerplate differ, or too few pages have them to tell, outside and inside a main region."""
+    """What each node says.
+
+    Whether texts outside boilerplate differ, or too few pages have them to tell,
+    outside and inside a main region; and whether it opens one: ``REGION``, or
+    ``HEADING`` for a heading that belongs to the region.
+    """
     nodes = [wrapper]
     for node in nodes:
         nodes += node[5]
+    mass: dict[int, int] = {}  # characters of slots outside boilerplate
+    named: dict[int, int] = {}  # and those within article or main elements
     for node in reversed(nodes):
         if node[0] == "#":
-            node[6] = (node[2] or not node[4] or node[3] < SURE,) * 2
+            differs = node[2] or not node[4] or node[3] < SURE
+            node[6] = (differs, differs, 0)
+            known = sum(int(k.partition("\n")[0]) if "\n" in k else len(k) for k in node[4]) if node[3] >= SURE else 0
+            mass[id(node)], named[id(node)] = max(0, node[7] - known * node[3]), 0
         else:
             main = is_main(node[0])
-            node[6] = tuple(not is_boiler(node[0], bool(i)) and any(c[6][i or main] for c in node[5]) for i in (0, 1))
+            node[6] = (*(not is_boiler(node[0], bool(i)) and any(c[6][i or main] for c in node[5]) for i in (0, 1)), 0)
+            mass[id(node)] = 0 if is_boiler(node[0]) else sum(mass[id(c)] for c in node[5])
+            named[id(node)] = mass[id(node)] if main else min(mass[id(node)], sum(named[id(c)] for c in node[5]))
+    path, titles = heaviest(wrapper, mass)
+    region = path[-1]
+    around = next((n for n in path if is_main(n[0])), None)
+    if around is None and region[0] not in AROUND and 2 * named[id(region)] < mass[id(region)]:
+        around = region
+        for node in titles:
+            node[6] = (*node[6][:2], HEADING)
+    if around is not None:
+        around[6] = (*around[6][:2], REGION)
+    own = mass[id(region)] / max(1, region[3])
+    on_path = {id(n) for n in path}
+    todo = [(wrapper, False)]
+    for node, within in todo:  # article and main elements on the way to the region, in it, or as full as it
+        if is_main(node[0]) and node[6][0] and (within or id(node) in on_path or 2 * mass[id(node)] >= own * node[3]):
+            node[6] = (*node[6][:2], REGION)
+        todo += [(c, within or node is region) for c in node[5] if c[0] != "#"]
+
+
+def heaviest(wrapper: list, mass: dict[int, int]) -> tuple[list[list], list[list]]:
+    """(nodes from the root to the element that holds most of the mass, headings passed on the way)."""
+    path, titles, node = [wrapper], [], wrapper
+    while True:
+        filled = [c for c in node[5] if c[0] != "#" and mass[id(c)]]
+        kinds = [c[0].split(".")[0] for c in filled]
+        if not filled or node[0] not in AROUND and any(k == "p" or k in HEADINGS for k in kinds):
+            return path, titles
+        best = max(range(len(filled)), key=lambda k: mass[id(filled[k])])
+        if filled[best][2] or kinds[best] in PARTS or 2 * mass[id(filled[best])] < mass[id(node)]:
+            return path, titles
+        titles += [c for c, k in zip(filled[:best], kinds, strict=False) if k in HEADINGS]
+        node = filled[best]
+        path.append(node)
 
 
 def varies(wrapper: list) -> bool:
@@ -403,7 +462,7 @@ class Paired:
         for node, _ in reversed(order):
             pairs = list(zip(node[1], self.known[id(node)], strict=True))
             self.all_shared[id(node)] = all(shared(c, k, 0) if isinstance(c, str) else self.all_shared[id(c)] for c, k in pairs)
-            self.has_main[id(node)] = any(not isinstance(c, str) and not is_boiler(c[0]) and (opens_main(c[0], k) or self.has_main[id(c)]) for c, k in pairs)
+            self.has_main[id(node)] = any(not isinstance(c, str) and not is_boiler(c[0]) and (opens_main(c[0], k) == REGION or self.has_main[id(c)]) for c, k in pairs)
 
     def left_out(self, node: list, region: int) -> bool:
         """Whether an element is boilerplate: within a main region by a sure name, or by any name if the host's pages share its texts."""
@@ -424,14 +483,17 @@ class Paired:
                 if inside and not shared(child, known, region):
                     yield child
             elif not self.left_out(child, region):
-                opens = not inside and opens_main(child[0], known)
+                opens = not inside and self.has_main[id(self.page)] and opens_main(child[0], known) > 0
                 todo += self.children(child, inside or opens, (known[3] if known else 1) if opens else region)
             elif region and child[0].split(".")[0] == "header":
                 yield from headings(child)
 
 
-def opens_main(sig: str, known: list | None) -> bool:
-    return is_main(sig) and (known is None or varies(known))
+def opens_main(sig: str, known: list | None) -> int:
+    if known is None:
+        return REGION if is_main(sig) else 0
+    varies(known)
+    return known[6][2]
 
 
 def matched(page: list, wrapper: list | None) -> list:
@@ -522,14 +584,14 @@ def extract(pages: DataFrame, wrappers: DataFrame | None = None, broadcast_mb: i
     """``pages`` without html, with text and n_chars.
 
     Wrappers are broadcast up to ``broadcast_mb``; above it the join on the host
-    is a shuffle join.
+    is a shuffle join, in which the rows of hot hosts stay where they are.
     """
     wrappers = materialize(learn_wrappers(pages), "wrappers") if wrappers is None else wrappers
     mb = (wrappers.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0) / 2**20
     side = wrappers.select(F.col("host").alias("_host"), F.col("wrapper").alias("_wrapper"))
     kept = [f for f in pages.schema.fields if f.name.lower() not in ("html", "text", "n_chars", "_host", "_wrapper")]
     rows = pages.select(*[F.col(f"`{f.name}`") for f in kept], "html").withColumn("_host", split_url(F.col("url"))[0])
-    joined = rows.join(F.broadcast(side) if mb <= broadcast_mb else side, "_host", "left")
+    joined = rows.join(F.broadcast(side), "_host", "left") if mb <= broadcast_mb else split_join(rows, side, "_host", "left")
     out = T.StructType([*kept, T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

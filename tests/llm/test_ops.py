@@ -382,6 +382,45 @@ def test_wrappers_decide():
     assert html_extract.main_text(pages[1], None) == "Start About us We use small files story 1 more 1 Write to us"
 
 
+def test_text_mass_chooses_the_region():
+    """Adverts and menus that differ on each page are told from the article by their mass, not by names."""
+    rng = random.Random(5)
+    words = lambda n: " ".join("".join(rng.choices("abcdefg", k=5)) for _ in range(n))
+    pages, want = [], []
+    for _ in range(6):
+        title, body = words(4), [words(30) for _ in range(rng.randint(1, 4))]
+        menu = "".join(f"<li>{words(1)}</li>" for _ in range(5))
+        pages.append(page(f"<div class=qa><ul>{menu}</ul></div><div class=qb>{words(8)}</div><h1>{title}</h1><div class=qc><div class=qd>{''.join(f'<p>{b}</p>' for b in body)}</div></div><div class=qe>{words(6)}</div>"))
+        want.append(" ".join([title, *body]))
+    assert [html_extract.main_text(p, learnt(*pages)) for p in pages] == want
+    # Cards of other articles do not count as main text, a page of another layout of the host keeps its own.
+    card = lambda: f"<article><p>{words(3)}</p></article>"
+    cards = [page(f"<div class=qc><p>{w}</p><p>{w}</p></div><div class=qe>{card()}{card()}</div>") for w in (words(40), words(40), words(40))]
+    other = [page(f"<article><h1>{w}</h1></article><div class=qe>{words(5)}</div>") for w in (words(50), words(50), words(50))]
+    wrapper = learnt(*cards, *other)
+    assert [html_extract.main_text(p, wrapper) for p in cards] == [re.sub("</?p>", " ", p.split("<div class=qc>")[1].split("</div>")[0]).replace("  ", " ").strip() for p in cards]
+    assert [html_extract.main_text(p, wrapper) for p in other] == [p.split("<h1>")[1].split("</h1>")[0] for p in other]
+
+
+def test_wrappers_find_the_articles_without_any_name(spark, monkeypatch):
+    """On hosts with three pages the text is the same when no element, class or id is known by name."""
+    hosts = {}
+    for r in table(spark, SF, "pages").collect():
+        hosts.setdefault((r["url"] or "").split("://")[-1].split("/")[0].lower(), []).append(r["html"] or "")
+    hosts = [pages for pages in hosts.values() if len(pages) >= 3]
+    read = lambda: [html_extract.main_text(p, w) for pages in hosts for w in [learnt(*pages)] for p in pages]
+    usual = read()
+    for name in ("MAIN_TAGS", "MAIN_WORDS", "BOILER_WORDS", "BOILER_TAGS"):
+        monkeypatch.setattr(html_extract, name, frozenset())
+    assert usual and sum(a == b for a, b in zip(usual, read(), strict=True)) >= 0.9 * len(usual)
+    assert not any(html_extract.main_text(p, None) in usual for pages in hosts for p in pages)
+
+
+def test_hot_hosts_are_split(spark):
+    source = spark.createDataFrame([(k, f"http://{'hot' if k % 10 else f'h{k % 30}'}/p{k}", f"<div><p>t{k}</p><p>u</p></div><div>x{k % 7}</div>") for k in range(400)], "page_id long, url string, html string")
+    assert rows(html_extract.extract(source, broadcast_mb=-1), "page_id", "text") == rows(html_extract.extract(source), "page_id", "text")
+
+
 def test_deep_and_wide_pages():
     started = time.time()
     for source, want in (("<div>" * 100_000 + "x", "x"), ("<div>x</div>" * 100_000, " ".join("x" * 100_000)), ("</p>" * 100_000 + "x", "x")):
