@@ -19,7 +19,11 @@ tell is bounded: the ``WIDTH`` bytes from it and the ``SPAN - 1`` before it.
 5. Each receiver merges its runs by a loser tree that compares keys only beyond
    the prefixes known to be common, and takes for each of the ``SPAN`` strings
    around an anchor the smallest doc_id, from the merged order and its prefixes.
-6. These come back to the chunks' occurrences as byte spans to remove.
+6. Anchors with far more different suffixes than a bucket should have (a phrase of
+   33 to 49 bytes in very many documents, the edges of a passage) take another way:
+   each ``WIDTH``-byte string over them is named by 128 bits and dealt by its name,
+   so they spread over as many tasks as they need.
+7. These come back to the chunks' occurrences as byte spans to remove.
 
 A passage that stands in a third of all documents counts once for each chunk, so
 no task gets a row for each copy.  Replies are broadcast up to ``BROADCAST_MB``
@@ -63,6 +67,11 @@ SLICE = 1 << 20
 KEYS_AT_ONCE = 1 << 16
 BUCKET_BYTES = 8 << 20
 BROADCAST_MB = 48
+#: A bucket is large above twice the mean and HOT_KEYS, or above MOST_KEYS; an anchor in it
+#: is hot above HOT_KEYS keys and above a 2**20th of all, so there are at most 2**20 of them.
+HOT_KEYS, MOST_KEYS, MOST_ANCHORS = 1024, 1 << 20, 1 << 20
+#: Names in one task, on average.
+NAMES_AT_ONCE = 1 << 17
 LAST = np.iinfo(np.int64).max
 
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
@@ -289,6 +298,180 @@ def _ints(x: np.ndarray, kind: str) -> bytes:
     return x.astype(kind).tobytes()
 
 
+def decoded(lcp: bytes, packed: bytes) -> np.ndarray:
+    return np.frombuffer(b"".join(decode(lcp, packed)), np.uint8).reshape(-1, KEY)
+
+
+def anchor_heads(keys: np.ndarray) -> np.ndarray:
+    """Where the sorted keys of each anchor begin."""
+    return np.nonzero(np.concatenate(([True], (keys[1:, :KMER] != keys[:-1, :KMER]).any(1))))[0] if len(keys) else np.zeros(0, np.int64)
+
+
+def is_hot(keys: np.ndarray, hot: list[bytes]) -> np.ndarray:
+    """Which of the sorted keys have one of the anchors."""
+    heads, known = anchor_heads(keys), set(hot)
+    return np.repeat([keys[h, :KMER].tobytes() in known for h in heads.tolist()], np.diff(np.append(heads, len(keys)))).astype(bool)
+
+
+def names_of(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each row of bytes, a multiple of eight."""
+    a = np.full(len(text), 7, np.uint64)
+    b = np.full(len(text), 11, np.uint64)
+    for word in np.ascontiguousarray(text).view("<u8").T:
+        a = (a ^ (a >> np.uint64(31)) ^ word) * _C1
+        b = (b ^ (b >> np.uint64(29))) * _C2 + (word ^ (word >> np.uint64(33))) * _C3
+    for m in (_C3, _C1):
+        a = (a ^ (a >> np.uint64(32))) * m
+        b = (b ^ (b >> np.uint64(30))) * m
+    return a ^ (a >> np.uint64(29)), b ^ (b >> np.uint64(31))
+
+
+def string_names(keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(names in two halves, key, j) of each key's ``WIDTH``-byte strings, from j bytes before its anchor, sorted by name."""
+    onward, backward = keys[:, -2].astype(np.int64), keys[:, -1].astype(np.int64) - 1
+    parts = []
+    for j in range(SPAN):
+        ok = np.nonzero((backward >= j) & (onward >= WIDTH - j))[0]
+        text = np.zeros((len(ok), -(-WIDTH // 8) * 8), np.uint8)
+        text[:, :j] = keys[ok, WIDTH : WIDTH + j][:, ::-1]
+        text[:, j:WIDTH] = keys[ok, : WIDTH - j]
+        parts.append((*names_of(text), ok, np.full(len(ok), j)))
+    a, b, key, j = map(np.concatenate, zip(*parts, strict=True))
+    order = np.lexsort((b, a))
+    return a[order], b[order], key[order], j[order]
+
+
+def name_heads(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.nonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))[0] if len(a) else np.zeros(0, np.int64)
+
+
+RUNS = "bucket int, chunk long, lcp binary, suffixes binary, lows binary, highs binary, kept binary"
+NAMES = "bucket int, chunk long, piece int, a binary, b binary, lows binary, highs binary, keys binary, js binary, of_name binary"
+COVER = "chunk long, bucket int, key binary, first binary, last binary, low binary"
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield {n: batch.column(i)[k].as_py() for i, n in enumerate(batch.schema.names)}
+
+
+def hot_anchors(candidates: DataFrame, parts: int, hot_keys: int = HOT_KEYS) -> DataFrame | None:
+    """(bucket, hot): the anchors of large buckets that have too many keys for one task; None if there are none."""
+    sizes = candidates.groupBy("bucket").agg(F.sum(F.octet_length("lcp")).alias("n"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    large = sizes.where(F.col("n") > max(hot_keys, min(2 * total // parts, MOST_KEYS))).select("bucket")
+    n_large = large.count()
+    if not n_large:
+        return None
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            keys = decoded(row["lcp"], row["suffixes"])
+            heads = anchor_heads(keys)
+            n = np.diff(np.append(heads, len(keys)))
+            yield pa.RecordBatch.from_arrays([pa.array([row["bucket"]] * len(heads), pa.int32()), pa.array([keys[h, :KMER].tobytes() for h in heads.tolist()], pa.binary()), pa.array(n)], names=["bucket", "anchor", "n"])
+
+    runs = candidates.select("bucket", "lcp", "suffixes").join(F.broadcast(large) if n_large <= 500_000 else large, "bucket")
+    counts = runs.mapInArrow(count, "bucket int, anchor binary, n long").groupBy("bucket", "anchor").agg(F.sum("n").alias("n"))
+    often = counts.where(F.col("n") > max(hot_keys, total // MOST_ANCHORS))
+    hot = materialize(often.groupBy("bucket").agg(F.collect_list("anchor").alias("hot")), "hot")
+    return hot if hot.limit(1).count() else None
+
+
+def without_hot(candidates: DataFrame, hot: DataFrame) -> DataFrame:
+    """Rows of ``RUNS``: the runs without the keys of hot anchors; ``kept`` has the places of the others if some are gone."""
+    light = candidates.select("bucket", "chunk", "lcp", "suffixes", "lows", "highs")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            keys = decoded(row["lcp"], row["suffixes"])
+            kept = np.nonzero(~is_hot(keys, row["hot"]))[0]
+            if len(kept):
+                lcp, rest = front_code(keys[kept])
+                values = [row["bucket"], row["chunk"], lcp.tobytes(), pack_bytes(rest), *[_ints(np.frombuffer(row[n], "<i8")[kept], "<i8") for n in ("lows", "highs")], _ints(kept, "<u4")]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int32(), pa.int64(), *[pa.binary()] * 5), strict=True)], names=["bucket", "chunk", "lcp", "suffixes", "lows", "highs", "kept"])
+
+    whole = light.join(F.broadcast(hot), "bucket", "left_anti").withColumn("kept", F.lit(None).cast("binary"))
+    return whole.unionByName(light.join(F.broadcast(hot), "bucket").mapInArrow(cut, RUNS))
+
+
+def hot_covers(candidates: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``COVER`` for the keys of hot anchors, the table they are read from)."""
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            keys = decoded(row["lcp"], row["suffixes"])
+            which = np.nonzero(is_hot(keys, row["hot"]))[0]
+            lows, highs = np.frombuffer(row["lows"], "<i8"), np.frombuffer(row["highs"], "<i8")
+            for piece, at in enumerate(range(0, len(which), KEYS_AT_ONCE // 4)):
+                own = which[at : at + KEYS_AT_ONCE // 4]
+                a, b, key, j = string_names(keys[own])
+                heads = name_heads(a, b)
+                if not len(heads):
+                    continue
+                key = own[key]
+                values = [row["bucket"], row["chunk"], piece, a[heads].tobytes(), b[heads].tobytes(), _ints(np.minimum.reduceat(lows[key], heads), "<i8"), _ints(np.maximum.reduceat(highs[key], heads), "<i8"), _ints(key, "<u4"), _ints(j, "u1"), _ints(np.diff(np.append(heads, len(key))), "<u4")]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 7), strict=True)], names=[c.split()[0] for c in NAMES.split(", ")])
+
+    runs = candidates.select("bucket", "chunk", "lcp", "suffixes", "lows", "highs").join(F.broadcast(hot), "bucket")
+    named = materialize(runs.mapInArrow(name, NAMES), "names", max_rows_per_file=CHUNKS_PER_FILE)
+    total = (named.agg(F.sum(F.octet_length("a"))).first()[0] or 0) // 8
+    bits = max(2, int(np.ceil(np.log2(max(1, total / NAMES_AT_ONCE)))))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            a = np.frombuffer(row["a"], "<u8")
+            part = (a >> np.uint64(64 - bits)).astype(np.int64)
+            heads = np.nonzero(np.concatenate(([True], part[1:] != part[:-1])))[0].tolist()
+            edges = list(zip(heads, [*heads[1:], len(a)], strict=True))
+            columns = [pa.array([int(part[x]) for x, _ in edges], pa.int32())]
+            columns += [pa.array([row[n]] * len(edges), t) for n, t in (("chunk", pa.int64()), ("bucket", pa.int32()), ("piece", pa.int32()))]
+            columns += [pa.array(heads, pa.int32()), *[pa.array([row[n][8 * x : 8 * y] for x, y in edges], pa.binary()) for n in ("a", "b", "lows", "highs")]]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "chunk", "bucket", "piece", "at", "a", "b", "lows", "highs"])
+
+    def least(group: pd.DataFrame) -> pd.DataFrame:
+        a, b, low, high = (np.concatenate([np.frombuffer(x, t) for x in group[n]]) for n, t in (("a", "<u8"), ("b", "<u8"), ("lows", "<i8"), ("highs", "<i8")))
+        order = np.lexsort((b, a))
+        heads = name_heads(a[order], b[order])
+        found = np.empty(len(a), np.int64)
+        found[order] = np.repeat(np.minimum.reduceat(low[order], heads), np.diff(np.append(heads, len(a))))
+        out: dict[str, list] = {"chunk": [], "bucket": [], "piece": [], "at": [], "low": []}
+        begin = 0
+        for chunk, bucket, piece, at, names in zip(group["chunk"], group["bucket"], group["piece"], group["at"], group["a"], strict=True):
+            end = begin + len(names) // 8
+            hits = np.nonzero(found[begin:end] < high[begin:end])[0]
+            if len(hits):
+                for n, v in (("chunk", chunk), ("bucket", bucket), ("piece", piece), ("at", _ints(hits + at, "<u4")), ("low", _ints(found[begin:end][hits], "<i8"))):
+                    out[n].append(v)
+            begin = end
+        return pd.DataFrame(out)
+
+    dealt = named.select("chunk", "bucket", "piece", "a", "b", "lows", "highs").mapInArrow(deal, "part int, chunk long, bucket int, piece int, at int, a binary, b binary, lows binary, highs binary")
+    found = dealt.repartition(1 << bits, "part").groupBy("part").applyInPandas(least, "chunk long, bucket int, piece int, at binary, low binary")
+    found = found.groupBy("chunk", "bucket", "piece").agg(F.collect_list(F.struct("at", "low")).alias("found"))
+
+    def cover(group: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for r in group.itertuples():
+            at = np.concatenate([np.frombuffer(f["at"], "<u4") for f in r.found]).astype(np.int64)
+            low = np.concatenate([np.frombuffer(f["low"], "<i8") for f in r.found])
+            n = np.frombuffer(r.of_name, "<u4").astype(np.int64)
+            begin = (np.cumsum(n) - n)[at]
+            member = np.arange(n[at].sum()) + np.repeat(begin - np.cumsum(n[at]) + n[at], n[at])
+            parts.append((np.frombuffer(r.keys, "<u4")[member], np.frombuffer(r.js, "u1")[member].astype(np.int64), np.repeat(low, n[at])))
+        key, j, low = map(np.concatenate, zip(*parts, strict=True))
+        order = np.lexsort((j, key))
+        key, j, low = key[order], j[order], low[order]
+        edge = np.concatenate(([True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (j[1:] != j[:-1] + 1)))
+        first = np.nonzero(edge)[0]
+        last = np.append(first[1:] - 1, len(key) - 1)
+        return pd.DataFrame({"chunk": [int(group["chunk"].iloc[0])], "bucket": [int(group["bucket"].iloc[0])], "key": [_ints(key[first], "<u4")], "first": [_ints(j[first], "u1")], "last": [_ints(j[last], "u1")], "low": [_ints(low[first], "<i8")]})
+
+    both = named.select("chunk", "bucket", "piece", "keys", "js", "of_name").join(found, ["chunk", "bucket", "piece"])
+    return both.groupBy("chunk", "bucket").applyInPandas(cover, COVER), named
+
+
 CHUNKS = "chunk long, ids binary, copies binary, lengths binary, data binary, rest binary"
 CANDIDATES = "bucket int, chunk long, lcp binary, suffixes binary, lows binary, highs binary, places binary, which binary, owners binary, of_owner binary"
 
@@ -405,7 +588,7 @@ def exchanged(chunk: Chunk, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return key, low != high, np.nonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))[0] if len(key) else np.zeros(0, np.int64)
 
 
-def removed(docs: DataFrame, chunk_bytes: int | None = None, bucket_bytes: int = BUCKET_BYTES, broadcast_mb: float = BROADCAST_MB) -> tuple[DataFrame, DataFrame]:
+def removed(docs: DataFrame, chunk_bytes: int | None = None, bucket_bytes: int = BUCKET_BYTES, broadcast_mb: float = BROADCAST_MB, hot_keys: int = HOT_KEYS) -> tuple[DataFrame, DataFrame]:
     """(chunks, spans): the chunk table, and (chunk, spans) with the merged byte spans to remove."""
     if chunk_bytes is None:
         text = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -417,11 +600,6 @@ def removed(docs: DataFrame, chunk_bytes: int | None = None, bucket_bytes: int =
     light = chunks.select("chunk", "ids", "copies", "lengths", "data")
     names = [f.name for f in light.schema.fields]
 
-    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                yield {n: batch.column(i)[k].as_py() for i, n in enumerate(batch.schema.names)}
-
     def table(columns: dict[str, list], schema: T.StructType) -> pa.RecordBatch:
         kinds = {"integer": pa.int32(), "long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
         return pa.RecordBatch.from_arrays([pa.array(columns[f.name], kinds[f.dataType.simpleString()]) for f in schema.fields], names=schema.names)
@@ -494,11 +672,10 @@ def removed(docs: DataFrame, chunk_bytes: int | None = None, bucket_bytes: int =
             yield table(columns, candidate_schema)
 
     candidates = materialize(marked.mapInArrow(send_runs, candidate_schema), "suffixes")
-    cover = "chunk long, bucket int, key binary, first binary, last binary, low binary"
-
     def merge_group(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("chunk")
         runs = [(decode(l, s), l) for l, s in zip(group["lcp"], group["suffixes"], strict=True)]
+        places = [None if k is None else np.frombuffer(k, "<u4") for k in group["kept"]]
         order, prefix = merge_runs(runs)
         if not order:
             return pd.DataFrame(columns=["chunk", "bucket", "key", "first", "last", "low"])
@@ -529,12 +706,22 @@ def removed(docs: DataFrame, chunk_bytes: int | None = None, bucket_bytes: int =
         for r, chunk in enumerate(group["chunk"]):
             mine = by[cut[r] : cut[r + 1]]
             if len(mine):
-                for name, v in (("chunk", chunk), ("bucket", group["bucket"].iloc[0]), ("key", _ints(within[owner[mine]], "<u4")), ("first", _ints(first[mine], "u1")), ("last", _ints(last[mine], "u1")), ("low", _ints(low[mine], "<i8"))):
+                key = within[owner[mine]] if places[r] is None else places[r][within[owner[mine]]]
+                for name, v in (("chunk", chunk), ("bucket", group["bucket"].iloc[0]), ("key", _ints(key, "<u4")), ("first", _ints(first[mine], "u1")), ("last", _ints(last[mine], "u1")), ("low", _ints(low[mine], "<i8"))):
                     out[name].append(v)
         return pd.DataFrame(out)
 
-    runs = candidates.select("bucket", "chunk", "lcp", "suffixes", "lows", "highs")
-    covers = runs.repartition(parts, "bucket").groupBy("bucket").applyInPandas(merge_group, cover)
+    hot = hot_anchors(candidates, parts, hot_keys)
+    if hot is None:
+        runs = candidates.select("bucket", "chunk", "lcp", "suffixes", "lows", "highs", F.lit(None).cast("binary").alias("kept"))
+    else:
+        runs = without_hot(candidates, hot)
+    covers = runs.repartition(parts, "bucket").groupBy("bucket").applyInPandas(merge_group, COVER)
+    used = [marks, candidates]
+    if hot is not None:
+        more, named = hot_covers(candidates, hot)
+        covers = covers.unionByName(more)
+        used += [hot, named]
     places = candidates.select("bucket", "chunk", "places", "which", "owners", "of_owner")
     both = places.join(covers, ["chunk", "bucket"])
 
@@ -563,7 +750,7 @@ def removed(docs: DataFrame, chunk_bytes: int | None = None, bucket_bytes: int =
         return pd.DataFrame({"chunk": [int(group["chunk"].iloc[0])], "begins": [_ints(begin[heads], "<i8")], "ends": [_ints(reach[tails], "<i8")]})
 
     spans = materialize(both.groupBy("chunk").applyInPandas(to_spans, "chunk long, begins binary, ends binary"), "spans")
-    release(marks, candidates)
+    release(*used)
     return chunks, joined(spans, "octet_length(begins) + octet_length(ends)")
 
 

@@ -97,13 +97,34 @@ def planted(rng):
     return out
 
 
-@pytest.mark.parametrize("sizes", [{}, {"chunk_bytes": 700, "bucket_bytes": 1000}, {"chunk_bytes": 2000, "broadcast_mb": -1}])
+@pytest.mark.parametrize("sizes", [{}, {"chunk_bytes": 700, "bucket_bytes": 1000}, {"chunk_bytes": 2000, "broadcast_mb": -1}, {"chunk_bytes": 700, "bucket_bytes": 1000, "hot_keys": 3}, {"hot_keys": 0}])
 def test_repeats_against_brute_force(spark, sizes):
     docs = planted(random.Random(3))
     left = suffix_dedup.remove_repeats(spark.createDataFrame(docs, DOC).repartition(3), as_text=False, **sizes)
     assert rows(left, "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)) == brute.repeats(docs)
 
 
+def test_hot_phrases_are_dealt(spark, monkeypatch):
+    """A phrase of 46 bytes in every document, with other words around: no task holds them all."""
+    rng = random.Random(6)
+    phrase = "All rights are reserved by the publishers here."[:46]
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9)))
+    docs = [(k, " ".join([*(word() for _ in range(8)), phrase, *(word() for _ in range(8))])) for k in range(4000)]
+    docs += [(5000 + k, docs[k][1][: 40 + k]) for k in range(80)]
+    runs, names = [], []
+    cold, warm = suffix_dedup.without_hot, suffix_dedup.hot_covers
+    monkeypatch.setattr(suffix_dedup, "without_hot", lambda *a: runs.append(cold(*a)) or runs[0])
+    monkeypatch.setattr(suffix_dedup, "hot_covers", lambda *a: names.append(warm(*a)) or names[0])
+    monkeypatch.setattr(suffix_dedup, "release", lambda *a: None)
+    monkeypatch.setattr(suffix_dedup, "NAMES_AT_ONCE", 4096)
+    left = suffix_dedup.remove_repeats(spark.createDataFrame(docs, DOC).repartition(4), as_text=False, chunk_bytes=20_000, bucket_bytes=20_000)
+    assert rows(left, "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)) == brute.repeats(docs)
+    assert max(r[0] for r in runs[0].groupBy("bucket").agg(F.sum(F.octet_length("lcp"))).select("sum(octet_length(lcp))").collect()) <= suffix_dedup.HOT_KEYS
+    tops = np.concatenate([np.frombuffer(r["a"], "<u8") for r in names[0][1].select("a").collect()]) >> np.uint64(64 - 5)
+    tasks = np.bincount(tops.astype(np.int64), minlength=32)
+    assert len(tops) > 100_000 and tasks.max() < 1.5 * np.median(tasks)
+
+
 def test_repeats_over_the_documents(spark):
     assert rows(queries.op2_suffix_dedup(spark, SF)) == brute.repeats(docs_of(spark))
 
