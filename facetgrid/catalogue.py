@@ -219,10 +219,10 @@ def _score(q: str) -> str:
 
 @query(f"""{_BASE}, scored as (select idx, {_score('r')} as score from courses), hits as (select * from scored where score > 0),
 placed as (select distinct day, period, idx, score from slots join hits using (idx) where {_CELL})
-select day, period, string_agg(idx::varchar, ',' order by score desc, idx) as ids from (select *, row_number() over (partition by day, period order by score desc, idx) as nth from placed) where nth <= {PAGE} group by all""")
+select day, period, string_agg(idx::varchar, ',' order by score desc, idx) as ids from placed group by all""")
 def engine_ranked(spark, sf):
-    """Cells best first once an index is loaded, a page of each."""
-    return engine(spark, sf, indexed=True).query(query="R", page=PAGE).cells.select("day", "period", _ids())
+    """Whole cells best first once an index is loaded."""
+    return engine(spark, sf, indexed=True).query(query="R").cells.select("day", "period", _ids())
 
 
 @query(f"{_BASE} select cd, (length({fold_sql('p_name')}) - length(replace({fold_sql('p_name')}, 'ring', ''))) // 4 as spans from courses where contains({fold_sql('p_name')}, 'ring')")

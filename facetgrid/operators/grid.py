@@ -3,8 +3,9 @@
 Rows are exploded slots (key, term, day, period, and whatever orders them).
 The order within a cell is an explicit column, so what stands in it does not hang
 on partitions.  Grids of any size stay rows (``cell_rows``, ``cell_counts``,
-``conflict_rows``, ``plan_conflict_rows``); lists of a cell's courses are for grids
-that someone looks at: a plan, or the first ``page`` of each cell.
+``conflict_rows``, ``plan_conflict_rows``) or are put together from sorted ranges
+(``whole_cells``); other lists of a cell's courses are for grids that someone looks
+at: a plan, or the first ``page`` of each cell.
 """
 
 from __future__ import annotations
@@ -47,6 +48,19 @@ def cells(placed_rows: DataFrame, key: str = "idx", page: int | None = None) ->
     return found.select("day", "period", F.transform("ranked", lambda r: r[key]).alias("courses"))
 
 
+def whole_cells(placed_rows: DataFrame, key: str = "idx") -> DataFrame:
+    """(day, period, courses): as ``cells``, for cells of any size.
+
+    Ranges of a cell are ordered by as many tasks; only their keys, without ranks,
+    meet in the cell's list, which is one value by nature.
+    """
+    ranged = placed_rows.select("day", "period", "rank", key).repartitionByRange("day", "period", "rank", key)
+    ranges = ranged.groupBy(F.spark_partition_id().alias("at"), "day", "period").agg(F.array_sort(F.collect_list(F.struct("rank", key))).alias("ranked"))
+    lists = ranges.select("day", "period", F.struct("at", F.transform("ranked", lambda r: r[key]).alias("courses")).alias("range"))
+    found = lists.groupBy("day", "period").agg(F.array_sort(F.collect_list("range")).alias("ranges"))
+    return found.select("day", "period", F.flatten(F.transform("ranges", lambda r: r["courses"])).alias("courses"))
+
+
 def build_grid(slots: DataFrame, term: str | None = None, key: str = "idx", rank: str | None = None, page: int | None = None) -> DataFrame:
     return cells(placed(slots, term, key, rank), key, page)
 

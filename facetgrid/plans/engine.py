@@ -99,12 +99,14 @@ class Engine:
         return g.build_grid(self._slots_of(indices), term, rank="rank" if "rank" in indices.columns else None, page=page)
 
     def search_grid(self, hits: DataFrame, term: str | None = None, page: int | None = None) -> DataFrame:
-        """Cells best first: the rank is the score, then the position."""
+        """Cells best first: the rank is the score, then the position; whole cells, or the first ``page`` of each."""
         ranked = hits.select("idx", F.struct((-F.col("score")).alias("s"), "idx").alias("rank"))
-        return self.grid(ranked, term, page)
+        if page is not None:
+            return self.grid(ranked, term, page)
+        return g.whole_cells(g.placed(self._slots_of(ranked), term if self._term_is_known(term) else None, rank="rank"))
 
     def query(self, term: str = "all", department: str = "all", campus: str = "all", query: str = "", page: int | None = None) -> QueryResult:
-        """``page``: at most so many courses of a cell, the best; catalogues that no list can hold are asked with one."""
+        """``page``: at most so many courses of a cell, the best; all of them without it."""
         f = Filters(s.chosen(term), s.chosen(department), s.chosen(campus), query)
         hits = self.search(f)
         known = f.term if self._term_is_known(f.term) else None

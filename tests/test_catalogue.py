@@ -218,6 +218,38 @@ def test_overlay_and_densify(spark):
     assert shown["courses"] == [0]
 
 
+def test_whole_cells(spark):
+    import random
+
+    pool = random.Random(3).sample(range(3000), 3000)
+    rows = spark.createDataFrame([(i, "t", i % 3 // 2, 1, pool[i] // 7) for i in range(3000)], "idx int, term string, day int, period int, score int").repartition(5)
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(n) for n in names]
+    for name, value in zip(names, ("7", "false")):
+        spark.conf.set(name, value)
+    try:
+        got = {r["day"]: r["courses"] for r in grid.whole_cells(grid.placed(rows, rank="score")).collect()}
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
+    assert got == {d: sorted((i for i in range(3000) if i % 3 // 2 == d), key=lambda i: (pool[i] // 7, i)) for d in (0, 1)}
+
+
+def test_ranked_cells_are_whole(spark, tmp_path):
+    from facetgrid import catalogue
+    from facetgrid.queries import ORACLE
+
+    named = "case when id % 8 < 4 then 'r' else 'rare r' end as p_name"
+    spark.range(300).selectExpr("id as p_partkey", named, "'Brand#11' as p_brand", "'TIN' as p_type", "1 as p_size", "1.0D as p_retailprice").write.parquet(str(tmp_path / "part.parquet"))
+    got = catalogue.engine_ranked(spark, str(tmp_path)).collect()
+    assert [(r["day"], r["period"]) for r in got] == [(0, 1)]
+    ids = [int(x) for x in got[0]["ids"].split(",")]
+    assert len(ids) > 2 * catalogue.PAGE and sorted(ids) == list(range(len(ids)))
+    duckdb = pytest.importorskip("duckdb").connect()
+    duckdb.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    assert duckdb.sql(ORACLE["engine_ranked"]).fetchall() == [tuple(r) for r in got]
+
+
 # --- tallies ---
 
 
