@@ -38,6 +38,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to all tasks by ``key``, for work on a row that takes far longer than reading it; a number that is given is not coalesced."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _sql(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
