@@ -7,10 +7,15 @@ and the position in the file.  Partition order plays no part.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from facetgrid.sources.named_files import read_files
+from facetgrid.sources.shared import new_path
 
 # The wire schemas.
 REQUIRED = ("kogiCd", "kogiNm", "tantoKyoin", "jikanwari", "kogiKaikojikiNm", "kogiKubunNm", "sekininBushoNm", "kochiNm", "gakusokuKamokuNm")
@@ -115,12 +120,32 @@ def read_course_folder(spark: SparkSession, folder: str) -> tuple[DataFrame, Dat
     return read_courses(spark, list_files(spark, folder))
 
 
+@F.udf(returnType=StringType(), useArrow=True)
+def _decoded(content: bytes) -> str | None:
+    """Text of a JSON file, whose first bytes tell its encoding; null if it is none."""
+    try:
+        return content.decode(json.detect_encoding(content))
+    except UnicodeDecodeError:
+        return None
+
+
+def _detail_rows(spark: SparkSession, folder: str, schema: str, strict: bool) -> DataFrame:
+    """Records of the JSON files of a folder, an object or a list of them each; broken files are errors or skipped."""
+    text = read_files(spark, folder, ".json").select("name", _decoded("content").alias("text"))
+    if strict:
+        text = text.withColumn("text", F.coalesce("text", F.raise_error(F.concat(F.lit("no text in "), "name"))))
+    each = ", ".join(":".join(f.split(" ", 1)) for f in schema.split(", "))
+    return text.select(F.inline(F.from_json("text", f"array<struct<{each}>>", {"mode": "FAILFAST" if strict else "PERMISSIVE"})))
+
+
 def read_details(spark: SparkSession, folder: str) -> DataFrame:
-    """Detail records of a folder; any broken file or repeated code is an error."""
-    files = list_files(spark, folder)
-    if not files:
-        return spark.createDataFrame([], DETAIL)
-    rows = spark.read.schema(DETAIL).option("mode", "FAILFAST").option("multiLine", True).json(files)
+    """Detail records of a folder; any broken file or repeated code is an error.
+
+    The files are read once, and their records kept as Parquet in the shared folder.
+    """
+    kept = new_path(spark, "details")
+    _detail_rows(spark, folder, DETAIL, strict=True).write.parquet(kept)
+    rows = spark.read.schema(DETAIL).parquet(kept)
     twice = rows.groupBy("cd").agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
     if twice:
         raise DatasetError(f"two detail files for {twice[0]['cd']}")
@@ -129,10 +154,7 @@ def read_details(spark: SparkSession, folder: str) -> DataFrame:
 
 def saved_updates(spark: SparkSession, folder: str) -> DataFrame:
     """(cd, last_update) of what is saved; broken files are skipped, a missing folder is empty."""
-    files = list_files(spark, folder)
-    if not files:
-        return spark.createDataFrame([], "cd string, last_update string")
-    rows = spark.read.schema("cd string, lastUpdate string").option("mode", "DROPMALFORMED").option("multiLine", True).json(files)
+    rows = _detail_rows(spark, folder, "cd string, lastUpdate string", strict=False)
     return rows.where("cd is not null").select("cd", F.coalesce("lastUpdate", F.lit("")).alias("last_update"))
 
 
