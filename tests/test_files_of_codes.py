@@ -40,3 +40,10 @@ def test_files_of_any_encoding_list_and_name(spark, tmp_path):
     assert {tuple(r) for r in ingest.saved_updates(spark, str(folder)).collect()} == {(c, u or "") for c, u in want}
     with pytest.raises(Exception, match="no text in"):
         ingest.read_details(spark, str(folder))
+
+
+def test_marks_of_many_files_are_read_by_few_tasks(spark, tmp_path):
+    for k in range(300):
+        (tmp_path / f"{k}.json").write_text(f'{{"cd":"{k}"}}')
+    marks = ingest.saved_updates(spark, str(tmp_path))
+    assert marks.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism and marks.count() == 300
