@@ -274,3 +274,68 @@ def test_only_touched_buckets_are_written(spark, tmp_path):
     assert state.version(spark) == 2
     state.upsert(spark.createDataFrame([(3, "gone")], "k long, v string"), latest)
     assert state.version(spark) == 3 and state.read(spark).where("k = 3").count() == 0 and state.read(spark).count() == 49
+
+
+# --- size of postings ---
+
+
+def test_postings_take_less_than_the_text_twice_and_no_shuffle(spark, tmp_path, capsys):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(500)]
+    texts = [" ".join(rng.choice(words) for _ in range(2000)) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    gram_index.postings(df, "k", {"name": F.col("t")}).explain()
+    assert "Exchange" not in capsys.readouterr().out
+    index = gram_index.write(df, str(tmp_path / "x"), "k", {"name": F.col("t")}, parts=4)
+    size = sum(os.path.getsize(os.path.join(at, f)) for at, _, names in os.walk(tmp_path / "x") for f in names if f.endswith(".parquet"))
+    assert size < 2 * sum(map(len, texts))
+    for q in (words[0], words[1][:2], f"{words[2]} {words[3]}"[:7]):
+        assert {r["k"]: r["score"] for r in index.ranked(spark, q, {"name": 1}).collect()} == {k: t.count(q) for k, t in enumerate(texts) if q in t}
+
+
+def test_texts_cut_into_several_blocks(monkeypatch):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("ab𠮷 ") for _ in range(n)) for n in (0, 1, 2, 3, 9, 50, 200)]
+    for cut in (1, 2, 5, 64):
+        monkeypatch.setattr(gram_index, "SLICE", cut)
+        found = blocks_of(texts)
+        for q in ("a", "ab", "b𠮷", "ab𠮷", "a b ", "𠮷𠮷a b", "aab abba", "   "):
+            want = {(k, utf16(t[:i])) for k, t in enumerate(texts) for i in range(len(t)) if t[i : i + len(q)] == q}
+            assert occurrences(found, q) == want, (cut, q)
+
+
+def utf16(text):
+    return len(text.encode("utf-16-le")) // 2
+
+
+def blocks_of(texts):
+    """Rows of each block, as ``postings`` makes them."""
+    import pyarrow as pa
+
+    out = []
+    for rows, parts, starts, ends in gram_index._slices(iter(texts)):
+        b = gram_index._grams(parts, starts, ends, 3, block=True)
+        data, begins = gram_index.steps(b.places, b.bounds[:-1])
+        cut = [s > 0 or not e for s, e in zip(starts, ends, strict=True)]
+        bounds = {"gram": "", "data": None, "keys": rows, "fields": [0] * len(rows), "begins": b.begins.tolist(), "starts": starts, "cut": cut}
+        none = dict.fromkeys(("keys", "fields", "begins", "starts", "cut"))
+        made = [none | {"gram": g, "data": data[begins[b.bounds[k]] : begins[b.bounds[k + 1]]].tobytes()} for k, g in enumerate(b.grams)]
+        schema = pa.schema({"gram": pa.string(), "data": pa.binary(), "keys": pa.list_(pa.int64()), "fields": pa.list_(pa.int32()), "begins": pa.list_(pa.int32()), "starts": pa.list_(pa.int32()), "cut": pa.list_(pa.bool_())})
+        out.append(pa.Table.from_pylist([bounds, *made], schema))
+    return out
+
+
+def occurrences(blocks, q):
+    at = {k: q[k : k + 3] for k in range(len(q) - 2)}
+    run = gram_index.finder(at, {k: utf16(q[:k]) for k in at}, min(at, default=0), "k")
+    found = {}
+    for b in blocks:
+        keep = [g == "" or (g in at.values() if at else g.startswith(q)) for g in b["gram"].to_pylist()]
+        for r in run(b.filter(keep)).to_pylist():
+            found.setdefault((r["k"], r["shift"]), set()).update(r["starts"])
+    out = set()
+    for k in {k for k, _ in found}:
+        sets = [found[k, s] for s in (at if (k, -1) not in found else [-1]) if (k, s) in found]
+        if (k, -1) in found or len(sets) == len(at):
+            out |= {(k, s) for s in set.intersection(*sets)}
+    return out
